@@ -127,6 +127,15 @@ SELECT concat('o',CAST(l_orderkey AS STRING)) order_id,
   ELSE CASE WHEN l_linestatus = 'F' THEN 'completed' ELSE 'shipped' END END value,
  l_shipdate ts, l_linenumber seq1, l_partkey seq2, CAST(l_quantity AS INT) seq3
 FROM {lineitem}""",
+    # Order page views: owners, the admin, shipping vendors, other suppliers
+    # (customer key read as supplier key), other customers, unknown orders.
+    "shop_view_request": """
+SELECT customer_id viewer_id, 'customer' login_type, order_id FROM {shop_orders}
+UNION ALL SELECT 'u1', 'backend', concat('o',CAST(o_orderkey AS STRING)) FROM {orders} WHERE o_orderpriority = '2-HIGH'
+UNION ALL SELECT merchant_id, 'backend', order_id FROM {shop_sub_orders} WHERE shipping_status = 'shipped'
+UNION ALL SELECT concat('s',CAST(o_custkey AS STRING)), 'backend', concat('o',CAST(o_orderkey AS STRING)) FROM {orders} WHERE o_orderpriority = '3-MEDIUM'
+UNION ALL SELECT concat('c',CAST(o_custkey + 1 AS STRING)), 'customer', concat('o',CAST(o_orderkey AS STRING)) FROM {orders} WHERE o_orderpriority = '4-NOT SPECIFIED'
+UNION ALL SELECT customer_id, 'customer', concat(order_id,'x') FROM {shop_orders} WHERE status = 'cancelled'""",
     # Products toggled on error events (same product mapping as stock changes).
     "shop_toggle_request": """
 SELECT event_id request_id, concat('p',CAST(event_id % 97 AS STRING)) product_id, ts
