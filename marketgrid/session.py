@@ -60,3 +60,34 @@ def state_root(spark: SparkSession) -> str:
     """Folder for written next-state tables and stream checkpoints (shared storage)."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/marketgrid-state"
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Make ``marketgrid`` importable in executor Python workers.
+
+    Only operators that run Python on executors (pandas-backed state in H2)
+    need it.  Spark's own file distribution ships the zipped package (what
+    ``--py-files`` does at submit time); done once per SparkContext.
+    """
+    import importlib.util
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_marketgrid_shipped", False):
+        return
+    try:
+        importlib.util.find_spec("marketgrid")
+        probe = sc.parallelize([0], 1).map(lambda _: importlib.util.find_spec("marketgrid") is not None).first()
+    except Exception:  # noqa: BLE001
+        probe = False
+    if not probe:
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        out = os.path.join(tempfile.mkdtemp(prefix="marketgrid-lib-"), "marketgrid.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for root, _, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(root, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+        sc.addPyFile(out)
+    sc._marketgrid_shipped = True
