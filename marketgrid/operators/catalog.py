@@ -15,7 +15,10 @@ from ..functions.columns import (ACTIVE, INACTIVE, OUT_OF_STOCK, any_of, ci_cont
                                  clean_terms, money, price_text)
 from ..functions.tags import tag_list, tag_rows
 
-NEWEST_FIRST = [F.col("created_seq").desc(), F.col("product_id").asc()]
+
+def newest_first():
+    """Sort key of every product list: newest first, ties by id."""
+    return [F.col("created_seq").desc(), F.col("product_id").asc()]
 
 
 def _active_listing(product: DataFrame, vendor: DataFrame) -> DataFrame:
@@ -82,7 +85,7 @@ def product_cards(listing: DataFrame, tagging: DataFrame, tag: DataFrame,
 
 
 def _page(listing: DataFrame, limit: int, offset: int) -> DataFrame:
-    ordered = listing.orderBy(*NEWEST_FIRST)
+    ordered = listing.orderBy(*newest_first())
     if offset:
         ordered = ordered.offset(offset)
     return ordered.limit(limit)
