@@ -267,7 +267,8 @@ def browse_page_meta(product, vendor, tagging, tag, keyword=None, category=None,
     """Paging facts of the browse page and its buttons.
 
     Tags alone go to the B11 count, anything else to B3.  Emits one 'meta'
-    row plus 'prev' / 'page' / 'next' button rows (pages within +-2).
+    row (target = the current page) plus 'prev' / 'page' / 'next' button
+    rows (pages within +-2).
     """
     page = max(int(page), 1)
     tag_terms = clean_terms(tags, lower=False)
@@ -296,7 +297,7 @@ def browse_page_meta(product, vendor, tagging, tag, keyword=None, category=None,
         .otherwise(F.array().cast("array<struct<kind:string,target:bigint>>")),
     )).otherwise(F.array().cast("array<struct<kind:string,target:bigint>>"))
     rows = F.concat(F.array(F.struct(F.lit("meta").alias("kind"),
-                                     F.lit(None).cast("bigint").alias("target"))), buttons)
+                                     F.lit(page).cast("bigint").alias("target"))), buttons)
     return (meta.select("*", F.explode(rows).alias("b"))
             .select("total_products", "total_pages", "start_item", "end_item", "page",
                     F.col("b.kind").alias("kind"), F.col("b.target").alias("target_page"),

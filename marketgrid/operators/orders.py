@@ -63,12 +63,13 @@ def checkout_lines(lines: DataFrame, product: DataFrame, vendor: DataFrame) -> D
 
 
 def checkout_validation(lines: DataFrame, product: DataFrame, vendor: DataFrame) -> DataFrame:
-    """D3: per cart, the first failing line in cart order, or 'ok'."""
+    """D3: per cart, the first failing line in cart order, or 'ok' (line 0)."""
     v = checkout_lines(lines, product, vendor)
     first_bad = F.min(F.when(F.col("reason") != "ok", F.struct(*LINE_ORDER, "reason")))
     return (v.groupBy("cart_id").agg(first_bad.alias("b"))
             .select("cart_id", F.coalesce(F.col("b.reason"), F.lit("ok")).alias("verdict"),
-                    F.col("b.line_no").alias("failed_line_no"), F.col("b.product_id").alias("failed_product_id")))
+                    F.coalesce(F.col("b.line_no"), F.lit(0)).alias("failed_line_no"),
+                    F.col("b.product_id").alias("failed_product_id")))
 
 
 @dataclass
@@ -133,7 +134,8 @@ def order_details(orders: DataFrame, sub_orders: DataFrame, items: DataFrame, pr
 
 
 def flatten_order_details(tree: DataFrame) -> DataFrame:
-    """One row per item (or per empty sub-order / order) of the D6 tree."""
+    """One row per item of the D6 tree; an order or sub-order without items
+    gives one row with NULL ids and quantity 0."""
     s = tree.select("order_id", "customer_id", F.col("status").alias("order_status"), "total_amount",
                     F.explode_outer("sub_orders").alias("so"))
     i = s.select("*", F.explode_outer("so.order_items").alias("it"))
@@ -141,7 +143,8 @@ def flatten_order_details(tree: DataFrame) -> DataFrame:
                     F.col("so.sub_order_id").alias("sub_order_id"), F.col("so.merchant_id").alias("merchant_id"),
                     F.col("so.status").alias("sub_status"), F.col("so.shipping_status").alias("shipping_status"),
                     F.col("it.order_item_id").alias("order_item_id"), F.col("it.product_id").alias("product_id"),
-                    F.col("it.quantity").alias("quantity"), F.col("it.total_price").alias("total_price"),
+                    F.coalesce(F.col("it.quantity"), F.lit(0)).alias("quantity"),
+                    F.col("it.total_price").alias("total_price"),
                     F.col("it.product_name").alias("product_name"))
 
 
@@ -157,7 +160,7 @@ def order_items_named(items: DataFrame, product: DataFrame) -> DataFrame:
 def customer_orders(orders: DataFrame, customer_id: str | None = None) -> DataFrame:
     """Orders per customer, newest first (range-partitioned global sort)."""
     o = orders if customer_id is None else orders.filter(F.col("customer_id") == customer_id)
-    return (o.select("order_id", "customer_id", F.to_date("order_date").alias("order_date"), "status",
+    return (o.select("order_id", "customer_id", F.date_format("order_date", "yyyy-MM-dd").alias("order_date"), "status",
                      money("total_amount").alias("total_amount"), "payment_status")
             .orderBy("customer_id", F.col("order_date").desc(), "order_id"))
 

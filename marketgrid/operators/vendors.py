@@ -156,7 +156,7 @@ def vendor_order_lines(product: DataFrame, items: DataFrame, orders: DataFrame)
     return (items.select("order_id", "product_id", "quantity", "price_per_unit")
             .join(p, "product_id").join(o, "order_id")
             .select("vendor_id", "order_id", "product_id", "quantity",
-                    money("price_per_unit").alias("price"), F.to_date("order_date").alias("order_date"),
+                    money("price_per_unit").alias("price"), F.date_format("order_date", "yyyy-MM-dd").alias("order_date"),
                     "status", "customer_id", "product_name")
             .distinct())
 
@@ -175,7 +175,7 @@ def vendor_sub_orders(sub_orders: DataFrame, items: DataFrame, orders: DataFrame
         "customer_id")
     return (so.join(counts, "sub_order_id", "left").join(cust, "order_id")
             .select("sub_order_id", "order_id", "merchant_id", money("sub_total_amount").alias("sub_total_amount"),
-                    "status", "shipping_status", F.to_date("created_at").alias("created_at"),
+                    "status", "shipping_status", F.date_format("created_at", "yyyy-MM-dd").alias("created_at"),
                     F.coalesce("item_count", F.lit(0)).cast("bigint").alias("item_count"), "customer_name"))
 
 

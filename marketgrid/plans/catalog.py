@@ -222,7 +222,7 @@ meta AS (
   CAST(CASE WHEN total > 0 THEN 41 ELSE 0 END AS BIGINT) start_item,
   least(CAST(60 AS BIGINT), total) end_item, CAST(3 AS BIGINT) page FROM tot),
 btn AS (
- SELECT 'meta' kind, CAST(NULL AS BIGINT) target_page FROM meta
+ SELECT 'meta' kind, CAST(3 AS BIGINT) target_page FROM meta
  UNION ALL SELECT 'prev', 2 FROM meta WHERE total_pages > 1
  UNION ALL SELECT 'page', g FROM meta, range(1, 6) r(g) WHERE total_pages > 1 AND g <= total_pages
  UNION ALL SELECT 'next', 4 FROM meta WHERE total_pages > 1 AND 3 < total_pages)

@@ -39,7 +39,7 @@ l AS (SELECT c.cart_id, c.line_no, c.product_id, c.quantity,
  FROM shop_cart_line c LEFT JOIN vis ON vis.product_id = c.product_id),
 b AS (SELECT *, row_number() OVER (PARTITION BY cart_id ORDER BY line_no, product_id, quantity) rn
  FROM l WHERE reason <> 'ok')
-SELECT k.cart_id, coalesce(b.reason, 'ok') verdict, b.line_no failed_line_no, b.product_id failed_product_id
+SELECT k.cart_id, coalesce(b.reason, 'ok') verdict, coalesce(b.line_no, 0) failed_line_no, b.product_id failed_product_id
 FROM (SELECT DISTINCT cart_id FROM shop_cart_line) k LEFT JOIN b ON b.cart_id = k.cart_id AND b.rn = 1""")
 def q_checkout_validation(shop):
     return O.checkout_validation(shop.shop_cart_line, shop.shop_product, shop.shop_vendor)
@@ -95,7 +95,7 @@ def q_checkout_stock(shop):
 @register("order_details", """
 SELECT o.order_id, o.customer_id, o.status order_status, CAST(o.total_amount AS DOUBLE) total_amount,
  so.sub_order_id, so.merchant_id, so.status sub_status, so.shipping_status, i.order_item_id, i.product_id,
- i.quantity, CAST(i.total_price AS DOUBLE) total_price, i.name product_name
+ coalesce(i.quantity, 0) quantity, CAST(i.total_price AS DOUBLE) total_price, i.name product_name
 FROM shop_order_state o LEFT JOIN shop_sub_orders so ON so.order_id = o.order_id
 LEFT JOIN (SELECT i.*, p.name FROM shop_order_items i JOIN shop_product p ON p.product_id = i.product_id) i
  ON i.sub_order_id = so.sub_order_id""")
@@ -114,7 +114,7 @@ def q_order_items_named(shop):
 
 
 @register("customer_orders", """
-SELECT order_id, customer_id, CAST(order_date AS DATE) order_date, status, CAST(total_amount AS DOUBLE) total_amount,
+SELECT order_id, customer_id, strftime(order_date, '%Y-%m-%d') order_date, status, CAST(total_amount AS DOUBLE) total_amount,
  payment_status FROM shop_order_state""")
 def q_customer_orders(shop):
     return O.customer_orders(shop.shop_order_state)
