@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ACTIVE, INACTIVE, OUT_OF_STOCK, ROLE_VENDOR, ci_contains
+from ..functions.numbering import dense_numbers
 
 MAX_TAGS = 3
 
@@ -33,16 +34,17 @@ def parse_product_tags(texts: DataFrame, text_col: str = "tags_text") -> DataFra
 def upsert_tags(tag: DataFrame, names: DataFrame) -> DataFrame:
     """add unseen names (case-free) with ids after the current maximum.
 
-    New names are a small dimension (distinct new words of one batch); the
-    id numbering is the one global window here.
+    New ids follow (lower name, name) order, numbered without a global
+    window (``dense_numbers``), so a batch with millions of new names is
+    still spread over the cluster.  Case variants of one new name become one
+    tag spelled as its smallest variant.
     """
     known = tag.select(F.lower("name").alias("k"))
     new = (names.select(F.lower("name").alias("k"), "name").join(known, "k", "left_anti")
            .groupBy("k").agg(F.min("name").alias("name")))
     top = tag.agg(F.coalesce(F.max("tag_id"), F.lit(0))).scalar()  # scalar subquery
-    w = Window.orderBy("k", "name")
-    added = new.select((top + F.row_number().over(w)).cast("int").alias("tag_id"), "name")
-    return tag.select("tag_id", "name").unionByName(added)
+    added = dense_numbers(new, ["k", "name"], base=top, name="tag_id")
+    return tag.select("tag_id", "name").unionByName(added.select(F.col("tag_id").cast("int"), "name"))
 
 
 def _tagging_for(parsed: DataFrame, tags: DataFrame) -> DataFrame:

@@ -187,3 +187,15 @@ def test_customer_profile_partial(spark):
     upd = spark.createDataFrame([("u2", None, "b", None)], "user_id string, nick_name string, address string, phone_number string")
     r = X.customer_profile_update(prof, upd).first()
     assert (r.nick_name, r.address, r.phone_number) == ("n", "b", "1")
+
+
+def test_dense_numbers_equal_global_row_number(spark):
+    from pyspark.sql import Window
+
+    from marketgrid.functions.numbering import dense_numbers
+    rnd = random.Random(3)
+    rows = list({(rnd.choice("abcdefgh") + str(rnd.randint(0, 10 ** 6)),) for _ in range(5000)})
+    df = spark.createDataFrame(rows, "k string").repartition(7)
+    got = {r.k: r.rn for r in dense_numbers(df, ["k"], base=100).collect()}
+    want = {r.k: r.rn for r in df.select("k", (F.row_number().over(Window.orderBy("k")) + 100).alias("rn")).collect()}
+    assert got == want
