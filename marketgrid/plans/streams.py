@@ -30,7 +30,8 @@ def q_rating_stream(shop):
     inp, out, ck = _dirs(spark, "ratings")
     (shop.shop_rating.select("id", "customer_id", "vendor_id", "score", "created_at")
      .repartition(4).write.parquet(inp))
-    H1.run_rating_stream(spark, inp, out, ck, max_files_per_trigger=1)
+    H1.run_rating_stream(spark, inp, out, ck, max_files_per_trigger=1,
+                         state_partitions=spark.sparkContext.defaultParallelism)
     return H1.current_vendor_ratings(spark, out)
 
 
@@ -58,5 +59,6 @@ def q_stock_stream(shop, chunks: int = 4):
         if k < chunks - 1:
             part = part.filter(F.col("ts") < F.lit(lo + step * (k + 1)))
         part.write.mode("append").parquet(inp)
-        H2.run_stock_stream(spark, shop.shop_product, inp, out, ck)
+        H2.run_stock_stream(spark, shop.shop_product, inp, out, ck,
+                            state_partitions=spark.sparkContext.defaultParallelism)
     return H2.current_stock(spark, out)

@@ -91,3 +91,26 @@ def ship_library(spark: SparkSession) -> None:
                         z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
         sc.addPyFile(out)
     sc._marketgrid_shipped = True
+
+
+class shuffle_partitions:
+    """Context manager: run a block (e.g. a streaming query's start) with
+    ``spark.sql.shuffle.partitions`` = n, then restore the old value.
+
+    A stateful stream fixes its state partition count at its first start and
+    keeps it in the checkpoint, so this sizes the state store once.
+    """
+
+    def __init__(self, spark: SparkSession, n: int | None):
+        self.spark, self.n, self.old = spark, n, None
+
+    def __enter__(self):
+        if self.n:
+            self.old = self.spark.conf.get("spark.sql.shuffle.partitions")
+            self.spark.conf.set("spark.sql.shuffle.partitions", str(self.n))
+        return self
+
+    def __exit__(self, *exc):
+        if self.n and self.old is not None:
+            self.spark.conf.set("spark.sql.shuffle.partitions", self.old)
+        return False

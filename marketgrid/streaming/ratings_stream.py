@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shuffle_partitions
+
 RATING_SCHEMA = "id BIGINT, customer_id STRING, vendor_id STRING, score INT, created_at TIMESTAMP_NTZ"
 
 
@@ -22,7 +24,7 @@ def running_vendor_ratings(stream: DataFrame) -> DataFrame:
 
 
 def run_rating_stream(spark: SparkSession, input_dir: str, output_dir: str, checkpoint_dir: str,
-                      max_files_per_trigger: int | None = None) -> None:
+                      max_files_per_trigger: int | None = None, state_partitions: int | None = None) -> None:
     """Process every file now in ``input_dir`` (availableNow) and stop."""
     reader = spark.readStream.schema(RATING_SCHEMA)
     if max_files_per_trigger:
@@ -32,8 +34,9 @@ def run_rating_stream(spark: SparkSession, input_dir: str, output_dir: str, chec
     def sink(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("append").parquet(output_dir)
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+    with shuffle_partitions(spark, state_partitions):
+        q = (agg.writeStream.outputMode("update").foreachBatch(sink)
+             .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
     q.awaitTermination()
 
 

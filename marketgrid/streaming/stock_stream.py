@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import ship_library
+from ..session import ship_library, shuffle_partitions
 
 CHANGE_SCHEMA = "change_id BIGINT, product_id STRING, action STRING, amount INT, ts TIMESTAMP_NTZ"
 STATE_SCHEMA = "stock LONG, status STRING, n LONG, last_ts LONG, last_id LONG, late LONG"
@@ -70,7 +70,8 @@ def stock_state_stream(changes: DataFrame, product: DataFrame) -> DataFrame:
 
 
 def run_stock_stream(spark: SparkSession, product: DataFrame, input_dir: str, output_dir: str,
-                     checkpoint_dir: str, max_files_per_trigger: int | None = None) -> None:
+                     checkpoint_dir: str, max_files_per_trigger: int | None = None,
+                     state_partitions: int | None = None) -> None:
     """Process every file now in ``input_dir`` (availableNow) and stop.
 
     A product's rows of one micro-batch are folded together in one pandas
@@ -86,8 +87,9 @@ def run_stock_stream(spark: SparkSession, product: DataFrame, input_dir: str, ou
     def sink(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("append").parquet(output_dir)
 
-    q = (stock_state_stream(src, product).writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+    with shuffle_partitions(spark, state_partitions):
+        q = (stock_state_stream(src, product).writeStream.outputMode("update").foreachBatch(sink)
+             .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
