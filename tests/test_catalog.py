@@ -32,7 +32,7 @@ def test_tags_any_office(seed):
 
 
 def test_tags_any_has_no_substring_match_on_tags(seed):
-    # B9 matches a tag only by equality ('lap' is no tag, and no name contains it? p1.. do: 'Laptop')
+    # B9 matches a tag only by equality: 'desk' is no tag, so only the name 'Mini Desktop PC' hits
     assert ids(C.tags_any(*_std(seed), tags=["desk"], limit=20)) == ["p6"]  # name 'Mini Desktop PC' only
     assert ids(C.search_products(*_std(seed), tags=["desk"])) == ["p6", "p7"]  # B4: tag substring too
 
