@@ -31,3 +31,12 @@ def test_write_shop_new_version_each_time(spark):
     p1 = write_shop(df, "t")
     p2 = write_shop(df, "t")
     assert p1 != p2 and read_state(spark, p1).count() == 1
+
+
+def test_staged_views_equal_lazy_views(spark):
+    from marketgrid.sources import load_shop
+    staged, lazy = load_shop(spark, "/root/testdata/sf0.001"), load_shop(spark, "/root/testdata/sf0.001", staged=False)
+    for v in ["shop_sub_orders", "shop_tag", "shop_order_state"]:
+        a, b = staged[v], lazy[v]
+        assert a.columns == b.columns
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
