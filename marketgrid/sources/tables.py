@@ -7,9 +7,9 @@ ONCE, written as parquet under the shared state root and read back - the
 shop's stored tables, as an ETL step would leave them - so queries do not
 re-derive, e.g., order items from line items in every branch of every plan.
 A staged table is keyed by the data folder and the view text, written with
-Spark's committer (a table without ``_SUCCESS`` is rebuilt) and
-hash-partitioned on its whole row, so reads are parallel and no key skews
-it.  Input folders are taken as immutable (a new snapshot is a new folder).
+Spark's committer (a table without ``_SUCCESS`` is rebuilt); when an
+input is narrower than the cluster it is hash-partitioned on its whole row
+first, so reads are parallel and no key skews it.  Input folders are taken as immutable (a new snapshot is a new folder).
 ``staged=False`` keeps every view lazy.
 """
 
@@ -90,9 +90,23 @@ class Shop:
         if not _committed(self.spark, path):
             df = self._derive(name)
             n = self.spark.sparkContext.defaultParallelism
-            df.repartition(n, *[df[c] for c in df.columns]).write.mode("overwrite").parquet(path)
+            if self._narrow(name, n):
+                # An input is read by fewer tasks than there are cores (e.g. one
+                # big row group): spread the rows so later scans run in parallel.
+                df = df.repartition(n, *[df[c] for c in df.columns])
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def _raw_inputs(self, name: str) -> set[str]:
+        if name in RAW_TABLES:
+            return {name}
+        return set().union(*[self._raw_inputs(d) for d in deps(name)]) if deps(name) else set()
+
+    def _narrow(self, name: str, n: int) -> bool:
+        """True when a raw input scans in fewer partitions than ``n`` (file
+        listing only, no job)."""
+        return any(self[t].rdd.getNumPartitions() < n for t in self._raw_inputs(name))
+
 
 def _committed(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
