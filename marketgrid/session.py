@@ -66,30 +66,42 @@ def ship_library(spark: SparkSession) -> None:
     """Make ``marketgrid`` importable in executor Python workers.
 
     Only operators that run Python on executors (pandas-backed state in H2)
-    need it.  Spark's own file distribution ships the zipped package (what
-    ``--py-files`` does at submit time); done once per SparkContext.
+    need it.  The package is zipped in memory, written through the Hadoop
+    FileSystem API into the shared state root and added with ``addPyFile``
+    (what ``--py-files`` does at submit time); done once per SparkContext.
     """
+    import hashlib
     import importlib.util
+    import io
     import zipfile
 
     sc = spark.sparkContext
     if getattr(sc, "_marketgrid_shipped", False):
         return
     try:
-        importlib.util.find_spec("marketgrid")
         probe = sc.parallelize([0], 1).map(lambda _: importlib.util.find_spec("marketgrid") is not None).first()
     except Exception:  # noqa: BLE001
         probe = False
     if not probe:
         pkg = os.path.dirname(os.path.abspath(__file__))
-        out = os.path.join(tempfile.mkdtemp(prefix="marketgrid-lib-"), "marketgrid.zip")
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for root, _, files in os.walk(pkg):
-                for f in files:
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+            for root, _, files in sorted(os.walk(pkg)):
+                for f in sorted(files):
                     if f.endswith(".py"):
                         full = os.path.join(root, f)
                         z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-        sc.addPyFile(out)
+        data = buf.getvalue()
+        target = f"{state_root(spark)}/lib/marketgrid-{hashlib.sha1(data).hexdigest()[:12]}.zip"
+        jvm = sc._jvm
+        path = jvm.org.apache.hadoop.fs.Path(target)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        out = fs.create(path, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+        sc.addPyFile(target)
     sc._marketgrid_shipped = True
 
 
