@@ -74,3 +74,13 @@ def test_browse_meta_buttons(seed):
     assert meta.total_pages == 4 and meta.start_item == 1 and meta.end_item == 2
     assert sorted((r.kind, r.target_page) for r in rows if r.kind != "meta") == \
         [("next", 2), ("page", 1), ("page", 2), ("page", 3)]
+
+
+def test_card_labels_as_coded(seed):
+    # Q10: an Inactive product with stock is labelled 'Active'; stock 0 is 'Out of Stock'
+    p = (seed["product"].withColumn("status", F.when(F.col("product_id") == "p1", "Inactive").otherwise(F.col("status")))
+         .withColumn("stock", F.when(F.col("product_id") == "p2", 0).otherwise(F.col("stock"))))
+    cards = {r.product_id: r for r in C.product_cards(p.join(seed["vendor"].select("vendor_id", "store_name"), "vendor_id"),
+                                                       seed["tagging"], seed["tag"]).collect()}
+    assert cards["p1"].status_label == "Active" and cards["p2"].status_label == "Out of Stock"
+    assert cards["p2"].stock_status == "Out of Stock"

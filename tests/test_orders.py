@@ -141,3 +141,11 @@ def test_apply_shipping_rejects_invalid(spark):
     nxt, rej = O.apply_shipping(subs, up, ["seq"])
     r = nxt.first()
     assert (r.status, r.shipping_status) == ("shipped", "shipped") and rej.count() == 1
+
+
+def test_checkout_stock_has_no_floor(spark, seed):
+    # Q5: the checkout decrement is not floored (the manual decrease is)
+    lines = _cart(spark, [(1, 1, "p7", 15)])
+    s = O.split_orders(lines, seed["product"], seed["vendor"])
+    got = {r.product_id: r.stock_after for r in O.checkout_stock(seed["product"], s.items).collect()}
+    assert got["p7"] == -3

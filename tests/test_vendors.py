@@ -1,5 +1,7 @@
 """Vendor dashboards (C) on the seed."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from marketgrid.operators import vendors as V
@@ -43,3 +45,25 @@ def test_vendor_counts_rollup(seed):
 
 def test_available_users(seed):
     assert sorted(r.id for r in V.available_users(seed["users"]).collect()) == ["u2", "u3"]
+
+
+def test_analytics_average_over_all_sub_orders(spark, seed):
+    # Q6: avg_order_value divides by ALL sub-orders, cancelled ones included
+    subs = spark.createDataFrame([("s1", "u4", Decimal("100.00"), "pending"), ("s2", "u4", Decimal("50.00"), "cancelled")],
+                                 "sub_order_id string, merchant_id string, sub_total_amount decimal(10,2), status string")
+    r = {x.vendor_id: x for x in V.vendor_analytics(subs, seed["vendor"]).collect()}
+    assert (r["u4"].total_sales, r["u4"].total_orders, r["u4"].avg_order_value, r["u4"].avg_active_order_value) == \
+        (100.0, 2, 50.0, 100.0)
+    assert (r["u5"].total_sales, r["u5"].total_orders, r["u5"].avg_order_value) == (0.0, 0, 0.0)
+
+
+def test_top_products_active_items_of_live_sub_orders(spark, seed):
+    # Q7: built from the template's contract
+    items = spark.createDataFrame(
+        [("s1", "u4", "p1", 2, Decimal("11998.00"), "active"), ("s1", "u4", "p3", 1, Decimal("1299.00"), "active"),
+         ("s1", "u4", "p4", 9, Decimal("80991.00"), "removed"), ("s2", "u4", "p5", 1, Decimal("6999.00"), "active")],
+        "sub_order_id string, merchant_id string, product_id string, quantity int, total_price decimal(10,2), item_status string")
+    subs = spark.createDataFrame([("s1", "pending"), ("s2", "cancelled")], "sub_order_id string, status string")
+    got = [(r.product_id, r.sales_count, r.total_revenue, r.rank)
+           for r in V.vendor_top_products(items, subs, seed["product"], n=10).orderBy("rank").collect()]
+    assert got == [("p1", 2, 11998.0, 1), ("p3", 1, 1299.0, 2)]
