@@ -305,7 +305,12 @@ def browse_page_meta(product, vendor, tagging, tag, keyword=None, category=None,
 
 
 def vendor_table_filter(product: DataFrame, term: str | None = None, category: str | None = None) -> DataFrame:
-    """The vendor product table's client-side filter, for all vendors."""
+    """The vendor product table's client-side filter, for all vendors.
+
+    Name contains the term (both lower-cased), category equal or any.  The
+    page applies the two filters one event at a time (the last one wins);
+    as a batch filter they are ANDed.
+    """
     p = product
     if term:
         p = p.filter(ci_contains("name", term))
