@@ -115,19 +115,62 @@ def _row_rules(tables: dict[str, DataFrame], t: str, rules: list[tuple]) -> Data
     return counts.select(F.inline(rows)).select("rule", F.lit(t).alias("table_name"), "violations")
 
 
+KEY_RULES = ("pk", "unique", "unique_ci", "max_tags")
+
+
+def _key_rules(tables: dict[str, DataFrame], t: str, rules: list[tuple]) -> DataFrame:
+    """All key-count rules of one table in ONE aggregation (GROUPING SETS).
+
+    Each rule is a grouping set over its (possibly lower-cased) columns; a
+    group breaks the rule when its count passes the rule's limit (1 for keys,
+    3 for tags per product).  Rows with a NULL key column are skipped for key
+    rules, as a UNIQUE index does.
+    """
+    exprs, sets = {}, []
+    for i, r in enumerate(rules):
+        names = []
+        for c in r[2]:
+            name = f"lower_{c}" if r[0] == "unique_ci" else c
+            exprs[name] = F.lower(c) if r[0] == "unique_ci" else F.col(c)
+            names.append(name)
+        sets.append(names)
+    cols = list(exprs)
+    df = tables[t].select(*[e.alias(n) for n, e in exprs.items()])
+    groups = df.groupingSets(sets, *cols).agg(F.count("*").alias("_n"), F.grouping_id().alias("_g"))
+    gid = {}
+    for i, names in enumerate(sets):  # grouping_id bit = 1 for every column NOT in the set
+        gid[i] = sum(1 << (len(cols) - 1 - j) for j, c in enumerate(cols) if c not in names)
+    out = []
+    for i, r in enumerate(rules):
+        limit = 3 if r[0] == "max_tags" else 1
+        keyed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in sets[i]])
+        if r[0] == "max_tags":
+            keyed = F.lit(True)
+        hit = (F.col("_g") == gid[i]) & keyed & (F.col("_n") > limit)
+        out.append(F.count(F.when(hit, 1)).alias(f"r{i}"))
+    counts = groups.agg(*out)
+    rows = F.array(*[F.struct(F.lit(rule_name(r)).alias("rule"), F.col(f"r{i}").alias("violations"))
+                     for i, r in enumerate(rules)])
+    return counts.select(F.inline(rows)).select("rule", F.lit(t).alias("table_name"), "violations")
+
+
 def integrity_audit(tables: dict[str, DataFrame], rules: list[tuple] = RULES) -> DataFrame:
     """One row per rule, all in a single Spark job (a union).
 
-    Row-level rules (NOT NULL, ENUM, CHECK) of a table share one scan; key,
-    foreign-key and tag-count rules each need their own shuffle.
+    Per table, row-level rules (NOT NULL, ENUM, CHECK) share one scan and
+    key-count rules share one GROUPING SETS aggregation; each foreign key is
+    an anti join.
     """
-    parts, by_table = [], {}
+    parts, rows_by_table, keys_by_table = [], {}, {}
     for r in rules:
         if r[0] in ROW_RULES:
-            by_table.setdefault(r[1], []).append(r)
+            rows_by_table.setdefault(r[1], []).append(r)
+        elif r[0] in KEY_RULES:
+            keys_by_table.setdefault(r[1], []).append(r)
         else:
             parts.append(_violations(tables, r))
-    parts += [_row_rules(tables, t, rs) for t, rs in by_table.items()]
+    parts += [_key_rules(tables, t, rs) for t, rs in keys_by_table.items()]
+    parts += [_row_rules(tables, t, rs) for t, rs in rows_by_table.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -3,8 +3,9 @@
 Each view is ONE SQL text shared by Spark and the DuckDB oracle.  Relations a
 view reads are written ``{name}``: Spark binds them to DataFrames through
 ``spark.sql(text, name=df)``, the oracle renders them as plain names inside a
-``WITH`` list.  ``created_seq`` stands in for Created_At so "newest first" is
-deterministic.
+``WITH`` list.  (One view, ``shop_sub_orders``, has a DataFrame form for Spark
+with the same rows and a cheaper plan: ``tables.SPARK_FORMS``.)
+``created_seq`` stands in for Created_At so "newest first" is deterministic.
 
 Fixed values: the view texts under FIXTURE_VIEWS are the test-fixture
 definitions and must stay as written so both engines see the same rows.
