@@ -148,6 +148,25 @@ def flatten_order_details(tree: DataFrame) -> DataFrame:
                     F.col("it.product_name").alias("product_name"))
 
 
+def order_details_flat(orders: DataFrame, sub_orders: DataFrame, items: DataFrame, product: DataFrame) -> DataFrame:
+    """D6 in flat form: one row per item with its order and sub-order, by joins.
+
+    Same rows as ``flatten_order_details(order_details(...))`` without any
+    grouped collect, so an order of any size stays a plain join.
+    """
+    it = items.join(product.select("product_id", F.col("name").alias("product_name")), "product_id").select(
+        "sub_order_id", "order_item_id", "product_id", "quantity", money("total_price").alias("total_price"),
+        "product_name")
+    so = sub_orders.select("order_id", "sub_order_id", "merchant_id", F.col("status").alias("sub_status"),
+                           "shipping_status")
+    o = orders.select("order_id", "customer_id", F.col("status").alias("order_status"),
+                      money("total_amount").alias("total_amount"))
+    return (o.join(so, "order_id", "left").join(it, "sub_order_id", "left")
+            .select("order_id", "customer_id", "order_status", "total_amount", "sub_order_id", "merchant_id",
+                    "sub_status", "shipping_status", "order_item_id", "product_id",
+                    F.coalesce("quantity", F.lit(0)).alias("quantity"), "total_price", "product_name"))
+
+
 def order_items_named(items: DataFrame, product: DataFrame) -> DataFrame:
     """Items with product name and image."""
     return (items.join(product.select("product_id", F.col("name").alias("product_name"),
@@ -333,10 +352,28 @@ def remove_order_items(orders: DataFrame, sub_orders: DataFrame, items: DataFram
 HISTORY_SCHEMA = "array<struct<Order_ID:string,Status:string,Order_Date:string>>"
 
 
+def order_history_fragments(users: DataFrame, orders: DataFrame) -> DataFrame:
+    """History as JSON fragments: one one-entry JSON array per order.
+
+    ``parse_history`` reads any number of history rows per customer, so
+    fragments need no per-customer collect.  Customers without orders get
+    the seed's non-JSON text 'history'.
+    """
+    frag = orders.select(F.col("customer_id").alias("user_id"), F.to_json(F.array(F.struct(
+        F.col("order_id").alias("Order_ID"), F.col("status").alias("Status"),
+        F.date_format("order_date", "yyyy-MM-dd").alias("Order_Date")))).alias("order_history"))
+    bare = (users.select("user_id").join(frag.select("user_id"), "user_id", "left_anti")
+            .withColumn("order_history", F.lit("history")))
+    return frag.join(users.select("user_id"), "user_id", "left_semi").unionByName(bare)
+
+
 def order_history_text(users: DataFrame, orders: DataFrame) -> DataFrame:
-    """Customer.Order_History as JSON text, built from the order table.
+    """Customer.Order_History as ONE JSON text per customer (the reference's
+    storage form), built from the order table.
 
-    Customers without orders get the seed's non-JSON text 'history'.
+    This collects a customer's whole history into one value, so it is only as
+    bounded as one customer's orders; ``order_history_fragments`` is the form
+    without that collect.  Customers without orders get 'history'.
     """
     hist = orders.groupBy("customer_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct(
         F.col("order_id").alias("Order_ID"), F.col("status").alias("Status"),

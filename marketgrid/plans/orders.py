@@ -100,8 +100,8 @@ FROM shop_order_state o LEFT JOIN shop_sub_orders so ON so.order_id = o.order_id
 LEFT JOIN (SELECT i.*, p.name FROM shop_order_items i JOIN shop_product p ON p.product_id = i.product_id) i
  ON i.sub_order_id = so.sub_order_id""")
 def q_order_details(shop):
-    tree = O.order_details(shop.shop_order_state, shop.shop_sub_orders, shop.shop_order_items, shop.shop_product)
-    return O.flatten_order_details(tree)
+    return O.order_details_flat(shop.shop_order_state, shop.shop_sub_orders, shop.shop_order_items,
+                                shop.shop_product)
 
 
 @register("order_items_named", """
@@ -241,6 +241,6 @@ SELECT c.user_id, o.order_id,
  strftime(o.order_date, '%Y-%m-%d') order_date
 FROM shop_customer_profile c LEFT JOIN shop_orders o ON o.customer_id = c.user_id""")
 def q_order_history_json(shop):
-    history = O.order_history_text(shop.shop_customer_profile, shop.shop_orders)
+    history = O.order_history_fragments(shop.shop_customer_profile, shop.shop_orders)
     req = shop.shop_cancel_request.join(shop.shop_orders.select("order_id", "customer_id"), "order_id")
     return O.cancel_in_history(history, req)[0]

@@ -149,3 +149,27 @@ def test_checkout_stock_has_no_floor(spark, seed):
     s = O.split_orders(lines, seed["product"], seed["vendor"])
     got = {r.product_id: r.stock_after for r in O.checkout_stock(seed["product"], s.items).collect()}
     assert got["p7"] == -3
+
+
+def test_order_tree_equals_flat_joins(spark, seed):
+    s = _split(spark, seed)
+    orders = (s.orders.withColumn("customer_id", F.lit("u2"))
+              .withColumn("order_date", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")))
+    tree = O.order_details(orders, s.sub_orders, s.items, seed["product"])
+    row = tree.first()
+    assert [so.merchant_id for so in row.sub_orders] == ["u4", "u5"]
+    assert sorted(i.product_id for so in row.sub_orders for i in so.order_items) == ["p1", "p2", "p3"]
+    flat_from_tree = O.flatten_order_details(tree)
+    flat = O.order_details_flat(orders, s.sub_orders, s.items, seed["product"])
+    assert flat_from_tree.exceptAll(flat).count() == 0 and flat.exceptAll(flat_from_tree).count() == 0
+
+
+def test_history_fragments_parse_like_one_text(spark):
+    import datetime as dt
+    users = spark.createDataFrame([("u2",), ("u3",)], "user_id string")
+    orders = spark.createDataFrame([("o1", "u3", dt.datetime(2024, 1, 1), "pending"),
+                                    ("o2", "u3", dt.datetime(2024, 1, 2), "shipped")],
+                                   "order_id string, customer_id string, order_date timestamp_ntz, status string")
+    a = O.parse_history(O.order_history_text(users, orders))
+    b = O.parse_history(O.order_history_fragments(users, orders))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() == 3
