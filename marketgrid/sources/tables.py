@@ -16,6 +16,7 @@ first, so reads are parallel and no key skews it.  Input folders are taken as im
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,7 +95,12 @@ class Shop:
                 # An input is read by fewer tasks than there are cores (e.g. one
                 # big row group): spread the rows so later scans run in parallel.
                 df = df.repartition(n, *[df[c] for c in df.columns])
-            df.write.mode("overwrite").parquet(path)
+            # Write aside, then rename into place: concurrent stagers of the
+            # same view never write into one folder, and the loser of the
+            # rename reads the winner's committed table.
+            tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+            df.write.parquet(tmp)
+            _publish(self.spark, tmp, path)
         return self.spark.read.parquet(path)
 
     def _raw_inputs(self, name: str) -> set[str]:
@@ -108,6 +114,31 @@ class Shop:
         return any(self[t].rdd.getNumPartitions() < n for t in self._raw_inputs(name))
 
 
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _publish(spark: SparkSession, tmp: str, path: str) -> None:
+    """Move a finished table into place unless another stager already did.
+
+    (A Hadoop rename onto an existing folder would nest the source inside
+    it, so an existing committed table wins and the copy is dropped.)
+    """
+    src, fs = _fs(spark, tmp)
+    dst, _ = _fs(spark, path)
+    if fs.exists(dst):
+        if _committed(spark, path):
+            fs.delete(src, True)
+            return
+        fs.delete(dst, True)  # leftovers without _SUCCESS
+    if not fs.rename(src, dst):
+        fs.delete(src, True)
+    if not _committed(spark, path):
+        raise RuntimeError(f"staged table {path} was not committed")
+
+
 def _committed(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")

@@ -40,3 +40,13 @@ def test_staged_views_equal_lazy_views(spark):
         a, b = staged[v], lazy[v]
         assert a.columns == b.columns
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_publish_keeps_the_first_committed_table(spark, tmp_path):
+    from marketgrid.sources.tables import _publish
+    a, b, dst = str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "t")
+    spark.createDataFrame([(1,)], "x int").write.parquet(a)
+    spark.createDataFrame([(2,), (3,)], "x int").write.parquet(b)
+    _publish(spark, a, dst)
+    _publish(spark, b, dst)
+    assert sorted(r.x for r in spark.read.parquet(dst).collect()) == [1]
