@@ -71,37 +71,31 @@ def ship_library(spark: SparkSession) -> None:
     (what ``--py-files`` does at submit time); done once per SparkContext.
     """
     import hashlib
-    import importlib.util
     import io
     import zipfile
 
     sc = spark.sparkContext
     if getattr(sc, "_marketgrid_shipped", False):
         return
+    # Shipping a copy of an already installed package is harmless.
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in sorted(os.walk(pkg)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    data = buf.getvalue()
+    target = f"{state_root(spark)}/lib/marketgrid-{hashlib.sha1(data).hexdigest()[:12]}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
     try:
-        probe = sc.parallelize([0], 1).map(lambda _: importlib.util.find_spec("marketgrid") is not None).first()
-    except Exception:  # noqa: BLE001
-        probe = False
-    if not probe:
-        pkg = os.path.dirname(os.path.abspath(__file__))
-        buf = io.BytesIO()
-        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-            for root, _, files in sorted(os.walk(pkg)):
-                for f in sorted(files):
-                    if f.endswith(".py"):
-                        full = os.path.join(root, f)
-                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-        data = buf.getvalue()
-        target = f"{state_root(spark)}/lib/marketgrid-{hashlib.sha1(data).hexdigest()[:12]}.zip"
-        jvm = sc._jvm
-        path = jvm.org.apache.hadoop.fs.Path(target)
-        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-        out = fs.create(path, True)
-        try:
-            out.write(bytearray(data))
-        finally:
-            out.close()
-        sc.addPyFile(target)
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    sc.addPyFile(target)
     sc._marketgrid_shipped = True
 
 
