@@ -50,7 +50,8 @@ def q_stock_stream(shop, chunks: int = 4):
     ch = shop.shop_stock_change.select("change_id", "product_id", "action", "amount", "ts")
     bounds = ch.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()  # one row
     if bounds["lo"] is None:
-        return spark.createDataFrame([], H2.OUT_SCHEMA)
+        return spark.createDataFrame([], "product_id STRING, stock LONG, status STRING, changes_seen LONG, "
+                                     "late_rows LONG")
     lo, hi = bounds["lo"], bounds["hi"]
     step = (hi - lo) / chunks
     for k in range(chunks):
@@ -59,6 +60,5 @@ def q_stock_stream(shop, chunks: int = 4):
         if k < chunks - 1:
             part = part.filter(F.col("ts") < F.lit(lo + step * (k + 1)))
         part.write.mode("append").parquet(inp)
-        H2.run_stock_stream(spark, shop.shop_product, inp, out, ck,
-                            state_partitions=spark.sparkContext.defaultParallelism)
-    return H2.current_stock(spark, out)
+        H2.run_stock_stream(spark, inp, out, ck, state_partitions=spark.sparkContext.defaultParallelism)
+    return H2.current_stock(spark, out, shop.shop_product)

@@ -1,14 +1,22 @@
 """H2: stock changes arriving as files -> current stock and status per product.
 
+The floored ledger of one product is a composable map: after changes with
+net sum A whose lowest prefix is m (m <= 0), a start stock s >= 0 becomes
+max(s + A, B) with B = A - m, and two runs compose as
+(A1, B1) then (A2, B2) = (A1 + A2, max(B1 + A2, B2)).  The status has a
+closed form too: Inactive stays Inactive; stock 0 is OutOfStock; otherwise
+Active once any increase happened, else the start status.  So the stream
+keeps, per product, only (A, B, any increase, change count) - no start stock
+and no join with the product table inside the stream.  The product table is
+joined once, when the current view is read.
+
 ``applyInPandasWithState`` keyed by product: per micro-batch a product's rows
-are sorted by (ts, change_id) and folded with numpy (floored running sum, last
-status event), starting from the state left by the previous batch or, for a
-new key, from the product table (stream-static join).  The state holds a
-change counter and the newest (ts, change_id) applied; a row ordered before
-it arrived late: it is still applied and counted in ``late_rows`` (no
-watermark, so no row is dropped).  Each batch appends the touched products'
-new state with its counter; the current view takes the row with the highest
-counter per product (sink row order is not a contract).
+are sorted by (ts, change_id), summarised with numpy and composed onto the
+state.  The state also holds the newest (ts, change_id) applied; a row
+ordered before it arrived late: it is composed on arrival and counted in
+``late_rows`` (no watermark, so no row is dropped).  Each batch appends the
+touched products' state with its counter; the current view takes the row
+with the highest counter per product (sink row order is not a contract).
 """
 
 from __future__ import annotations
@@ -24,52 +32,46 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..session import ship_library, shuffle_partitions
 
 CHANGE_SCHEMA = "change_id BIGINT, product_id STRING, action STRING, amount INT, ts TIMESTAMP_NTZ"
-STATE_SCHEMA = "stock LONG, status STRING, n LONG, last_ts LONG, last_id LONG, late LONG"
-OUT_SCHEMA = "product_id STRING, stock LONG, status STRING, changes_seen LONG, late_rows LONG"
+STATE_SCHEMA = "a LONG, b LONG, inc BOOLEAN, n LONG, last_ts LONG, last_id LONG, late LONG"
+OUT_SCHEMA = "product_id STRING, a LONG, b LONG, any_increase BOOLEAN, changes_seen LONG, late_rows LONG"
 
 
 def _fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_us", "change_id"], kind="stable")
     if state.exists:
-        stock, status, n, last_ts, last_id, late = state.get
+        a, b, inc, n, last_ts, last_id, late = state.get
     else:
-        stock, status = int(pdf["s0"].iloc[0]), str(pdf["st0"].iloc[0])
-        n, last_ts, last_id, late = 0, None, None, 0
+        a, b, inc, n, last_ts, last_id, late = 0, 0, False, 0, None, None, 0
     ts = pdf["ts_us"].to_numpy()
     cid = pdf["change_id"].to_numpy()
     if last_ts is not None:
         late += int(((ts < last_ts) | ((ts == last_ts) & (cid <= last_id))).sum())
-    inc = (pdf["action"] == "increase").to_numpy()
+    up = (pdf["action"] == "increase").to_numpy()
     amt = pdf["amount"].to_numpy().astype(np.int64)
-    x = stock + np.cumsum(np.where(inc, amt, -amt))
-    after = x - np.minimum(0, np.minimum.accumulate(x))
-    if status != "Inactive":
-        ev = np.where(after == 0, "OutOfStock", np.where(inc, "Active", ""))
-        hits = ev[ev != ""]
-        if len(hits):
-            status = str(hits[-1])
-    stock = int(after[-1])
+    prefix = np.cumsum(np.where(up, amt, -amt))
+    a1 = int(prefix[-1])
+    b1 = a1 - min(0, int(prefix.min()))
+    a, b = a + a1, max(b + a1, b1)  # compose: state run, then this batch
+    inc = bool(inc or up.any())
     n += len(pdf)
     i = int(np.lexsort((cid, ts))[-1])
     if last_ts is None or (ts[i], cid[i]) > (last_ts, last_id):
         last_ts, last_id = int(ts[i]), int(cid[i])
-    state.update((stock, status, n, last_ts, last_id, late))
-    yield pd.DataFrame({"product_id": [key[0]], "stock": [stock], "status": [status],
+    state.update((a, b, inc, n, last_ts, last_id, late))
+    yield pd.DataFrame({"product_id": [key[0]], "a": [a], "b": [b], "any_increase": [inc],
                         "changes_seen": [n], "late_rows": [late]})
 
 
-def stock_state_stream(changes: DataFrame, product: DataFrame) -> DataFrame:
-    """Streaming changes -> per-product state rows (update mode)."""
-    p = product.select("product_id", F.col("stock").cast("bigint").alias("s0"), F.col("status").alias("st0"))
+def stock_state_stream(changes: DataFrame) -> DataFrame:
+    """Streaming changes -> per-product ledger summaries (update mode)."""
     valid = changes.filter((F.col("amount") >= 0) & F.col("action").isin("increase", "decrease"))
-    rows = (valid.join(p, "product_id")
-            .select("product_id", "change_id", "action", "amount", "s0", "st0",
-                    F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")))
+    rows = valid.select("product_id", "change_id", "action", "amount",
+                        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
     return rows.groupBy("product_id").applyInPandasWithState(
         _fold, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_stock_stream(spark: SparkSession, product: DataFrame, input_dir: str, output_dir: str,
+def run_stock_stream(spark: SparkSession, input_dir: str, output_dir: str,
                      checkpoint_dir: str, max_files_per_trigger: int | None = None,
                      state_partitions: int | None = None) -> None:
     """Process every file now in ``input_dir`` (availableNow) and stop.
@@ -88,13 +90,25 @@ def run_stock_stream(spark: SparkSession, product: DataFrame, input_dir: str, ou
         batch.withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("append").parquet(output_dir)
 
     with shuffle_partitions(spark, state_partitions):
-        q = (stock_state_stream(src, product).writeStream.outputMode("update").foreachBatch(sink)
+        q = (stock_state_stream(src).writeStream.outputMode("update").foreachBatch(sink)
              .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def current_stock(spark: SparkSession, output_dir: str) -> DataFrame:
+def current_stock(spark: SparkSession, output_dir: str, product: DataFrame) -> DataFrame:
+    """Current stock and status of every product the stream has seen.
+
+    The newest summary per product, applied to the product's start stock and
+    status (one batch join, not one per micro-batch).
+    """
     latest = (spark.read.parquet(output_dir).groupBy("product_id")
-              .agg(F.max(F.struct("changes_seen", "epoch", "stock", "status", "late_rows")).alias("s")))
-    return latest.select("product_id", F.col("s.stock").alias("stock"), F.col("s.status").alias("status"),
-                         F.col("s.changes_seen").alias("changes_seen"), F.col("s.late_rows").alias("late_rows"))
+              .agg(F.max(F.struct("changes_seen", "epoch", "a", "b", "any_increase", "late_rows")).alias("s"))
+              .select("product_id", "s.*"))
+    p = product.select("product_id", F.col("stock").cast("bigint").alias("s0"), F.col("status").alias("st0"))
+    stock = F.greatest(F.col("s0") + F.col("a"), F.col("b"))
+    status = (F.when(F.col("st0") == "Inactive", F.lit("Inactive"))
+              .when(F.col("stock") == 0, F.lit("OutOfStock"))
+              .when(F.col("any_increase"), F.lit("Active"))
+              .otherwise(F.col("st0")))
+    return (latest.join(p, "product_id").withColumn("stock", stock)
+            .select("product_id", "stock", status.alias("status"), "changes_seen", "late_rows"))

@@ -36,15 +36,56 @@ def test_stock_stream_in_order_equals_ledger_and_late_rows(spark):
     rows2 = [(4, "p1", "decrease", 1, t + dt.timedelta(hours=3)), (5, "p2", "decrease", 3, t + dt.timedelta(hours=4))]
     late = [(6, "p1", "increase", 10, t + dt.timedelta(minutes=30))]
     spark.createDataFrame(rows1, H2.CHANGE_SCHEMA).write.parquet(inp)
-    H2.run_stock_stream(spark, product, inp, out, ck)
+    H2.run_stock_stream(spark, inp, out, ck)
     spark.createDataFrame(rows2, H2.CHANGE_SCHEMA).write.mode("append").parquet(inp)
-    H2.run_stock_stream(spark, product, inp, out, ck)
-    got = {r.product_id: (r.stock, r.status, r.changes_seen, r.late_rows) for r in H2.current_stock(spark, out).collect()}
+    H2.run_stock_stream(spark, inp, out, ck)
+    got = {r.product_id: (r.stock, r.status, r.changes_seen, r.late_rows) for r in H2.current_stock(spark, out, product).collect()}
     ch = spark.createDataFrame(rows1 + rows2, H2.CHANGE_SCHEMA)
     final = {r.product_id: (r.stock, r.status) for r in X.stock_after_ledger(product, X.stock_ledger(product, ch)).collect()}
     assert {k: v[:2] for k, v in got.items()} == final
     assert got["p1"][2:] == (3, 0) and got["p2"] == (0, "OutOfStock", 2, 0)
     spark.createDataFrame(late, H2.CHANGE_SCHEMA).write.mode("append").parquet(inp)
-    H2.run_stock_stream(spark, product, inp, out, ck)
-    got = {r.product_id: (r.stock, r.changes_seen, r.late_rows) for r in H2.current_stock(spark, out).collect()}
+    H2.run_stock_stream(spark, inp, out, ck)
+    got = {r.product_id: (r.stock, r.changes_seen, r.late_rows) for r in H2.current_stock(spark, out, product).collect()}
     assert got["p1"] == (11, 4, 1)  # applied on arrival, counted late
+
+
+class _State:
+    """Stand-in for GroupState: exists / get / update."""
+
+    def __init__(self):
+        self.value = None
+
+    @property
+    def exists(self):
+        return self.value is not None
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, v):
+        self.value = v
+
+
+def test_fold_summaries_compose_to_the_step_by_step_fold():
+    import random
+
+    import pandas as pd
+    from test_changes import fold
+    rnd = random.Random(11)
+    for trial in range(300):
+        s0 = rnd.choice([0, 0, 1, 5, 30])
+        st0 = rnd.choice(["Active", "OutOfStock", "Inactive"])
+        rows = [(i, rnd.choice(["increase", "decrease", "decrease"]), rnd.randint(0, 9)) for i in range(rnd.randint(1, 25))]
+        want = fold(s0, st0, rows)[-1][1:]
+        state, cut = _State(), sorted(rnd.sample(range(1, len(rows)), k=min(len(rows) - 1, rnd.randint(0, 3))))
+        for lo, hi in zip([0] + cut, cut + [len(rows)]):
+            part = rows[lo:hi]
+            pdf = pd.DataFrame({"change_id": [r[0] for r in part], "action": [r[1] for r in part],
+                                "amount": [r[2] for r in part], "ts_us": [r[0] for r in part]})
+            out = next(H2._fold(("p",), iter([pdf]), state)).iloc[0]
+        stock = max(s0 + int(out.a), int(out.b))
+        status = ("Inactive" if st0 == "Inactive" else "OutOfStock" if stock == 0
+                  else "Active" if out.any_increase else st0)
+        assert (stock, status) == want, (trial, s0, st0, rows)
