@@ -181,9 +181,14 @@ def stock_ledger(product: DataFrame, changes: DataFrame, chunk: str = "day") ->
     each chunk is a map s -> max(s + A, B) with A its signed sum and B = A -
     min(0, its lowest prefix).  Such maps compose, so one small window over
     the chunk summaries of a product gives every chunk's start stock, and the
-    per-change windows never span more than one chunk.  The status follows
-    the same pattern: the last status-setting event wins, and Inactive never
-    changes.
+    per-change windows never span more than one chunk.
+
+    Status (F6 along the ledger) has a closed form: Inactive never changes;
+    stock 0 is OutOfStock; otherwise Active once any increase happened (an
+    increase lifts OutOfStock, and after the last increase only decreases
+    follow, which reach 0 or leave the status alone); else the start status.
+    "Any increase so far" is a running OR, carried across chunks like the
+    sums.
     """
     p = product.select("product_id", F.col("stock").alias("s0"), F.col("status").alias("st0"))
     c = (changes.filter((F.col("amount") >= 0) & F.col("action").isin("increase", "decrease"))
@@ -195,26 +200,24 @@ def stock_ledger(product: DataFrame, changes: DataFrame, chunk: str = "day") ->
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     c = (c.withColumn("P", F.sum("d").over(w_in))
          .withColumn("m", F.least(F.lit(0).cast("bigint"), F.min("P").over(w_in))))
+    up = (F.col("action") == "increase").cast("int")
     summ = (c.groupBy("product_id", "chunk", "s0")
-            .agg(F.sum("d").alias("A"), F.least(F.lit(0).cast("bigint"), F.min("P")).alias("mA")))
+            .agg(F.sum("d").alias("A"), F.least(F.lit(0).cast("bigint"), F.min("P")).alias("mA"),
+                 F.max(up).alias("incA")))
     w_ch = Window.partitionBy("product_id").orderBy("chunk")
     prev = w_ch.rowsBetween(Window.unboundedPreceding, -1)
     summ = (summ.withColumn("CA", F.coalesce(F.sum("A").over(prev), F.lit(0).cast("bigint")))
             .withColumn("Q", F.col("A") - F.col("mA") - (F.col("CA") + F.col("A")))
             .withColumn("S", F.col("CA") + F.greatest(F.col("s0"), F.coalesce(F.max("Q").over(prev), F.col("s0"))))
-            .select("product_id", "chunk", "S"))
+            .withColumn("inc_before", F.coalesce(F.max("incA").over(prev), F.lit(0)))
+            .select("product_id", "chunk", "S", "inc_before"))
     c = (c.join(summ, ["product_id", "chunk"])
-         .withColumn("stock_after", F.col("S") + F.col("P") - F.least(F.lit(0).cast("bigint"), F.col("S") + F.col("m"))))
-    ev = F.when(F.col("stock_after") == 0, F.lit(OUT_OF_STOCK)).when(F.col("action") == "increase", F.lit(ACTIVE))
-    c = (c.withColumn("ev", ev)
-         .withColumn("ev_in", F.last("ev", ignorenulls=True).over(w_in)))
-    last_ev = (c.groupBy("product_id", "chunk")
-               .agg(F.max(F.when(F.col("ev").isNotNull(), F.struct("ts", "change_id", "ev"))).alias("e"))
-               .select("product_id", "chunk", F.col("e.ev").alias("chunk_ev")))
-    last_ev = last_ev.withColumn("ev_before", F.last("chunk_ev", ignorenulls=True).over(prev)).drop("chunk_ev")
-    c = c.join(last_ev, ["product_id", "chunk"])
+         .withColumn("stock_after", F.col("S") + F.col("P") - F.least(F.lit(0).cast("bigint"), F.col("S") + F.col("m")))
+         .withColumn("inc_in", F.max(up).over(w_in)))
     status = (F.when(F.col("st0") == INACTIVE, F.lit(INACTIVE))
-              .otherwise(F.coalesce("ev_in", "ev_before", "st0")))
+              .when(F.col("stock_after") == 0, F.lit(OUT_OF_STOCK))
+              .when((F.col("inc_in") + F.col("inc_before")) > 0, F.lit(ACTIVE))
+              .otherwise(F.col("st0")))
     return c.select("change_id", "product_id", "action", "amount", "ts",
                     F.col("stock_after").cast("bigint").alias("stock_after"), status.alias("status_after"))
 
