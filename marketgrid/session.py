@@ -25,6 +25,28 @@ BASE_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Shuffle and scan sizing for a run over ``input_bytes`` on ``cores`` cores.
+
+    Shuffle partitions start at ~one per ``target_partition_bytes`` of input
+    (at least the core count, rounded up to a multiple of it so waves are
+    full); AQE then coalesces small ones to the same advisory size and splits
+    skewed ones.  For 100 TB on 1000 executors x 8 cores that is ~400,000
+    initial partitions of ~256 MB, each comfortably inside an executor's
+    execution memory, spilling rather than failing when a key is hot.
+    """
+    cores = max(int(cores), 1)
+    parts = max(cores, -(-int(input_bytes) // target_partition_bytes))
+    parts = -(-parts // cores) * cores
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes * 4),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
+
+
 def build_session(master: str | None = None, app: str = "marketgrid",
                   shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
