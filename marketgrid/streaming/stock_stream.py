@@ -16,7 +16,8 @@ state.  The state also holds the newest (ts, change_id) applied; a row
 ordered before it arrived late: it is composed on arrival and counted in
 ``late_rows`` (no watermark, so no row is dropped).  Each batch appends the
 touched products' state with its counter; the current view takes the row
-with the highest counter per product (sink row order is not a contract).
+with the highest counter per product (sink row order is not a contract, and a
+batch re-run after a failure only appends identical rows).
 """
 
 from __future__ import annotations
