@@ -199,3 +199,24 @@ def test_dense_numbers_equal_global_row_number(spark):
     got = {r.k: r.rn for r in dense_numbers(df, ["k"], base=100).collect()}
     want = {r.k: r.rn for r in df.select("k", (F.row_number().over(Window.orderBy("k")) + 100).alias("rn")).collect()}
     assert got == want
+
+
+def test_ledger_hot_product_across_many_chunks(spark):
+    # one product holds most changes; hour chunks cut it into ~240 pieces
+    rnd = random.Random(5)
+    t0 = dt.datetime(2024, 1, 1)
+    rows, cid = [], 0
+    for pid, n in [("hot", 3000), ("a", 20), ("b", 5)]:
+        for _ in range(n):
+            cid += 1
+            rows.append((cid, pid, rnd.choice(["increase", "decrease", "decrease"]), rnd.randint(0, 12),
+                         t0 + dt.timedelta(seconds=rnd.randint(0, 10 * 24 * 3600))))
+    starts = {"hot": (7, "OutOfStock"), "a": (0, "Active"), "b": (3, "Inactive")}
+    product = spark.createDataFrame([(k, s, st) for k, (s, st) in starts.items()], "product_id string, stock int, status string")
+    ch = spark.createDataFrame(rows, "change_id long, product_id string, action string, amount int, ts timestamp_ntz")
+    got = {r.change_id: (r.stock_after, r.status_after) for r in X.stock_ledger(product, ch, chunk="hour").collect()}
+    want = {}
+    for pid, (s0, st0) in starts.items():
+        seq = sorted((r for r in rows if r[1] == pid), key=lambda r: (r[4], r[0]))
+        want.update({c: (s, st) for c, s, st in fold(s0, st0, [(r[0], r[2], r[3]) for r in seq])})
+    assert got == want

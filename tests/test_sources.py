@@ -50,3 +50,11 @@ def test_publish_keeps_the_first_committed_table(spark, tmp_path):
     _publish(spark, a, dst)
     _publish(spark, b, dst)
     assert sorted(r.x for r in spark.read.parquet(dst).collect()) == [1]
+
+
+def test_scale_conf_sizes_partitions():
+    from marketgrid.session import scale_conf
+    small = scale_conf(40 << 20, 8)
+    assert small["spark.sql.shuffle.partitions"] == "8"
+    big = int(scale_conf(100 << 40, 8000)["spark.sql.shuffle.partitions"])
+    assert big % 8000 == 0 and 100 * 1024 * 4 <= big <= 100 * 1024 * 4 + 8000
