@@ -48,3 +48,11 @@ def current_vendor_ratings(spark: SparkSession, output_dir: str) -> DataFrame:
     return latest.select("vendor_id", F.col("r.rating_count").alias("rating_count"),
                          F.col("r.score_sum").alias("score_sum"),
                          (F.col("r.score_sum").cast("double") / F.col("r.rating_count")).alias("avg_score"))
+
+
+def compact_vendor_ratings(spark: SparkSession, output_dir: str, root: str | None = None) -> str:
+    """Write the current per-vendor view as a new versioned table and return
+    its path; the append-only changelog in ``output_dir`` can then be
+    archived.  One shuffle by vendor, nothing on the driver."""
+    from ..sources.sink import write_shop
+    return write_shop(current_vendor_ratings(spark, output_dir), "vendor_rating_stream", root=root)

@@ -89,3 +89,13 @@ def test_fold_summaries_compose_to_the_step_by_step_fold():
         status = ("Inactive" if st0 == "Inactive" else "OutOfStock" if stock == 0
                   else "Active" if out.any_increase else st0)
         assert (stock, status) == want, (trial, s0, st0, rows)
+
+
+def test_compaction_keeps_the_current_view(spark):
+    inp, out, ck = _dirs()
+    t = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, "c1", "s1", 5, t), (2, "c2", "s1", 3, t)], H1.RATING_SCHEMA).write.parquet(inp)
+    H1.run_rating_stream(spark, inp, out, ck)
+    path = H1.compact_vendor_ratings(spark, out)
+    got = {r.vendor_id: (r.rating_count, r.score_sum) for r in spark.read.parquet(path).collect()}
+    assert got == {"s1": (2, 8)}
