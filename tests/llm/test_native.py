@@ -28,7 +28,7 @@ def brute_quality(rows, least):
     holders = defaultdict(set)
     for r in rows:
         lines = (r[1] or "").split("\n")
-        longest = max((len(x), key(x)) for x in lines)[1]
+        longest = key(max((len(x), x) for x in lines)[1])
         for x in lines:
             if key(x):
                 holders[r[2], key(x)].add(longest)
