@@ -27,7 +27,10 @@ doc_id); an empty table gives no rows; other columns play no part.
 
 from __future__ import annotations
 
+import re
 import zlib
+from bisect import bisect_right
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -39,36 +42,79 @@ from .common import python_ready, stored
 from .prefix import running_sum
 
 END_ID = 1
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
+# a stop or comma after a-z or a letter of U+00C0-U+00FF, before white space or the end
+MARK = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,])(?![^\x20\x09-\x0D])")
 
 
 class WordEncoder:
     """Ids of texts, a white-space word at a time, with the words' ids remembered.
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are its words' ids in a row.  The memory is emptied when it is full.
+    The tokenizer drops white space, lower-cases and never joins across white
+    space, so a text's ids are its words' ids in a row.  A full stop or comma
+    between a letter and white space is a token run of its own and is split
+    off, so fewer different words remain.  New words of letters are encoded
+    together and told apart by the vocabulary's word-end mark, all others one
+    by one.  The memory is emptied when it is full.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         self.end = np.array([end_id], self.dtype).tobytes()
+        self.ends_word = np.zeros(size, bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.ends_word[k] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
 
+    def _single(self, words: list[bytes]) -> None:
+        for k in range(0, len(words), 20_000):
+            part = words[k:k + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, self.dtype).tobytes()
+
+    def _together(self, words: list[bytes]) -> None:
+        """Words of letters only: each gives one end-of-word token, its last."""
+        for k in range(0, len(words), 20_000):
+            part = words[k:k + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.int64)
+            last = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(last) != len(part) or last[-1] != len(ids):
+                self._single(part)
+                continue
+            raw, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+            a = 0
+            for w, z in zip(part, (last * width).tolist()):
+                self.known[w] = raw[a:z]
+                a = z
+
+    def _learn(self, words) -> None:
+        letters, other = [], []
+        for w in words:  # isalpha of bytes: ASCII letters
+            (letters if w.isalpha() or _letters(w.decode()) else other).append(w)
+        self._together(letters)
+        self._single(other)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
+        # lower case first, for fewer words; a special token's text is left as it is written
+        words = [MARK.sub(rb" \1", t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        for k in range(0, len(new), 20_000):
-            part = new[k:k + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, found):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([known[w] for w in ws]) + self.end for ws in words]
+        get = self.known.get
+        found = [list(map(get, ws)) for ws in words]
+        new = {w for ws, ids in zip(words, found) if None in ids for w, i in zip(ws, ids) if i is None}
+        if new:
+            self._learn(new)
+            found = [list(map(get, ws)) if None in ids else ids for ws, ids in zip(words, found)]
+        return [b"".join(ids) + self.end for ids in found]
+
+
+def _letters(word: str) -> bool:
+    """Letters only, also after the tokenizer's normalisation."""
+    return word.isalpha() and is_normalized("NFC", word) and word.lower().isalpha()
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -148,36 +194,35 @@ def pack(docs: DataFrame, path: str, window: int = 2048, quantum: int = 256, end
     python_ready(docs.sparkSession)
 
     def run(batches):
-        dtype = None
         for b in batches:
+            parts, n, ids = b.column(4), b.column(3).to_pylist(), b.column(2)
+            at = parts.offsets.to_pylist()
+            parts = [parts.values.field(k).to_pylist() for k in range(3)]
+            rows, out, crcs = [], [], []
             for k in range(b.num_rows):
-                ids, n = b.column(2)[k].as_buffer(), b.column(3)[k].as_py()
-                dtype = np.uint16 if len(ids) == 2 * n else np.uint32
-                ids = np.frombuffer(ids, dtype).astype("<u4")
-                out = list(cut(b.column(4)[k].as_py(), cuts, window))
-                m = len(out)
-                starts, lengths = [x[0] for x in out], [x[1] for x in out]
-                crcs = [zlib.crc32(ids[s:s + l].tobytes()) for s, l in zip(starts, lengths)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column(0)[k].as_py()] * m, pa.int64()), pa.array([b.column(1)[k].as_py()] * m, pa.string()),
-                     pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64()),
-                     pa.array([n] * m, pa.int64()), pa.array([x[2] for x in out], pa.int64()),
-                     pa.array([x[3] for x in out], pa.int64())],
-                    names=["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                raw = ids[k].as_buffer()
+                raw = memoryview(np.frombuffer(raw, np.uint16 if len(raw) == 2 * n[k] else np.uint32).astype("<u4").tobytes())
+                for piece in cut(zip(*(p[at[k]:at[k + 1]] for p in parts)), cuts, window):
+                    rows.append(k)
+                    out.append(piece)
+                    crcs.append(zlib.crc32(raw[4 * piece[0]:4 * (piece[0] + piece[1])]))
+            start, length, seq, offset = (pa.array([x[k] for x in out], pa.int64()) for k in range(4))
+            rows = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(rows), b.column(1).take(rows), start, length, pa.array(crcs, pa.int64()),
+                 b.column(3).take(rows), seq, offset],
+                names=["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return tokens.join(plan, "row").select("doc_id", "source", "ids", "n", "parts").mapInArrow(
         run, "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, "
              "sequence_id long, offset long")
 
 
-def cut(parts: list[dict], cuts: list[int], window: int):
-    """(start, length, sequence, offset) of a document's parts, cut where windows end; touching pieces are one."""
-    from bisect import bisect_right
-
+def cut(parts, cuts: list[int], window: int):
+    """(start, length, sequence, offset) of a document's (start, length, place) parts, cut where windows end; touching pieces are one."""
     full = cuts[0]
     held = None
-    for p in parts:
-        start, left, at = p["start"], p["length"], p["at"]
+    for start, left, at in parts:
         while left:
             if at < full:
                 seq, begin, end = at // window, at // window * window, at // window * window + window
