@@ -27,13 +27,13 @@ doc_id); an empty table gives no rows; other columns play no part.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_right
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,19 +43,41 @@ from .prefix import running_sum
 
 END_ID = 1
 CACHE_WORDS = 1_000_000
-# a stop or comma after a-z or a letter of U+00C0-U+00FF, before white space or the end
-MARK = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,])(?![^\x20\x09-\x0D])")
+# the tokenizer's own pattern for the parts of a word, which are encoded apart
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+class _Known(dict):
+    """Ids of words.  A word with a stop or comma behind a letter or digit is its own ids and the mark's."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes):
+        mark = word[-1:]
+        if mark == b"." or mark == b",":
+            body = word[:-1]
+            # ASCII letter or digit, or a letter of U+00C0-U+00FF
+            if body[-1:].isalnum() or body[-2:-1] == b"\xc3" and body[-1] not in (0x97, 0xB7):
+                ids, end = self.get(body), self.get(mark)
+                if ids is not None and end is not None:
+                    if len(word) < 6:
+                        self[word] = ids + end
+                    return ids + end
+                self.new += (body, mark)
+                return None
+        self.new.append(word)
+        return None
 
 
 class WordEncoder:
     """Ids of texts, a white-space word at a time, with the words' ids remembered.
 
     The tokenizer drops white space, lower-cases and never joins across white
-    space, so a text's ids are its words' ids in a row.  A full stop or comma
-    between a letter and white space is a token run of its own and is split
-    off, so fewer different words remain.  New words of letters are encoded
-    together and told apart by the vocabulary's word-end mark, all others one
-    by one.  The memory is emptied when it is full.
+    space, so a text's ids are its words' ids in a row.  New words of letters
+    are encoded together and told apart by the vocabulary's word-end mark;
+    others are put together from their parts, or encoded one by one where the
+    tokenizer might change them first.  The memory is emptied when it is full.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -68,7 +90,7 @@ class WordEncoder:
         self.ends_word = np.zeros(size, bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.ends_word[k] = token.endswith("</w>")
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known()
 
     def _single(self, words: list[bytes]) -> None:
         for k in range(0, len(words), 20_000):
@@ -91,24 +113,38 @@ class WordEncoder:
                 self.known[w] = raw[a:z]
                 a = z
 
-    def _learn(self, words) -> None:
-        letters, other = [], []
-        for w in words:  # isalpha of bytes: ASCII letters
-            (letters if w.isalpha() or _letters(w.decode()) else other).append(w)
-        self._together(letters)
-        self._single(other)
+    def _learn(self, words: set[bytes]) -> None:
+        known, letters, other, joined = self.known, [], [], []
+        for w in words:
+            if w in known:
+                continue
+            text = w.decode()
+            if w.isalpha() or _letters(text):  # isalpha of bytes: ASCII letters
+                letters.append(w)
+            elif b"<|" not in w and is_normalized("NFC", text) and text.lower() == text:
+                joined.append((w, [p.encode() for p in PARTS.findall(text)]))
+            else:
+                other.append(w)
+        for _, parts in joined:
+            for p in parts:
+                (letters if p.isalpha() else other).append(p)
+        for kind, encode in ((letters, self._together), (other, self._single)):
+            encode([w for w in dict.fromkeys(kind) if w not in known])
+        for w, parts in joined:
+            known[w] = b"".join([known[p] for p in parts])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # lower case first, for fewer words; a special token's text is left as it is written
-        words = [MARK.sub(rb" \1", t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        get = self.known.get
-        found = [list(map(get, ws)) for ws in words]
-        new = {w for ws, ids in zip(words, found) if None in ids for w, i in zip(ws, ids) if i is None}
-        if new:
-            self._learn(new)
-            found = [list(map(get, ws)) if None in ids else ids for ws, ids in zip(words, found)]
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        look = known.__getitem__
+        found = [list(map(look, ws)) for ws in words]
+        if known.new:
+            self._learn(set(known.new))
+            known.new = []
+            found = [list(map(look, ws)) if None in ids else ids for ws, ids in zip(words, found)]
         return [b"".join(ids) + self.end for ids in found]
 
 

@@ -119,3 +119,22 @@ it AS (SELECT doc_id, count(*) AS n, sha256(string_agg(item, ',' ORDER BY item))
 SELECT d.doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items,
   coalesce(it.h, sha256('')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+
+@_query
+def op1_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+    return remove_repeats(_read(spark, sf_dir, "documents"), window=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE["op1_recompression"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(generate_series(1, len(w) - 12)) AS i, w FROM d WHERE len(w) >= 13),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM p),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS m FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS i FROM f WHERE m < doc_id),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT x.doc_id, coalesce(string_agg(word, ' ' ORDER BY x.i) FILTER (WHERE c.i IS NULL), '') AS kept, count(c.i) AS n
+      FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.i = x.i GROUP BY x.doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
