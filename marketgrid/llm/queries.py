@@ -138,3 +138,9 @@ k AS (SELECT x.doc_id, coalesce(string_agg(word, ' ' ORDER BY x.i) FILTER (WHERE
       FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.i = x.i GROUP BY x.doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)"""
+
+
+@_query
+def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_texts
+    return score_texts(_read(spark, sf_dir, "documents"), folds=7, held=2)
