@@ -42,7 +42,7 @@ from .common import python_ready, stored
 from .prefix import running_sum
 
 END_ID = 1
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_600_000
 # the tokenizer's own pattern for the parts of a word, which are encoded apart
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -61,7 +61,7 @@ class _Known(dict):
             if body[-1:].isalnum() or body[-2:-1] == b"\xc3" and body[-1] not in (0x97, 0xB7):
                 ids, end = self.get(body), self.get(mark)
                 if ids is not None and end is not None:
-                    if len(word) < 6:
+                    if len(word) < 9:
                         self[word] = ids + end
                     return ids + end
                 self.new += (body, mark)

@@ -144,3 +144,21 @@ FROM d LEFT JOIN k USING (doc_id)"""
 def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score_texts
     return score_texts(_read(spark, sf_dir, "documents"), folds=7, held=2)
+
+
+@_query
+def op7_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import main_texts
+    return main_texts(_read(spark, sf_dir, "pages"))
+
+
+@_query
+def op9_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+    return identify(_read(spark, sf_dir, "documents"), folds=4, held=2)
+
+
+@_query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import find_licenses
+    return find_licenses(_read(spark, sf_dir, "documents"))
