@@ -27,6 +27,7 @@ doc_id); an empty table gives no rows; other columns play no part.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from bisect import bisect_right
 from unicodedata import is_normalized
@@ -168,11 +169,17 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, doc_id: str = "do
     python_ready(docs.sparkSession)
 
     def run(batches):
+        gc.disable()  # no cycles are made here, and the collector would walk the words' memory again and again
+        try:
+            yield from rows(batches)
+        finally:
+            gc.enable()
+
+    def rows(batches):
         enc, row = encoder(path, end_id), TaskContext.get().partitionId() << 40
         width = np.dtype(enc.dtype).itemsize
         for b in batches:
-            n = b.num_rows
-            for a in range(0, n, 256):
+            for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
                 ids = enc.encode([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(2)])
                 yield pa.RecordBatch.from_arrays(
