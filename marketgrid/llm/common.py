@@ -91,7 +91,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers.get(base, (np.ones(1, np.uint64), np.ones(1, np.uint64)))
     if len(up) < n:
-        size = max(n, 2 * len(up), 1 << 16)
+        size = max(n + n // 8, 1 << 16)
         up = np.full(size, base, np.uint64)
         down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1

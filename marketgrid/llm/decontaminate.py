@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, pieces, python_ready, stored, text_bytes, text_key
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 RESULT = "doc_id {id}, __t long, n_words long, hits array<struct<first:int,last:int>>, items array<string>"
 
 

@@ -43,7 +43,7 @@ from .common import python_ready, stored
 from .prefix import running_sum
 
 END_ID = 1
-CACHE_WORDS = 1_600_000
+CACHE_WORDS = 1_250_000
 # the tokenizer's own pattern for the parts of a word, which are encoded apart
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 

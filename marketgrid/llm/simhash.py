@@ -137,5 +137,9 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, doc_id: str = "
     found = near_duplicates(docs, shingle, radius, doc_id, text)
     first = stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
                    .select(F.col("doc_id").alias("__id")).distinct(), "firsts")
-    kept = docs.join(first, docs[doc_id].cast("long").eqNullSafe(first["__id"]), "left_semi")
-    return kept.dropDuplicates([doc_id])
+    # A plain equality leaves the rows dealt by doc_id, so dropping repeats moves no text again;
+    # rows without an id, which it cannot match, are looked at apart.
+    kept = docs.join(first, docs[doc_id] == first["__id"], "left_semi").dropDuplicates([doc_id])
+    unnamed = docs.filter(docs[doc_id].isNull()).join(first, docs[doc_id].cast("long").eqNullSafe(first["__id"]), "left_semi") \
+        .dropDuplicates([doc_id])
+    return kept.unionByName(unnamed)
