@@ -49,7 +49,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
           ("decontaminate", decontaminate), ("packing", packing)]
 
-# Tokenizer ids and SimHash fingerprints have no SQL form; tests/llm holds a brute-force pipeline.
+# Tokenizer ids and SimHash fingerprints have no SQL form; tests/llm tests each stage's operator by brute force.
 ORACLE_SQL = None
 
 
