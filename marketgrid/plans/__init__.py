@@ -4,16 +4,12 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["catalog", "vendors", "orders", "ratings", "changes", "users", "integrity", "streams"]
+_MODULES = ["catalog", "vendors", "orders", "ratings", "changes", "integrity", "streams"]
 
 
 def _load():
     for m in _MODULES:
-        try:
-            importlib.import_module(f"{__name__}.{m}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if e.name != f"{__name__}.{m}":
-                raise
+        importlib.import_module(f"{__name__}.{m}")
     from .registry import ORACLE, QUERIES
     return QUERIES, ORACLE
 

@@ -65,7 +65,8 @@ def build_session(master: str | None = None, app: str = "marketgrid",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only if unset."""
+    """Return the shared checkpoint folder; a scratch one is set only if unset
+    on a local master, elsewhere a missing setting is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) \
         or sc.getConf().get("spark.checkpoint.dir", None)
@@ -73,13 +74,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     local = tempfile.mkdtemp(prefix="marketgrid-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
 
 
 def state_root(spark: SparkSession) -> str:
-    """Folder for written next-state tables and stream checkpoints (shared storage)."""
+    """Folder for written next-state tables and stream checkpoints (shared storage).
+
+    ``spark.marketgrid.state.dir`` names one that outlives the application;
+    else it lies under the checkpoint folder, which Spark makes per application.
+    """
+    own = spark.conf.get("spark.marketgrid.state.dir", None)
+    if own:
+        return own.rstrip("/")
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/marketgrid-state"
 

@@ -6,16 +6,20 @@ the raw tables.  With ``staged=True`` (the default) each view is derived
 ONCE, written as parquet under the shared state root and read back - the
 shop's stored tables, as an ETL step would leave them - so queries do not
 re-derive, e.g., order items from line items in every branch of every plan.
-A staged table is keyed by the data folder and the view text, written with
-Spark's committer (a table without ``_SUCCESS`` is rebuilt); when an
-input is narrower than the cluster it is hash-partitioned on its whole row
-first, so reads are parallel and no key skews it.  Input folders are taken as immutable (a new snapshot is a new folder).
+A staged table is keyed by its view's text and those of all views below it
+(text and DataFrame form) and by the version of every raw input (bytes, file
+count, modification time), so changed inputs are staged anew.  It is written
+with Spark's committer (a table without ``_SUCCESS`` is rebuilt).  Only when
+EVERY raw input is read by fewer tasks than there are cores (so all of it is
+small) is it hash-partitioned on its whole row first; a small dimension never
+makes a wide fact table shuffle.
 ``staged=False`` keeps every view lazy.
 """
 
 from __future__ import annotations
 
 import hashlib
+import inspect
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,14 +90,14 @@ class Shop:
         return self.spark.sql(ALL_VIEWS[name], **bound)
 
     def _staged(self, name: str) -> DataFrame:
-        key = hashlib.sha1(f"{self.sf_dir}\n{ALL_VIEWS[name]}".encode()).hexdigest()[:16]
+        key = hashlib.sha1("\n".join([self.sf_dir, *self._version(name)]).encode()).hexdigest()[:16]
         path = f"{state_root(self.spark)}/staged/{name}-{key}"
         if not _committed(self.spark, path):
             df = self._derive(name)
             n = self.spark.sparkContext.defaultParallelism
             if self._narrow(name, n):
-                # An input is read by fewer tasks than there are cores (e.g. one
-                # big row group): spread the rows so later scans run in parallel.
+                # All inputs are read by fewer tasks than there are cores (e.g. one
+                # row group): spread the rows so later scans run in parallel.
                 df = df.repartition(n, *[df[c] for c in df.columns])
             # Write aside, then rename into place: concurrent stagers of the
             # same view never write into one folder, and the loser of the
@@ -109,9 +113,19 @@ class Shop:
         return set().union(*[self._raw_inputs(d) for d in deps(name)]) if deps(name) else set()
 
     def _narrow(self, name: str, n: int) -> bool:
-        """True when a raw input scans in fewer partitions than ``n`` (file
+        """True when every raw input scans in fewer partitions than ``n`` (file
         listing only, no job)."""
-        return any(self[t].rdd.getNumPartitions() < n for t in self._raw_inputs(name))
+        return all(self[t].rdd.getNumPartitions() < n for t in self._raw_inputs(name))
+
+    def _version(self, name: str) -> list[str]:
+        """Texts, forms and input versions that ``name`` depends on, transitively."""
+        if name in RAW_TABLES:
+            path, fs = _fs(self.spark, f"{self.sf_dir}/{name}.parquet")
+            c = fs.getContentSummary(path)
+            return [f"{name} {c.getLength()} {c.getFileCount()} {fs.getFileStatus(path).getModificationTime()}"]
+        form = SPARK_FORMS.get(name)
+        own = [ALL_VIEWS[name], inspect.getsource(form) if form else ""]
+        return own + [v for d in deps(name) for v in self._version(d)]
 
 
 def _fs(spark: SparkSession, path: str):
