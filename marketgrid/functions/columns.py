@@ -61,3 +61,16 @@ def price_text(col: Column | str) -> Column:
 def has_role(bits: Column | str, flag: int) -> Column:
     c = F.col(bits) if isinstance(bits, str) else bits
     return c.bitwiseAND(F.lit(flag)) != 0
+
+
+def trigger_status(old_stock, new_stock, status):
+    """The stock trigger, as a pure rule after any product update: stock 0 is
+    OutOfStock unless Inactive; stock back from 0 makes OutOfStock Active."""
+    return (F.when((new_stock == 0) & (status != INACTIVE), F.lit(OUT_OF_STOCK))
+            .when((new_stock > 0) & (old_stock == 0) & (status == OUT_OF_STOCK), F.lit(ACTIVE))
+            .otherwise(status))
+
+
+def date_time(col):
+    """Output form of a timestamp, to the second."""
+    return F.date_format(col, "yyyy-MM-dd HH:mm:ss")

@@ -8,6 +8,8 @@ is aggregated only for the page's products (a broadcast of at most
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +44,16 @@ def search_products(product: DataFrame, vendor: DataFrame, tagging: DataFrame, t
     Category and price are ANDed; the keyword and every tag term form ONE
     OR-group: a term matches when the product name contains it or one of the
     product's tags contains it (case-free, literal text).  Only Active products
-    of Active vendors.
+    of Active vendors.  Price bounds become decimal literals, so they
+    are pushed to the scan.
     """
     p = _active_listing(product, vendor)
     if category:
         p = p.filter(F.lower("category") == category.strip().lower())
     if min_price is not None:
-        p = p.filter(F.col("price") >= F.lit(min_price))
+        p = p.filter(F.col("price") >= F.lit(Decimal(str(min_price))))
     if max_price is not None:
-        p = p.filter(F.col("price") <= F.lit(max_price))
+        p = p.filter(F.col("price") <= F.lit(Decimal(str(max_price))))
     terms = clean_terms(([keyword] if keyword else []) + list(tags or []), lower=True)
     if terms:
         hits = _tag_hit_ids(tagging, tag, any_of([ci_contains("name", t) for t in terms]))

@@ -7,12 +7,13 @@ ledger) are prefix scans written as window functions over bounded chunks.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ACTIVE, INACTIVE, OUT_OF_STOCK, ROLE_VENDOR, ci_contains
+from ..functions.columns import ACTIVE, INACTIVE, OUT_OF_STOCK, ROLE_VENDOR, ci_contains, trigger_status
 from ..functions.numbering import dense_numbers
 
 MAX_TAGS = 3
@@ -54,12 +55,24 @@ def _tagging_for(parsed: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- products
-@dataclass
 class CatalogState:
-    outcomes: DataFrame
-    product: DataFrame
-    tag: DataFrame
-    tagging: DataFrame
+    """Outcomes and next tables of a batch of product requests.
+
+    New tag ids are numbered (which runs jobs) only when ``tag`` or
+    ``tagging`` is read; ``outcomes`` and ``product`` stay lazy.
+    """
+
+    def __init__(self, outcomes: DataFrame, product: DataFrame, tags: Callable[[], DataFrame],
+                 links: Callable[[DataFrame], DataFrame]):
+        self.outcomes, self.product, self._tags, self._links = outcomes, product, tags, links
+
+    @cached_property
+    def tag(self) -> DataFrame:
+        return self._tags()
+
+    @cached_property
+    def tagging(self) -> DataFrame:
+        return self._links(self.tag)
 
 
 PRODUCT_COLS = ["product_id", "name", "description", "price", "stock", "category", "image_url", "vendor_id",
@@ -80,10 +93,10 @@ def add_products(product: DataFrame, tag: DataFrame, tagging: DataFrame, new_row
         F.col("stock").cast("int").alias("stock"), "category", "image_url", "vendor_id",
         F.lit(ACTIVE).alias("status"), F.lit(0).cast("decimal(3,2)").alias("rating"), "created_seq")
     parsed = parse_product_tags(accepted)
-    tags = upsert_tags(tag, parsed)
-    new_links = _tagging_for(parsed, tags)
-    return CatalogState(outcomes, product.select(*PRODUCT_COLS).unionByName(rows), tags,
-                        tagging.select("product_id", "tag_id", "position").unionByName(new_links))
+    old_links = tagging.select("product_id", "tag_id", "position")
+    return CatalogState(outcomes, product.select(*PRODUCT_COLS).unionByName(rows),
+                        lambda: upsert_tags(tag, parsed),
+                        lambda tags: old_links.unionByName(_tagging_for(parsed, tags)))
 
 
 def ownership_check(product: DataFrame, claims: DataFrame) -> DataFrame:
@@ -95,33 +108,35 @@ def ownership_check(product: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def update_products(product: DataFrame, tag: DataFrame, tagging: DataFrame, updates: DataFrame,
-                    order_cols: list[str] | None = None) -> CatalogState:
+                    order_cols: list[str]) -> CatalogState:
     """owner-checked full overwrite of product fields and tag list.
 
     Claims by a vendor that does not own the product are rejected.  When one
-    product has several accepted updates the last by ``order_cols`` wins.
+    product has several accepted updates the last by ``order_cols`` (unique
+    per product) wins.  The stock trigger then sets the status, from the stock
+    before the batch.
     """
     fields = ["name", "description", "price", "stock", "category", "image_url", "status", "tags_text"]
     checked = ownership_check(product, updates).select("product_id", "vendor_id", "is_owner")
     u = updates.join(checked.dropDuplicates(["product_id", "vendor_id"]), ["product_id", "vendor_id"])
     ok = u.filter("is_owner")
-    key = order_cols or fields
-    last = (ok.groupBy("product_id").agg(F.max(F.struct(*key, *[F.col(c).alias(f"_{c}") for c in fields])).alias("u"))
+    last = (ok.groupBy("product_id").agg(F.max(F.struct(*order_cols, *[F.col(c).alias(f"_{c}") for c in fields])).alias("u"))
             .select("product_id", *[F.col(f"u._{c}").alias(f"new_{c}") for c in fields]))
     outcomes = u.select("product_id", "vendor_id",
                         F.when(F.col("is_owner"), "updated").otherwise("denied").alias("outcome"))
     cols = ["name", "description", "price", "stock", "category", "image_url", "status"]
     nxt = (product.join(last.withColumn("_t", F.lit(True)), "product_id", "left")
-           .select("product_id", "vendor_id", "rating", "created_seq",
+           .select("product_id", "vendor_id", "rating", "created_seq", "_t", F.col("stock").alias("_old"),
                    *[F.when(F.col("_t").isNotNull(), F.col(f"new_{c}").cast(product.schema[c].dataType))
                      .otherwise(F.col(c)).alias(c) for c in cols])
+           .withColumn("status", F.when(F.col("_t").isNull(), F.col("status"))
+                       .otherwise(trigger_status(F.col("_old"), F.col("stock"), F.col("status"))))
            .select(*PRODUCT_COLS))
     touched = last.select("product_id")
     parsed = parse_product_tags(last.select("product_id", F.col("new_tags_text").alias("tags_text")))
-    tags = upsert_tags(tag, parsed)
-    links = (tagging.select("product_id", "tag_id", "position").join(touched, "product_id", "left_anti")
-             .unionByName(_tagging_for(parsed, tags)))
-    return CatalogState(outcomes, nxt, tags, links)
+    kept = tagging.select("product_id", "tag_id", "position").join(touched, "product_id", "left_anti")
+    return CatalogState(outcomes, nxt, lambda: upsert_tags(tag, parsed),
+                        lambda tags: kept.unionByName(_tagging_for(parsed, tags)))
 
 
 def toggle_products(product: DataFrame, toggles: DataFrame) -> DataFrame:
@@ -150,9 +165,7 @@ def stock_status_step(old_stock, new_stock, status, action):
     manual = (F.when((action == "increase") & (status == OUT_OF_STOCK), F.lit(ACTIVE))
               .when((action == "decrease") & (new_stock <= 0) & (status == ACTIVE), F.lit(OUT_OF_STOCK))
               .otherwise(status))
-    return (F.when((new_stock == 0) & (manual != INACTIVE), F.lit(OUT_OF_STOCK))
-            .when((new_stock > 0) & (old_stock == 0) & (manual == OUT_OF_STOCK), F.lit(ACTIVE))
-            .otherwise(manual))
+    return trigger_status(old_stock, new_stock, manual)
 
 
 def stock_status_rule(product: DataFrame, changes: DataFrame) -> DataFrame:
@@ -239,19 +252,21 @@ def product_stock_status(product: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- vendors
-def vendor_onboard(vendor: DataFrame, users: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def vendor_onboard(vendor: DataFrame, users: DataFrame, requests: DataFrame,
+                   order_cols: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """F8: new Active vendor (rating 0) per user; then role |= vendor bit.
 
-    Outcomes: 'invalid' (blank name or location), 'unknown_user',
+    A user's first valid request by ``order_cols`` counts (invalid ones change
+    nothing, later ones meet an existing vendor).  One outcome per user: 'invalid' (blank name or location), 'unknown_user',
     'exists', 'onboarded'.  Returns (outcomes, next vendors, next users).
     """
-    r = (requests.select("user_id", F.trim("business_name").alias("business_name"), F.trim("location").alias("location"))
-         .groupBy("user_id").agg(F.min(F.struct("business_name", "location")).alias("r"))
+    valid = (F.trim("business_name") != "") & (F.trim("location") != "")
+    named = F.struct(*order_cols, F.trim("business_name").alias("business_name"), F.trim("location").alias("location"))
+    r = (requests.groupBy("user_id").agg(F.min(F.when(valid, named)).alias("r"))
          .select("user_id", "r.business_name", "r.location"))
     r = (r.join(users.select("user_id", F.lit(True).alias("_u")), "user_id", "left")
          .join(vendor.select(F.col("vendor_id").alias("user_id"), F.lit(True).alias("_v")), "user_id", "left"))
-    outcome = (F.when(F.coalesce(F.col("business_name"), F.lit("")) == "", "invalid")
-               .when(F.coalesce(F.col("location"), F.lit("")) == "", "invalid")
+    outcome = (F.when(F.col("business_name").isNull(), "invalid")
                .when(F.col("_u").isNull(), "unknown_user")
                .when(F.col("_v").isNotNull(), "exists").otherwise("onboarded"))
     r = r.withColumn("outcome", outcome)
@@ -271,8 +286,8 @@ def vendor_onboard(vendor: DataFrame, users: DataFrame, requests: DataFrame) ->
     return outcomes, vendors, next_users
 
 
-def vendor_update(vendor: DataFrame, updates: DataFrame, order_cols: list[str] | None = None) -> DataFrame:
-    """partial update (NULL or blank = unchanged).
+def vendor_update(vendor: DataFrame, updates: DataFrame, order_cols: list[str]) -> DataFrame:
+    """partial update (NULL or blank = unchanged); per field the last value by ``order_cols`` wins.
 
     Per request: 'not_found', 'no_change' (nothing given) or 'updated', with
     the vendor's name and location after all of the batch's updates.
@@ -280,12 +295,11 @@ def vendor_update(vendor: DataFrame, updates: DataFrame, order_cols: list[str] |
     u = updates.select("vendor_id",
                        F.when(F.trim("store_name") != "", F.col("store_name")).alias("store_name"),
                        F.when(F.trim("location") != "", F.col("location")).alias("location"),
-                       *(order_cols or []))
-    key = order_cols or ["store_name", "location"]
+                       *order_cols)
     last = (u.groupBy("vendor_id")
-            .agg(F.max(F.when(F.col("store_name").isNotNull(), F.struct(*key, F.col("store_name").alias("_v"))))
+            .agg(F.max(F.when(F.col("store_name").isNotNull(), F.struct(*order_cols, F.col("store_name").alias("_v"))))
                  .alias("n"),
-                 F.max(F.when(F.col("location").isNotNull(), F.struct(*key, F.col("location").alias("_v"))))
+                 F.max(F.when(F.col("location").isNotNull(), F.struct(*order_cols, F.col("location").alias("_v"))))
                  .alias("l"))
             .select("vendor_id", F.col("n._v").alias("_name"), F.col("l._v").alias("_loc")))
     nxt = (vendor.join(last, "vendor_id", "left")
@@ -343,6 +357,11 @@ def vendor_delete(vendor: DataFrame, product: DataFrame, sub_orders: DataFrame,
                     .when(F.col("_used").isNotNull(), "blocked").otherwise("deleted").alias("outcome")))
 
 
+def vendors_after_delete(vendor: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """the vendor table without the vendors ``vendor_delete`` deleted."""
+    return vendor.join(outcomes.filter(F.col("outcome") == "deleted").select("vendor_id"), "vendor_id", "left_anti")
+
+
 # ---------------------------------------------------------------- cascades
 def cascade_delete(orders: DataFrame, sub_orders: DataFrame, items: DataFrame, product: DataFrame,
                    tag: DataFrame, tagging: DataFrame, del_orders: DataFrame | None = None,
@@ -377,9 +396,11 @@ def cascade_delete(orders: DataFrame, sub_orders: DataFrame, items: DataFrame, p
     return out
 
 
-def customer_profile_update(profile: DataFrame, updates: DataFrame) -> DataFrame:
-    """partial profile update; NULL leaves a field unchanged."""
+def customer_profile_update(profile: DataFrame, updates: DataFrame, order_cols: list[str]) -> DataFrame:
+    """partial profile update; NULL leaves a field unchanged, else the
+    last value by ``order_cols`` wins, per field."""
     fields = ["nick_name", "address", "phone_number"]
-    last = updates.groupBy("user_id").agg(*[F.max(F.col(c)).alias(f"_{c}") for c in fields])
+    last = updates.groupBy("user_id").agg(*[
+        F.max(F.when(F.col(c).isNotNull(), F.struct(*order_cols, F.col(c).alias("_v")))).alias(f"_{c}") for c in fields])
     return (profile.join(last, "user_id", "left")
-            .select("user_id", *[F.coalesce(f"_{c}", c).alias(c) for c in fields]))
+            .select("user_id", *[F.coalesce(F.col(f"_{c}._v"), F.col(c)).alias(c) for c in fields]))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ACTIVE, INACTIVE, ROLE_ADMIN, ROLE_VENDOR, has_role, money
+from ..functions.columns import ACTIVE, INACTIVE, ROLE_ADMIN, ROLE_VENDOR, date_time, has_role, money, trigger_status
 
 LINE_ORDER = ["line_no", "product_id", "quantity"]  # unique within a cart
 
@@ -105,12 +105,19 @@ def split_orders(lines: DataFrame, product: DataFrame, vendor: DataFrame) -> Spl
 
 
 def checkout_stock(product: DataFrame, items: DataFrame) -> DataFrame:
-    """Stock minus ordered quantity, no floor at zero (checkout path)."""
+    """Stock minus ordered quantity, no floor at zero (checkout path).
+
+    A batch is one update per product (quantities summed), followed by the
+    stock trigger; products nobody ordered keep their status.
+    """
     ordered = items.groupBy("product_id").agg(F.sum("quantity").alias("ordered"))
-    return (product.select("product_id", "stock").join(ordered, "product_id", "left")
+    after = F.col("stock") - F.coalesce("ordered", F.lit(0))
+    return (product.select("product_id", "stock", "status").join(ordered, "product_id", "left")
             .select("product_id", F.col("stock").alias("stock_before"),
                     F.coalesce("ordered", F.lit(0)).cast("bigint").alias("ordered"),
-                    (F.col("stock") - F.coalesce("ordered", F.lit(0))).cast("bigint").alias("stock_after")))
+                    after.cast("bigint").alias("stock_after"),
+                    F.when(F.col("ordered").isNull(), F.col("status"))
+                    .otherwise(trigger_status(F.col("stock"), after, F.col("status"))).alias("status_after")))
 
 
 def order_details(orders: DataFrame, sub_orders: DataFrame, items: DataFrame, product: DataFrame) -> DataFrame:
@@ -179,9 +186,9 @@ def order_items_named(items: DataFrame, product: DataFrame) -> DataFrame:
 def customer_orders(orders: DataFrame, customer_id: str | None = None) -> DataFrame:
     """Orders per customer, newest first (range-partitioned global sort)."""
     o = orders if customer_id is None else orders.filter(F.col("customer_id") == customer_id)
-    return (o.select("order_id", "customer_id", F.date_format("order_date", "yyyy-MM-dd").alias("order_date"), "status",
-                     money("total_amount").alias("total_amount"), "payment_status")
-            .orderBy("customer_id", F.col("order_date").desc(), "order_id"))
+    return (o.orderBy("customer_id", F.col("order_date").desc(), "order_id")
+            .select("order_id", "customer_id", date_time("order_date").alias("order_date"), "status",
+                    money("total_amount").alias("total_amount"), "payment_status"))
 
 
 def order_visibility(requests: DataFrame, users: DataFrame, orders: DataFrame, sub_orders: DataFrame) -> DataFrame:
@@ -264,9 +271,12 @@ class OrderState:
 
 
 def _restore_stock(product: DataFrame, restore: DataFrame) -> DataFrame:
+    """Stock plus the restored units (one update per product), then the stock trigger."""
     add = restore.groupBy("product_id").agg(F.sum("quantity").alias("_add"))
-    return (product.join(add, "product_id", "left")
-            .withColumn("stock", (F.col("stock") + F.coalesce("_add", F.lit(0))).cast("int")).drop("_add"))
+    after = (F.col("stock") + F.coalesce("_add", F.lit(0))).cast("int")
+    status = (F.when(F.col("_add").isNull(), F.col("status"))
+              .otherwise(trigger_status(F.col("stock"), after, F.col("status"))))
+    return product.join(add, "product_id", "left").withColumns({"stock": after, "status": status}).drop("_add")
 
 
 def cancel_orders(orders: DataFrame, sub_orders: DataFrame, items: DataFrame, product: DataFrame,

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ACTIVE, INACTIVE, ROLE_ADMIN, ROLE_VENDOR, ci_contains, has_role, money, round2
+from ..functions.columns import date_time, ACTIVE, INACTIVE, ROLE_ADMIN, ROLE_VENDOR, ci_contains, has_role, money, round2
 from .catalog import product_cards
 
 TABS = ("all", "active", "inactive", "inventory")
@@ -112,7 +112,7 @@ def vendors_list(vendor: DataFrame, status: str | None = None, location: str | N
     v = _vendor_row(v).orderBy(F.col("created_seq").desc(), F.col("vendor_id"))
     if offset:
         v = v.offset(offset)
-    if limit:
+    if limit is not None:
         v = v.limit(limit)
     return v
 
@@ -156,14 +156,15 @@ def vendor_order_lines(product: DataFrame, items: DataFrame, orders: DataFrame)
     return (items.select("order_id", "product_id", "quantity", "price_per_unit")
             .join(p, "product_id").join(o, "order_id")
             .select("vendor_id", "order_id", "product_id", "quantity",
-                    money("price_per_unit").alias("price"), F.date_format("order_date", "yyyy-MM-dd").alias("order_date"),
+                    money("price_per_unit").alias("price"), date_time("order_date").alias("order_date"),
                     "status", "customer_id", "product_name")
-            .distinct())
+            .distinct()
+            .orderBy("vendor_id", F.col("order_date").desc(), "order_id", "product_id", "quantity"))
 
 
 def vendor_sub_orders(sub_orders: DataFrame, items: DataFrame, orders: DataFrame, users: DataFrame,
                       merchant_id: str | None = None) -> DataFrame:
-    """C11: sub-orders with item count (removed items included) and customer name.
+    """C11: sub-orders, newest first, with item count (removed items included) and customer name.
 
     The correlated COUNT(*) becomes a pre-aggregate joined LEFT, so a
     sub-order without items shows 0.
@@ -175,8 +176,9 @@ def vendor_sub_orders(sub_orders: DataFrame, items: DataFrame, orders: DataFrame
         "customer_id")
     return (so.join(counts, "sub_order_id", "left").join(cust, "order_id")
             .select("sub_order_id", "order_id", "merchant_id", money("sub_total_amount").alias("sub_total_amount"),
-                    "status", "shipping_status", F.date_format("created_at", "yyyy-MM-dd").alias("created_at"),
-                    F.coalesce("item_count", F.lit(0)).cast("bigint").alias("item_count"), "customer_name"))
+                    "status", "shipping_status", date_time("created_at").alias("created_at"),
+                    F.coalesce("item_count", F.lit(0)).cast("bigint").alias("item_count"), "customer_name")
+            .orderBy("merchant_id", F.col("created_at").desc(), "sub_order_id"))
 
 
 def vendor_analytics(sub_orders: DataFrame, vendor: DataFrame) -> DataFrame:
@@ -262,4 +264,4 @@ def vendor_catalog(product: DataFrame, vendor: DataFrame, vendor_id: str | None
     p = p.join(vendor.select("vendor_id"), "vendor_id", "left_semi")
     return (p.select("vendor_id", "product_id", "name", "description", money("price").alias("price"), "stock",
                      "category", "image_url", "status", money("rating").alias("rating"), "created_seq")
-            .orderBy("vendor_id", F.col("created_seq").desc()))
+            .orderBy("vendor_id", F.col("created_seq").desc(), "product_id"))

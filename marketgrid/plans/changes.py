@@ -49,6 +49,16 @@ def q_add_products(shop):
     return _add(shop).outcomes
 
 
+@register("add_products_product", """
+SELECT product_id, name, description, CAST(price AS DOUBLE) price, stock, category, image_url, vendor_id, status,
+ CAST(rating AS DOUBLE) rating, created_seq FROM shop_product
+UNION ALL
+SELECT product_id, name, description, CAST(price AS DOUBLE), CAST(stock AS INTEGER), category, image_url, vendor_id,
+ 'Active', 0.0, created_seq FROM shop_new_product WHERE product_id NOT IN (SELECT product_id FROM shop_product)""")
+def q_add_products_product(shop):
+    return _add(shop).product.withColumns({"price": money("price"), "rating": money("rating")})
+
+
 @register("add_products_tagging", f"""
 WITH acc AS (SELECT * FROM shop_new_product WHERE product_id NOT IN (SELECT product_id FROM shop_product)),
 n AS ({parse_sql('acc')}),
@@ -62,11 +72,12 @@ def q_add_products_tagging(shop):
 
 
 def _update(shop):
-    return X.update_products(shop.shop_product, shop.shop_tag, shop.shop_tagging, shop.shop_product_update)
+    return X.update_products(shop.shop_product, shop.shop_tag, shop.shop_tagging, shop.shop_product_update, ["seq"])
 
 
-_OWNED_UPDATE = """u AS (SELECT x.* FROM shop_product_update x JOIN shop_product p
- ON p.product_id = x.product_id AND p.vendor_id = x.vendor_id)"""
+_OWNED_UPDATE = """u AS (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY x.product_id ORDER BY x.seq DESC) rn
+ FROM shop_product_update x JOIN shop_product p ON p.product_id = x.product_id AND p.vendor_id = x.vendor_id) y
+ WHERE rn = 1)"""
 
 
 @register("update_products", f"""
@@ -78,7 +89,8 @@ SELECT p.product_id,
  CASE WHEN u.product_id IS NOT NULL THEN CAST(u.stock AS INTEGER) ELSE p.stock END stock,
  CASE WHEN u.product_id IS NOT NULL THEN u.category ELSE p.category END category,
  CASE WHEN u.product_id IS NOT NULL THEN u.image_url ELSE p.image_url END image_url,
- CASE WHEN u.product_id IS NOT NULL THEN u.status ELSE p.status END status, p.vendor_id
+ CASE WHEN u.product_id IS NULL THEN p.status WHEN u.stock = 0 AND u.status <> 'Inactive' THEN 'OutOfStock'
+  WHEN u.stock > 0 AND p.stock = 0 AND u.status = 'OutOfStock' THEN 'Active' ELSE u.status END status, p.vendor_id
 FROM shop_product p LEFT JOIN u ON u.product_id = p.product_id""")
 def q_update_products(shop):
     return _update(shop).product.select("product_id", "name", "description", money("price").alias("price"),
@@ -170,23 +182,48 @@ def q_stock_status_rule(shop):
     return X.stock_status_rule(shop.shop_product, shop.shop_stock_change)
 
 
-@register("vendor_onboard", """
-WITH r0 AS (SELECT user_id, trim(business_name) business_name, trim(location) location FROM shop_onboard_request),
-r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY business_name, location) rn FROM r0) x
+_ONBOARD = """r0 AS (SELECT user_id, trim(business_name) business_name, trim(location) location, seq,
+  coalesce(trim(business_name), '') <> '' AND coalesce(trim(location), '') <> '' ok FROM shop_onboard_request),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ok DESC, seq) rn FROM r0) x
  WHERE rn = 1),
-o AS (SELECT r.user_id, CASE WHEN coalesce(r.business_name, '') = '' OR coalesce(r.location, '') = '' THEN 'invalid'
+o AS (SELECT r.user_id, r.business_name, r.location, CASE WHEN NOT r.ok THEN 'invalid'
   WHEN u.user_id IS NULL THEN 'unknown_user' WHEN v.vendor_id IS NOT NULL THEN 'exists' ELSE 'onboarded' END outcome
- FROM r LEFT JOIN shop_user u ON u.user_id = r.user_id LEFT JOIN shop_vendor v ON v.vendor_id = r.user_id)
+ FROM r LEFT JOIN shop_user u ON u.user_id = r.user_id LEFT JOIN shop_vendor v ON v.vendor_id = r.user_id)"""
+
+
+def _onboard(shop):
+    return X.vendor_onboard(shop.shop_vendor, shop.shop_user, shop.shop_onboard_request, ["seq"])
+
+
+@register("vendor_onboard", f"""
+WITH {_ONBOARD}
 SELECT o.user_id, o.outcome, CASE WHEN o.outcome = 'onboarded' THEN u.role_bits | 2 ELSE u.role_bits END role_bits
 FROM o LEFT JOIN shop_user u ON u.user_id = o.user_id""")
 def q_vendor_onboard(shop):
-    return X.vendor_onboard(shop.shop_vendor, shop.shop_user, shop.shop_onboard_request)[0]
+    return _onboard(shop)[0]
+
+
+@register("vendor_onboard_vendors", f"""
+WITH {_ONBOARD}
+SELECT vendor_id, store_name, location, status, CAST(rating AS DOUBLE) rating FROM shop_vendor
+UNION ALL SELECT user_id, business_name, location, 'Active', 0.0 FROM o WHERE outcome = 'onboarded'""")
+def q_vendor_onboard_vendors(shop):
+    return _onboard(shop)[1].select("vendor_id", "store_name", "location", "status", money("rating").alias("rating"))
+
+
+@register("vendor_onboard_users", f"""
+WITH {_ONBOARD}
+SELECT u.user_id, u.username, CASE WHEN o.outcome = 'onboarded' THEN u.role_bits | 2 ELSE u.role_bits END role_bits
+FROM shop_user u LEFT JOIN o ON o.user_id = u.user_id""")
+def q_vendor_onboard_users(shop):
+    return _onboard(shop)[2].select("user_id", "username", "role_bits")
 
 
 @register("vendor_update", """
 WITH u AS (SELECT vendor_id, CASE WHEN trim(store_name) <> '' THEN store_name END store_name,
-  CASE WHEN trim(location) <> '' THEN location END location FROM shop_vendor_update),
-l AS (SELECT vendor_id, max(store_name) n, max(location) l FROM u GROUP BY 1),
+  CASE WHEN trim(location) <> '' THEN location END location, seq FROM shop_vendor_update),
+l AS (SELECT vendor_id, arg_max(store_name, seq) FILTER (WHERE store_name IS NOT NULL) n,
+  arg_max(location, seq) FILTER (WHERE location IS NOT NULL) l FROM u GROUP BY 1),
 n AS (SELECT v.vendor_id, coalesce(l.n, v.store_name) store_name, coalesce(l.l, v.location) location
  FROM shop_vendor v LEFT JOIN l ON l.vendor_id = v.vendor_id)
 SELECT u.vendor_id, CASE WHEN n.vendor_id IS NULL THEN 'not_found'
@@ -194,7 +231,7 @@ SELECT u.vendor_id, CASE WHEN n.vendor_id IS NULL THEN 'not_found'
  n.store_name, n.location
 FROM u LEFT JOIN n ON n.vendor_id = u.vendor_id""")
 def q_vendor_update(shop):
-    return X.vendor_update(shop.shop_vendor, shop.shop_vendor_update)
+    return X.vendor_update(shop.shop_vendor, shop.shop_vendor_update, ["seq"])
 
 
 @register("vendor_status_change", """
@@ -225,14 +262,26 @@ def q_vendor_delete(shop):
     return X.vendor_delete(shop.shop_vendor, shop.shop_product, shop.shop_sub_orders, req)
 
 
-@register("cascade_delete", """
-WITH d_o AS (SELECT concat('o', CAST(o_orderkey AS VARCHAR)) order_id FROM orders WHERE o_orderpriority = '5-LOW'),
+@register("vendor_delete_vendors", """
+SELECT vendor_id, store_name, location, status FROM shop_vendor v
+WHERE vendor_id NOT IN (SELECT user_id FROM shop_user) OR EXISTS (SELECT 1 FROM shop_product p WHERE p.vendor_id = v.vendor_id)
+ OR EXISTS (SELECT 1 FROM shop_sub_orders s WHERE s.merchant_id = v.vendor_id)""")
+def q_vendor_delete_vendors(shop):
+    return (X.vendors_after_delete(shop.shop_vendor, q_vendor_delete(shop))
+            .select("vendor_id", "store_name", "location", "status"))
+
+
+_CASCADE = """d_o AS (SELECT concat('o', CAST(o_orderkey AS VARCHAR)) order_id FROM orders WHERE o_orderpriority = '5-LOW'),
 o AS (SELECT * FROM shop_orders WHERE order_id NOT IN (SELECT order_id FROM d_o)),
 so AS (SELECT * FROM shop_sub_orders WHERE order_id NOT IN (SELECT order_id FROM d_o)),
 it AS (SELECT * FROM shop_order_items WHERE sub_order_id IN (SELECT sub_order_id FROM so)),
 dp AS (SELECT product_id FROM shop_product WHERE stock = 49),
 gone AS (SELECT product_id FROM dp WHERE product_id NOT IN (SELECT product_id FROM it)),
-dt AS (SELECT tag_id FROM shop_tag WHERE name LIKE 'Brand#2%')
+dt AS (SELECT tag_id FROM shop_tag WHERE name LIKE 'Brand#2%')"""
+
+
+@register("cascade_delete", f"""
+WITH {_CASCADE}
 SELECT 'orders' table_name, count(*) n_rows FROM o
 UNION ALL SELECT 'sub_orders', count(*) FROM so
 UNION ALL SELECT 'order_items', count(*) FROM it
@@ -242,24 +291,58 @@ UNION ALL SELECT 'tagging', count(*) FROM shop_tagging WHERE product_id NOT IN (
  AND tag_id NOT IN (SELECT tag_id FROM dt)
 UNION ALL SELECT 'product_blocked', count(*) FROM dp WHERE product_id IN (SELECT product_id FROM it)""")
 def q_cascade_delete(shop):
-    d_o = shop.orders.filter(F.col("o_orderpriority") == "5-LOW").select(
-        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("order_id"))
-    out = X.cascade_delete(shop.shop_orders, shop.shop_sub_orders, shop.shop_order_items, shop.shop_product,
-                           shop.shop_tag, shop.shop_tagging, del_orders=d_o,
-                           del_products=shop.shop_product.filter(F.col("stock") == 49),
-                           del_tags=shop.shop_tag.filter(F.col("name").startswith("Brand#2")))
     parts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(k).alias("table_name"), "n_rows")
-             for k, df in out.items()]
+             for k, df in _cascade(shop).items()]
     res = parts[0]
     for p in parts[1:]:
         res = res.unionByName(p)
     return res
 
 
+def _cascade(shop):
+    d_o = shop.orders.filter(F.col("o_orderpriority") == "5-LOW").select(
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("order_id"))
+    return X.cascade_delete(shop.shop_orders, shop.shop_sub_orders, shop.shop_order_items, shop.shop_product,
+                           shop.shop_tag, shop.shop_tagging, del_orders=d_o,
+                            del_products=shop.shop_product.filter(F.col("stock") == 49),
+                            del_tags=shop.shop_tag.filter(F.col("name").startswith("Brand#2")))
+
+
+@register("cascade_orders", f"WITH {_CASCADE} SELECT order_id, customer_id, status FROM o")
+def q_cascade_orders(shop):
+    return _cascade(shop)["orders"].select("order_id", "customer_id", "status")
+
+
+@register("cascade_sub_orders", f"WITH {_CASCADE} SELECT sub_order_id, order_id, merchant_id FROM so")
+def q_cascade_sub_orders(shop):
+    return _cascade(shop)["sub_orders"].select("sub_order_id", "order_id", "merchant_id")
+
+
+@register("cascade_order_items", f"WITH {_CASCADE} SELECT order_item_id, sub_order_id, product_id FROM it")
+def q_cascade_order_items(shop):
+    return _cascade(shop)["order_items"].select("order_item_id", "sub_order_id", "product_id")
+
+
+@register("cascade_product", f"""
+WITH {_CASCADE}
+SELECT product_id, name FROM shop_product WHERE product_id NOT IN (SELECT product_id FROM gone)""")
+def q_cascade_product(shop):
+    return _cascade(shop)["product"].select("product_id", "name")
+
+
+@register("cascade_tagging", f"""
+WITH {_CASCADE}
+SELECT product_id, tag_id, position FROM shop_tagging WHERE product_id NOT IN (SELECT product_id FROM gone)
+ AND tag_id NOT IN (SELECT tag_id FROM dt)""")
+def q_cascade_tagging(shop):
+    return _cascade(shop)["tagging"].select("product_id", "tag_id", "position")
+
+
 @register("customer_profile", """
 SELECT c.user_id, coalesce(u.nick_name, c.nick_name) nick_name, coalesce(u.address, c.address) address,
  coalesce(u.phone_number, c.phone_number) phone_number
-FROM shop_customer_profile c LEFT JOIN (SELECT user_id, max(nick_name) nick_name, max(address) address,
- max(phone_number) phone_number FROM shop_profile_update GROUP BY 1) u ON u.user_id = c.user_id""")
+FROM shop_customer_profile c LEFT JOIN (SELECT user_id, arg_max(nick_name, seq) FILTER (WHERE nick_name IS NOT NULL) nick_name,
+ arg_max(address, seq) FILTER (WHERE address IS NOT NULL) address,
+ arg_max(phone_number, seq) FILTER (WHERE phone_number IS NOT NULL) phone_number FROM shop_profile_update GROUP BY 1) u ON u.user_id = c.user_id""")
 def q_customer_profile(shop):
-    return X.customer_profile_update(shop.shop_customer_profile, shop.shop_profile_update)
+    return X.customer_profile_update(shop.shop_customer_profile, shop.shop_profile_update, ["seq"])

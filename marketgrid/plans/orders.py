@@ -84,7 +84,9 @@ def q_split_order_items(shop):
 @register("checkout_stock", f"""
 {_SPLIT_IT}
 SELECT p.product_id, p.stock stock_before, CAST(coalesce(o.ordered, 0) AS BIGINT) ordered,
- CAST(p.stock - coalesce(o.ordered, 0) AS BIGINT) stock_after
+ CAST(p.stock - coalesce(o.ordered, 0) AS BIGINT) stock_after,
+ CASE WHEN o.ordered IS NOT NULL AND p.stock = o.ordered AND p.status <> 'Inactive' THEN 'OutOfStock'
+  WHEN o.ordered < p.stock AND p.stock = 0 AND p.status = 'OutOfStock' THEN 'Active' ELSE p.status END status_after
 FROM shop_product p LEFT JOIN (SELECT product_id, sum(quantity) ordered FROM it GROUP BY 1) o
  ON o.product_id = p.product_id""")
 def q_checkout_stock(shop):
@@ -114,7 +116,7 @@ def q_order_items_named(shop):
 
 
 @register("customer_orders", """
-SELECT order_id, customer_id, strftime(order_date, '%Y-%m-%d') order_date, status, CAST(total_amount AS DOUBLE) total_amount,
+SELECT order_id, customer_id, strftime(order_date, '%Y-%m-%d %H:%M:%S') order_date, status, CAST(total_amount AS DOUBLE) total_amount,
  payment_status FROM shop_order_state""")
 def q_customer_orders(shop):
     return O.customer_orders(shop.shop_order_state)
@@ -154,6 +156,9 @@ def q_apply_order_status(shop):
     return O.apply_order_status(shop.shop_order_state, shop.shop_order_change, _SEQ)
 
 
+# Status after stock p.stock + a.q (a.q NULL: not restored).
+_RESTORED = """CASE WHEN a.q IS NOT NULL AND p.stock + a.q = 0 AND p.status <> 'Inactive' THEN 'OutOfStock'
+  WHEN p.stock + a.q > 0 AND p.stock = 0 AND p.status = 'OutOfStock' THEN 'Active' ELSE p.status END"""
 _CANCEL = """req AS (SELECT DISTINCT order_id FROM shop_cancel_request),
 acc AS (SELECT r.order_id FROM req r WHERE EXISTS (SELECT 1 FROM shop_order_state o WHERE o.order_id = r.order_id)
  AND NOT EXISTS (SELECT 1 FROM shop_sub_orders s WHERE s.order_id = r.order_id AND s.shipping_status <> 'pending'))"""
@@ -180,10 +185,41 @@ def q_cancel_orders(shop):
 WITH {_CANCEL},
 a AS (SELECT product_id, sum(quantity) q FROM shop_order_items
  WHERE item_status = 'active' AND order_id IN (SELECT order_id FROM acc) GROUP BY 1)
-SELECT p.product_id, CAST(p.stock + coalesce(a.q, 0) AS INT) stock
+SELECT p.product_id, CAST(p.stock + coalesce(a.q, 0) AS INT) stock, {_RESTORED} status
 FROM shop_product p LEFT JOIN a ON a.product_id = p.product_id""")
 def q_cancel_orders_stock(shop):
-    return _cancel(shop).product.select("product_id", "stock")
+    return _cancel(shop).product.select("product_id", "stock", "status")
+
+
+@register("cancel_orders_orders", f"""
+WITH {_CANCEL}
+SELECT order_id, customer_id, CAST(total_amount AS DOUBLE) total_amount, payment_status,
+ CASE WHEN order_id IN (SELECT order_id FROM acc) THEN 'cancelled' ELSE status END status FROM shop_order_state""")
+def q_cancel_orders_orders(shop):
+    return _cancel(shop).orders.select("order_id", "customer_id", money("total_amount").alias("total_amount"),
+                                       "payment_status", "status")
+
+
+@register("cancel_orders_sub_orders", f"""
+WITH {_CANCEL}
+SELECT sub_order_id, order_id, merchant_id, CAST(sub_total_amount AS DOUBLE) sub_total_amount, shipping_status,
+ CASE WHEN order_id IN (SELECT order_id FROM acc) THEN 'cancelled' ELSE status END status FROM shop_sub_orders""")
+def q_cancel_orders_sub_orders(shop):
+    return _cancel(shop).sub_orders.select("sub_order_id", "order_id", "merchant_id",
+                                           money("sub_total_amount").alias("sub_total_amount"), "shipping_status",
+                                           "status")
+
+
+_ITEM_COLS = ["order_item_id", "order_id", "sub_order_id", "product_id", "quantity", "item_status"]
+
+
+@register("cancel_orders_items", f"""
+WITH {_CANCEL}
+SELECT order_item_id, order_id, sub_order_id, product_id, quantity,
+ CASE WHEN order_id IN (SELECT order_id FROM acc) THEN 'removed' ELSE item_status END item_status
+FROM shop_order_items""")
+def q_cancel_orders_items(shop):
+    return _cancel(shop).items.select(*_ITEM_COLS)
 
 
 _REMOVE = """req AS (SELECT DISTINCT order_item_id FROM shop_item_removal),
@@ -224,6 +260,24 @@ def q_remove_order_items_orders(shop):
     return _remove(shop).orders.select("order_id", money("total_amount").alias("total_amount"), "status")
 
 
+@register("remove_order_items_items", f"""
+WITH {_REMOVE}
+SELECT order_item_id, order_id, sub_order_id, product_id, quantity,
+ CASE WHEN order_item_id IN (SELECT order_item_id FROM rm) THEN 'removed' ELSE item_status END item_status
+FROM shop_order_items""")
+def q_remove_order_items_items(shop):
+    return _remove(shop).items.select(*_ITEM_COLS)
+
+
+@register("remove_order_items_stock", f"""
+WITH {_REMOVE},
+a AS (SELECT product_id, sum(quantity) q FROM rm GROUP BY 1)
+SELECT p.product_id, CAST(p.stock + coalesce(a.q, 0) AS INT) stock, {_RESTORED} status
+FROM shop_product p LEFT JOIN a ON a.product_id = p.product_id""")
+def q_remove_order_items_stock(shop):
+    return _remove(shop).product.select("product_id", "stock", "status")
+
+
 @register("apply_shipping", """
 WITH l AS (SELECT sub_order_id, value,
   row_number() OVER (PARTITION BY sub_order_id ORDER BY ts DESC, seq1 DESC, seq2 DESC, seq3 DESC) rn
@@ -235,6 +289,14 @@ def q_apply_shipping(shop):
     return O.apply_shipping(shop.shop_sub_orders, shop.shop_shipping_update, _SEQ)[0]
 
 
+@register("apply_shipping_rejected", """
+SELECT sub_order_id, value, seq1, seq2, seq3 FROM shop_shipping_update
+WHERE value IS NULL OR value NOT IN ('pending', 'shipped', 'delivered')""")
+def q_apply_shipping_rejected(shop):
+    return (O.apply_shipping(shop.shop_sub_orders, shop.shop_shipping_update, _SEQ)[1]
+            .select("sub_order_id", "value", "seq1", "seq2", "seq3"))
+
+
 @register("order_history_json", """
 SELECT c.user_id, o.order_id,
  CASE WHEN o.order_id IN (SELECT order_id FROM shop_cancel_request) THEN 'Cancelled' ELSE o.status END status,

@@ -98,7 +98,7 @@ def q_vendor_orders_count(shop):
 
 @register("vendor_order_lines", """
 SELECT DISTINCT p.vendor_id, i.order_id, i.product_id, i.quantity, CAST(i.price_per_unit AS DOUBLE) price,
- strftime(o.order_date, '%Y-%m-%d') order_date, o.status, o.customer_id, p.name product_name
+ strftime(o.order_date, '%Y-%m-%d %H:%M:%S') order_date, o.status, o.customer_id, p.name product_name
 FROM shop_order_items i JOIN shop_product p ON p.product_id = i.product_id
 JOIN shop_orders o ON o.order_id = i.order_id""")
 def q_vendor_order_lines(shop):
@@ -107,7 +107,7 @@ def q_vendor_order_lines(shop):
 
 @register("vendor_sub_orders", """
 SELECT so.sub_order_id, so.order_id, so.merchant_id, CAST(so.sub_total_amount AS DOUBLE) sub_total_amount,
- so.status, so.shipping_status, strftime(so.created_at, '%Y-%m-%d') created_at,
+ so.status, so.shipping_status, strftime(so.created_at, '%Y-%m-%d %H:%M:%S') created_at,
  (SELECT count(*) FROM shop_order_items i WHERE i.sub_order_id = so.sub_order_id) item_count,
  u.username customer_name
 FROM shop_sub_orders so JOIN shop_orders o ON so.order_id = o.order_id JOIN shop_user u ON o.customer_id = u.user_id""")

@@ -137,31 +137,40 @@ UNION ALL SELECT merchant_id, 'backend', order_id FROM {shop_sub_orders} WHERE s
 UNION ALL SELECT concat('s',CAST(o_custkey AS STRING)), 'backend', concat('o',CAST(o_orderkey AS STRING)) FROM {orders} WHERE o_orderpriority = '3-MEDIUM'
 UNION ALL SELECT concat('c',CAST(o_custkey + 1 AS STRING)), 'customer', concat('o',CAST(o_orderkey AS STRING)) FROM {orders} WHERE o_orderpriority = '4-NOT SPECIFIED'
 UNION ALL SELECT customer_id, 'customer', concat(order_id,'x') FROM {shop_orders} WHERE status = 'cancelled'""",
-    # Products toggled on error events (same product mapping as stock changes).
+    # Products toggled on error events, over all products.
     "shop_toggle_request": """
-SELECT event_id request_id, concat('p',CAST(event_id % 97 AS STRING)) product_id, ts
+SELECT event_id request_id, concat('p',CAST(event_id % (SELECT count(*) FROM {part}) AS STRING)) product_id, ts
 FROM {events} WHERE event_type = 'error'""",
     # Claims "supplier owns part" taken from each order line.
     "shop_ownership_claim": """
 SELECT concat('p',CAST(l_partkey AS STRING)) product_id, concat('s',CAST(l_suppkey AS STRING)) vendor_id
 FROM {lineitem}""",
-    # Onboarding requests: building-segment customers and rich suppliers.
+    # Onboarding requests: building-segment customers (some after a blank
+    # request, some asking again) and rich suppliers.
     "shop_onboard_request": """
-SELECT concat('c',CAST(c_custkey AS STRING)) user_id, concat(c_name,' Shop') business_name, n_name location
+SELECT concat('c',CAST(c_custkey AS STRING)) user_id, concat(c_name,' Shop') business_name, n_name location, 2 seq
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'
 UNION ALL
-SELECT concat('s',CAST(s_suppkey AS STRING)), s_name, n_name
+SELECT concat('c',CAST(c_custkey AS STRING)), '  ', 'nowhere', 1 FROM {customer} WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 2000
+UNION ALL
+SELECT concat('c',CAST(c_custkey AS STRING)), '!Late', 'A', 3 FROM {customer} WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 1000
+UNION ALL
+SELECT concat('c',CAST(c_custkey AS STRING)), NULL, 'A', 1 FROM {customer} WHERE c_mktsegment = 'MACHINERY'
+UNION ALL
+SELECT concat('s',CAST(s_suppkey AS STRING)), s_name, n_name, 1
 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey WHERE s_acctbal > 9000""",
-    # Vendor edits: low-balance suppliers rename, negative-balance ones move;
-    # machinery customers (not vendors) try too.
+    # Vendor edits: low-balance suppliers rename, negative-balance ones move,
+    # some rename once more; machinery customers (not vendors) try too.
     "shop_vendor_update": """
 SELECT concat('s',CAST(s_suppkey AS STRING)) vendor_id,
  CASE WHEN s_acctbal < 2000 THEN concat(s_name,' Outlet') END store_name,
- CASE WHEN s_acctbal < 0 THEN r_name END location
+ CASE WHEN s_acctbal < 0 THEN r_name END location, 1 seq
 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
 WHERE s_acctbal < 4000
 UNION ALL
-SELECT concat('c',CAST(c_custkey AS STRING)), c_name, NULL FROM {customer} WHERE c_mktsegment = 'MACHINERY'""",
+SELECT concat('s',CAST(s_suppkey AS STRING)), concat('A ',s_name), NULL, 2 FROM {supplier} WHERE s_acctbal < 1000
+UNION ALL
+SELECT concat('c',CAST(c_custkey AS STRING)), c_name, NULL, 1 FROM {customer} WHERE c_mktsegment = 'MACHINERY'""",
     # Admin status actions by id: action from the balance band.
     "shop_vendor_status_request": """
 SELECT concat('s',CAST(s_suppkey AS STRING)) vendor_id,
@@ -173,11 +182,14 @@ FROM {supplier} WHERE s_acctbal < 6000""",
 SELECT concat('c',CAST(c_custkey AS STRING)) user_id, 2 bits FROM {customer} WHERE c_mktsegment = 'BUILDING'
 UNION ALL SELECT concat('c',CAST(c_custkey AS STRING)), 4 FROM {customer} WHERE c_acctbal > 9000
 UNION ALL SELECT concat('c',CAST(c_custkey AS STRING)), 1 FROM {customer} WHERE c_acctbal > 9000""",
-    # Profile edits by machinery customers: new nickname, address unchanged.
+    # Profile edits by machinery customers: new nickname, address unchanged; rich ones edit again.
     "shop_profile_update": """
 SELECT concat('c',CAST(c_custkey AS STRING)) user_id, upper(c_name) nick_name, CAST(NULL AS STRING) address,
- CASE WHEN c_acctbal < 0 THEN concat('+0-', CAST(c_custkey AS STRING)) END phone_number
-FROM {customer} WHERE c_mktsegment = 'MACHINERY'""",
+ CASE WHEN c_acctbal < 0 THEN concat('+0-', CAST(c_custkey AS STRING)) END phone_number, 1 seq
+FROM {customer} WHERE c_mktsegment = 'MACHINERY'
+UNION ALL
+SELECT concat('c',CAST(c_custkey AS STRING)), concat('!',c_name), 'moved', NULL, 2
+FROM {customer} WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 3000""",
     # New listings: big parts re-offered under doubled ids (some collide).
     "shop_new_product": """
 SELECT concat('p',CAST(p_partkey * 2 AS STRING)) product_id, upper(p_name) name, p_type description,
@@ -188,19 +200,25 @@ SELECT concat('p',CAST(p_partkey * 2 AS STRING)) product_id, upper(p_name) name,
  p_partkey * 2 created_seq
 FROM {part} WHERE p_size > 45""",
     # Product edits claimed by a vendor: owners of medium parts re-price and
-    # re-tag; a second claim per part comes from the next vendor id.
+    # re-tag; a second claim per part comes from the next vendor id; owners of
+    # big parts then sell out.  Empty parts come in as OutOfStock with stock.
     "shop_product_update": """
 SELECT concat('p',CAST(p_partkey AS STRING)) product_id,
  concat('s',CAST(p_partkey % (SELECT count(*) FROM {supplier}) AS STRING)) vendor_id,
  concat(p_name,' v2') name, CAST(NULL AS STRING) description, CAST(p_retailprice + 1 AS DECIMAL(10,2)) price,
  p_size + 5 stock, p_type category, concat('img/v2/',CAST(p_partkey AS STRING)) image_url,
- concat(p_brand, ',', split_part(p_name,' ',1)) tags_text, 'Active' status
+ concat(p_brand, ',', split_part(p_name,' ',1)) tags_text,
+ CASE WHEN p_size = 1 THEN 'OutOfStock' ELSE 'Active' END status, 1 seq
 FROM {part} WHERE p_type = 'MEDIUM'
 UNION ALL
 SELECT concat('p',CAST(p_partkey AS STRING)),
  concat('s',CAST((p_partkey + 1) % (SELECT count(*) FROM {supplier}) AS STRING)),
- concat(p_name,' v3'), 'stolen', CAST(1 AS DECIMAL(10,2)), 0, p_type, NULL, 'spam', 'Inactive'
-FROM {part} WHERE p_type = 'MEDIUM'""",
+ concat(p_name,' v3'), 'stolen', CAST(1 AS DECIMAL(10,2)), 0, p_type, NULL, 'spam', 'Inactive', 2
+FROM {part} WHERE p_type = 'MEDIUM'
+UNION ALL
+SELECT concat('p',CAST(p_partkey AS STRING)), concat('s',CAST(p_partkey % (SELECT count(*) FROM {supplier}) AS STRING)),
+ concat('A ',p_name), 'sold out', CAST(p_retailprice AS DECIMAL(10,2)), 0, p_type, NULL, p_brand, 'Active', 3
+FROM {part} WHERE p_type = 'MEDIUM' AND p_size > 40""",
 }
 
 ALL_VIEWS: dict[str, str] = {**FIXTURE_VIEWS, **DERIVED_VIEWS}

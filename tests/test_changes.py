@@ -122,11 +122,12 @@ def test_add_and_update_products(spark, seed):
     assert [(r.name, r.position) for r in links] == [("test", 1), ("electronics", 2)]
 
     upd = spark.createDataFrame(
-        [("p3", "u4", "Headphones 2", "new", Decimal("1.00"), 7, "Audio", "i", "Inactive", "audio, gaming"),
-         ("p2", "u4", "Stolen", "x", Decimal("1.00"), 1, "X", "i", "Active", "x")],
+        [("p3", "u4", "Headphones 2", "new", Decimal("1.00"), 7, "Audio", "i", "Inactive", "audio, gaming", 2),
+         ("p3", "u4", "zzz first", "new", Decimal("1.00"), 7, "Audio", "i", "Active", "zzz", 1),
+         ("p2", "u4", "Stolen", "x", Decimal("1.00"), 1, "X", "i", "Active", "x", 1)],
         "product_id string, vendor_id string, name string, description string, price decimal(10,2), stock int, "
-        "category string, image_url string, status string, tags_text string")
-    st2 = X.update_products(seed["product"], seed["tag"], seed["tagging"], upd)
+        "category string, image_url string, status string, tags_text string, seq int")
+    st2 = X.update_products(seed["product"], seed["tag"], seed["tagging"], upd, ["seq"])
     assert {r.product_id: r.outcome for r in st2.outcomes.collect()} == {"p3": "updated", "p2": "denied"}
     rows = {r.product_id: r for r in st2.product.collect()}
     assert rows["p3"].name == "Headphones 2" and rows["p3"].status == "Inactive" and rows["p2"].name != "Stolen"
@@ -135,16 +136,17 @@ def test_add_and_update_products(spark, seed):
 
 
 def test_vendor_onboard_update_status_delete(spark, seed):
-    req = spark.createDataFrame([("u2", "Shop Two", "Paris"), ("u4", "Again", "X"), ("u3", " ", "Y"),
-                                 ("u9", "Ghost", "Z")], "user_id string, business_name string, location string")
-    out, vendors, users = X.vendor_onboard(seed["vendor"], seed["users"], req)
+    req = spark.createDataFrame([("u2", "Shop Two", "Paris", 1), ("u2", "A later one", "A", 2), ("u2", " ", "A", 0),
+                                 ("u4", "Again", "X", 1), ("u3", " ", "Y", 1), ("u9", "Ghost", "Z", 1)],
+                                "user_id string, business_name string, location string, seq int")
+    out, vendors, users = X.vendor_onboard(seed["vendor"], seed["users"], req, ["seq"])
     got = {r.user_id: (r.outcome, r.role_bits) for r in out.collect()}
     assert got == {"u2": ("onboarded", 3), "u4": ("exists", 2), "u3": ("invalid", 1), "u9": ("unknown_user", None)}
-    assert vendors.filter("vendor_id = 'u2' AND status = 'Active'").count() == 1
+    assert vendors.filter("vendor_id = 'u2' AND status = 'Active' AND store_name = 'Shop Two'").count() == 1
 
-    upd = spark.createDataFrame([("u4", "New Name", None), ("u5", None, ""), ("u9", "x", "y")],
-                                "vendor_id string, store_name string, location string")
-    got = {r.vendor_id: (r.outcome, r.store_name, r.location) for r in X.vendor_update(seed["vendor"], upd).collect()}
+    upd = spark.createDataFrame([("u4", "New Name", None, 1), ("u5", None, "", 1), ("u9", "x", "y", 1)],
+                                "vendor_id string, store_name string, location string, seq int")
+    got = {r.vendor_id: (r.outcome, r.store_name, r.location) for r in X.vendor_update(seed["vendor"], upd, ["seq"]).collect()}
     assert got == {"u4": ("updated", "New Name", "Beijing"), "u5": ("no_change", "Home Living", "Shanghai"),
                    "u9": ("not_found", None, None)}
 
@@ -184,9 +186,10 @@ def test_cascade_delete(spark, seed):
 
 def test_customer_profile_partial(spark):
     prof = spark.createDataFrame([("u2", "n", "a", "1")], "user_id string, nick_name string, address string, phone_number string")
-    upd = spark.createDataFrame([("u2", None, "b", None)], "user_id string, nick_name string, address string, phone_number string")
-    r = X.customer_profile_update(prof, upd).first()
-    assert (r.nick_name, r.address, r.phone_number) == ("n", "b", "1")
+    upd = spark.createDataFrame([("u2", None, "b", None, 3), ("u2", "zed", None, None, 1), ("u2", "amy", None, None, 2)],
+                                "user_id string, nick_name string, address string, phone_number string, seq int")
+    r = X.customer_profile_update(prof, upd, ["seq"]).first()
+    assert (r.nick_name, r.address, r.phone_number) == ("amy", "b", "1")
 
 
 def test_dense_numbers_equal_global_row_number(spark):

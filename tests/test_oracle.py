@@ -15,6 +15,7 @@ sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "scripts"))
 
 import __spark_entry__ as E  # noqa: E402
+from marketgrid.plans import all_oracle, all_queries  # noqa: E402
 from oracle_check import TABLES, digest  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -30,7 +31,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(all_queries()))
 def test_query_matches_oracle(spark, con, key):
     df = E.queries()[key](spark, SF)
     rows = [tuple(r) for r in df.collect()]
@@ -51,4 +52,4 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(all_queries()) == set(all_oracle())
