@@ -2,6 +2,7 @@
 
 from marketgrid.sources.jdbc import SHOP_TABLES, partition_predicates
 from marketgrid.sources.sink import read_state, write_shop
+from marketgrid.sources.tables import load_shop
 from marketgrid.sources.views import ALL_VIEWS, with_views
 
 
@@ -58,3 +59,14 @@ def test_scale_conf_sizes_partitions():
     assert small["spark.sql.shuffle.partitions"] == "8"
     big = int(scale_conf(100 << 40, 8000)["spark.sql.shuffle.partitions"])
     assert big % 8000 == 0 and 100 * 1024 * 4 <= big <= 100 * 1024 * 4 + 8000
+
+
+def test_staged_table_follows_its_input(spark, tmp_path):
+    import shutil
+
+    for t in ("nation", "supplier", "part"):
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
+    before = load_shop(spark, str(tmp_path)).shop_product.count()
+    shutil.copy("/root/testdata/sf0.01/part.parquet", tmp_path / "part.parquet")
+    after = load_shop(spark, str(tmp_path)).shop_product.count()
+    assert after == spark.read.parquet(str(tmp_path / "part.parquet")).count() > before
