@@ -104,6 +104,24 @@ def split_orders(lines: DataFrame, product: DataFrame, vendor: DataFrame) -> Spl
     return Split(orders, subs, items)
 
 
+def place_orders(lines: DataFrame, headers: DataFrame, product: DataFrame, vendor: DataFrame) -> Split:
+    """D3 -> D4: split the carts the checkout accepts, with a full order header.
+
+    ``headers``: one row per cart (cart_id, customer_id, order_date,
+    shipping_address).  A cart is accepted when every line passes D3 and its
+    address is not blank; a refused cart makes no order, sub-order or item.
+    """
+    address = F.btrim("shipping_address", F.lit(" \t\n\r\x0b\x0c"))
+    ok = checkout_validation(lines, product, vendor).filter(F.col("verdict") == "ok").select("cart_id")
+    head = (headers.withColumn("shipping_address", address).filter(F.col("shipping_address") != "")
+            .join(ok, "cart_id", "left_semi"))
+    s = split_orders(lines.join(head.select("cart_id"), "cart_id", "left_semi"), product, vendor)
+    orders = (head.select(F.concat(F.lit("o"), F.col("cart_id").cast("string")).alias("order_id"),
+                          "customer_id", "order_date", "shipping_address")
+              .join(s.orders, "order_id"))
+    return Split(orders, s.sub_orders, s.items)
+
+
 def checkout_stock(product: DataFrame, items: DataFrame) -> DataFrame:
     """Stock minus ordered quantity, no floor at zero (checkout path).
 
@@ -359,6 +377,13 @@ def remove_order_items(orders: DataFrame, sub_orders: DataFrame, items: DataFram
     return OrderState(outcomes, next_orders, next_subs, next_items, _restore_stock(product, removed))
 
 
+def remove_sub_order_products(items: DataFrame, requests: DataFrame) -> DataFrame:
+    """Next items after deleting every item of the requested
+    (sub_order_id, product_id) pairs, whatever its status.  Unknown pairs and
+    pairs with a null delete nothing."""
+    return items.join(requests.select("sub_order_id", "product_id"), ["sub_order_id", "product_id"], "left_anti")
+
+
 HISTORY_SCHEMA = "array<struct<Order_ID:string,Status:string,Order_Date:string>>"
 
 

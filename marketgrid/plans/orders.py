@@ -94,6 +94,52 @@ def q_checkout_stock(shop):
     return O.checkout_stock(shop.shop_product, s.items)
 
 
+_PLACE = f"""{_SPLIT_IT},
+bad AS (SELECT DISTINCT c.cart_id FROM shop_cart_line c LEFT JOIN vis ON vis.product_id = c.product_id
+ WHERE vis.product_id IS NULL OR vis.status <> 'Active' OR c.quantity > vis.stock),
+head AS (SELECT concat('o', CAST(h.cart_id AS VARCHAR)) order_id, h.customer_id, h.order_date, trim(h.shipping_address) shipping_address
+ FROM shop_cart_header h LEFT JOIN bad ON bad.cart_id = h.cart_id
+ WHERE bad.cart_id IS NULL AND trim(h.shipping_address) <> ''),
+placed AS (SELECT it.* FROM it JOIN head ON head.order_id = it.order_id)"""
+
+
+def _placed(shop):
+    return O.place_orders(shop.shop_cart_line, shop.shop_cart_header, shop.shop_product, shop.shop_vendor)
+
+
+@register("place_orders", f"""
+{_PLACE}
+SELECT h.order_id, h.customer_id, CAST(h.order_date AS DATE) order_date, h.shipping_address,
+ CAST(sum(i.total_price) AS DOUBLE) total_amount, 'pending' status, 'unpaid' payment_status
+FROM head h JOIN placed i ON i.order_id = h.order_id GROUP BY h.order_id, h.customer_id, h.order_date, h.shipping_address""")
+def q_place_orders(shop):
+    return _placed(shop).orders.select(
+        "order_id", "customer_id", F.col("order_date").cast("date").alias("order_date"), "shipping_address",
+        money("total_amount").alias("total_amount"), "status", "payment_status")
+
+
+@register("place_orders_stock", f"""
+{_PLACE}
+SELECT p.product_id, p.stock stock_before, CAST(coalesce(o.ordered, 0) AS BIGINT) ordered,
+ CAST(p.stock - coalesce(o.ordered, 0) AS BIGINT) stock_after,
+ CASE WHEN o.ordered IS NOT NULL AND p.stock = o.ordered AND p.status <> 'Inactive' THEN 'OutOfStock'
+  WHEN o.ordered < p.stock AND p.stock = 0 AND p.status = 'OutOfStock' THEN 'Active' ELSE p.status END status_after
+FROM shop_product p LEFT JOIN (SELECT product_id, sum(quantity) ordered FROM placed GROUP BY 1) o
+ ON o.product_id = p.product_id""")
+def q_place_orders_stock(shop):
+    return O.checkout_stock(shop.shop_product, _placed(shop).items)
+
+
+@register("remove_sub_order_products", """
+SELECT i.order_item_id, i.sub_order_id, i.order_id, i.product_id, i.quantity, i.item_status FROM shop_order_items i
+WHERE NOT EXISTS (SELECT 1 FROM shop_order_items r JOIN shop_item_removal q ON q.order_item_id = r.order_item_id
+ WHERE r.sub_order_id = i.sub_order_id AND r.product_id = i.product_id)""")
+def q_remove_sub_order_products(shop):
+    pairs = shop.shop_order_items.join(shop.shop_item_removal, "order_item_id", "left_semi")
+    return (O.remove_sub_order_products(shop.shop_order_items, pairs)
+            .select("order_item_id", "sub_order_id", "order_id", "product_id", "quantity", "item_status"))
+
+
 @register("order_details", """
 SELECT o.order_id, o.customer_id, o.status order_status, CAST(o.total_amount AS DOUBLE) total_amount,
  so.sub_order_id, so.merchant_id, so.status sub_status, so.shipping_status, i.order_item_id, i.product_id,

@@ -103,6 +103,10 @@ FROM {shop_orders} o LEFT JOIN (SELECT order_id, SUM(sub_total_amount) total_amo
 SELECT concat('c',CAST(c_custkey AS STRING)) user_id, c_name nick_name, n_name address,
  concat('+', CAST(c_nationkey AS STRING), '-', CAST(c_custkey AS STRING)) phone_number, c_mktsegment segment
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
+    # Who checks a cart out, when, and where it ships to.
+    "shop_cart_header": """
+SELECT o_orderkey cart_id, concat('c',CAST(o_custkey AS STRING)) customer_id, o_orderdate order_date, u.address shipping_address
+FROM {orders} LEFT JOIN {shop_customer_profile} u ON u.user_id = concat('c',CAST(o_custkey AS STRING))""",
     # Urgent orders ask to be cancelled.
     "shop_cancel_request": """
 SELECT concat('o',CAST(o_orderkey AS STRING)) order_id FROM {orders} WHERE o_orderpriority = '1-URGENT'""",

@@ -94,6 +94,25 @@ def test_cart_merge_caps_at_stock(spark, seed):
     assert got == {"p7": 12, "p2": 1}
 
 
+def test_place_orders_takes_accepted_carts_only(spark, seed):
+    product = seed["product"]
+    lines = _cart(spark, [(1, 1, "p1", 1), (1, 2, "p3", 1), (2, 1, "p1", 10**6), (3, 1, "p2", 1), (4, 1, "p2", 1)])
+    head = spark.createDataFrame(
+        [(1, "u2", "2024-01-01", " Road 1 "), (2, "u2", "2024-01-01", "Road 1"), (3, "u2", "2024-01-01", " \t"),
+         (4, "u2", "2024-01-01", None)], "cart_id long, customer_id string, order_date string, shipping_address string")
+    s = O.place_orders(lines, head, product, seed["vendor"])
+    assert [(r.order_id, r.customer_id, r.shipping_address) for r in s.orders.collect()] == [("o1", "u2", "Road 1")]
+    assert {r.order_id for r in s.items.collect()} == {r.order_id for r in s.sub_orders.collect()} == {"o1"}
+
+
+def test_remove_sub_order_products(spark, seed):
+    items = _split(spark, seed).items
+    gone = items.filter("product_id = 'p1'").select("sub_order_id", "product_id")
+    pairs = gone.unionByName(gone).unionByName(
+        spark.createDataFrame([("none", "p2"), (None, "p3")], "sub_order_id string, product_id string"))
+    assert {r.product_id for r in O.remove_sub_order_products(items, pairs).collect()} == {"p2", "p3"}
+
+
 def test_order_visibility(spark, seed):
     s = _split(spark, seed)
     orders = s.orders.withColumn("customer_id", F.lit("u2"))
