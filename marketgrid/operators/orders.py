@@ -261,6 +261,17 @@ def apply_order_status(orders: DataFrame, changes: DataFrame, order_cols: list[s
                     F.coalesce("payment_status", "old_payment").alias("payment_status")))
 
 
+def apply_sub_order_changes(sub_orders: DataFrame, changes: DataFrame, order_cols: list[str]) -> DataFrame:
+    """Status and shipping status of sub-orders change independently of
+    each other and of the order; per field the last change wins."""
+    last = latest_values(changes, "sub_order_id", ["status", "shipping_status"], order_cols)
+    s = sub_orders.select("sub_order_id", "order_id", "merchant_id", F.col("status").alias("old_status"),
+                          F.col("shipping_status").alias("old_shipping"))
+    return (s.join(last, "sub_order_id", "left")
+            .select("sub_order_id", "order_id", "merchant_id", F.coalesce("status", "old_status").alias("status"),
+                    F.coalesce("shipping_status", "old_shipping").alias("shipping_status")))
+
+
 SHIPPING_VALUES = ("pending", "shipped", "delivered")
 
 

@@ -202,6 +202,19 @@ def q_apply_order_status(shop):
     return O.apply_order_status(shop.shop_order_state, shop.shop_order_change, _SEQ)
 
 
+@register("apply_sub_order_changes", """
+WITH l AS (SELECT sub_order_id, field, value,
+  row_number() OVER (PARTITION BY sub_order_id, field ORDER BY ts DESC, seq1 DESC, seq2 DESC, seq3 DESC) rn
+ FROM shop_sub_order_change)
+SELECT s.sub_order_id, s.order_id, s.merchant_id, coalesce(st.value, s.status) status,
+ coalesce(sh.value, s.shipping_status) shipping_status
+FROM shop_sub_orders s
+LEFT JOIN l st ON st.sub_order_id = s.sub_order_id AND st.field = 'status' AND st.rn = 1
+LEFT JOIN l sh ON sh.sub_order_id = s.sub_order_id AND sh.field = 'shipping_status' AND sh.rn = 1""")
+def q_apply_sub_order_changes(shop):
+    return O.apply_sub_order_changes(shop.shop_sub_orders, shop.shop_sub_order_change, _SEQ)
+
+
 # Status after stock p.stock + a.q (a.q NULL: not restored).
 _RESTORED = """CASE WHEN a.q IS NOT NULL AND p.stock + a.q = 0 AND p.status <> 'Inactive' THEN 'OutOfStock'
   WHEN p.stock + a.q > 0 AND p.stock = 0 AND p.status = 'OutOfStock' THEN 'Active' ELSE p.status END"""

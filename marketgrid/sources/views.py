@@ -121,6 +121,13 @@ FROM {lineitem} WHERE l_discount >= 0.095""",
 SELECT concat('o',CAST(l_orderkey AS STRING),'-',p.vendor_id) sub_order_id,
  CASE l_returnflag WHEN 'A' THEN 'delivered' WHEN 'N' THEN 'shipped' ELSE 'returned' END value,
  l_shipdate ts, l_linenumber seq1, l_partkey seq2, CAST(l_quantity AS INT) seq3
+FROM {lineitem} JOIN {shop_product} p ON p.product_id = concat('p',CAST(l_partkey AS STRING))""",
+    # Sub-order changes, one per order line: the return flag picks the field.
+    "shop_sub_order_change": """
+SELECT concat('o',CAST(l_orderkey AS STRING),'-',p.vendor_id) sub_order_id,
+ CASE WHEN l_returnflag = 'N' THEN 'status' ELSE 'shipping_status' END field,
+ CASE WHEN l_linestatus = 'F' THEN 'delivered' ELSE 'shipped' END value,
+ l_shipdate ts, l_linenumber seq1, l_partkey seq2, CAST(l_quantity AS INT) seq3
 FROM {lineitem} JOIN {shop_product} p ON p.product_id = concat('p',CAST(l_partkey AS STRING))""",
     # Order/payment status changes, one per order line in ship-date order:
     # the return flag picks the field, the line status the value.

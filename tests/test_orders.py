@@ -113,6 +113,16 @@ def test_remove_sub_order_products(spark, seed):
     assert {r.product_id for r in O.remove_sub_order_products(items, pairs).collect()} == {"p2", "p3"}
 
 
+def test_sub_order_fields_change_independently(spark, seed):
+    subs = _split(spark, seed).sub_orders
+    ids = sorted(r.sub_order_id for r in subs.collect())
+    ch = spark.createDataFrame([(ids[0], "status", "shipped", 1), (ids[0], "status", "cancelled", 2),
+                                (ids[1], "shipping_status", "delivered", 1)],
+                               "sub_order_id string, field string, value string, seq int")
+    got = {r.sub_order_id: (r.status, r.shipping_status) for r in O.apply_sub_order_changes(subs, ch, ["seq"]).collect()}
+    assert got == {ids[0]: ("cancelled", "pending"), ids[1]: ("pending", "delivered")}
+
+
 def test_order_visibility(spark, seed):
     s = _split(spark, seed)
     orders = s.orders.withColumn("customer_id", F.lit("u2"))
