@@ -75,3 +75,32 @@ def test_nothing_learned(make_docs):
     assert identify(make_docs([])).count() == 0
     assert [r.lang_pred for r in identify(make_docs([(1, "some text", "s", None)])).collect()] == ["und"]
     assert {r.lang_pred for r in identify(make_docs([(k, "some text", "s", "en") for k in range(9)])).collect()} == {"en"}
+
+
+def test_tiny_language_shortens_no_other(make_docs):
+    """One short row of a rare language costs the others nothing, and is itself known again."""
+    rng = random.Random(13)
+    syl = {"bb": "abc def gh".split(), "cc": "cba fed hg".split(), "dd": "bda ech fg".split()}  # the same letters
+    data = [(k, "Abc " + " ".join("".join(rng.choices(syl[n], k=3)) for _ in range(30)), "s", n)
+            for k, n in enumerate(rng.choice(sorted(syl)) for _ in range(300))]
+    tiny = next(k for k in range(5000, 5100) if zlib.crc32(str(k).encode()) % 4 != 2)
+    got = identify(make_docs([*data, (tiny, "Hola", "s", "aa"), (6000, "hola", "s", None)])).collect()
+    want = {r[0]: r[3] for r in data}
+    held = [r for r in got if r.doc_id in want and r.held_out]
+    assert len(held) > 40 and np.mean([r.lang_pred == want[r.doc_id] for r in held]) > 0.97
+    assert {r.lang_pred for r in got if r.doc_id in (tiny, 6000)} == {"aa"}
+
+
+def test_large_alphabets(make_docs):
+    """Chinese, Japanese and Korean beside a Latin language: more letters than a byte holds."""
+    rng = random.Random(11)
+    han = [chr(0x4E00 + 7 * k) for k in range(900)]
+    letters = {"ja": [chr(c) for c in range(0x3041, 0x3094)] + han[600:], "ko": [chr(0xAC00 + 9 * k) for k in range(900)],
+               "zh": han[:800], "en": list("etaoinshrdlu")}
+    data = []
+    for k in range(400):
+        lang = sorted(letters)[k % 4]
+        data.append((k, " ".join("".join(rng.choices(letters[lang], k=rng.randrange(1, 9))) for _ in range(60)), "s", lang))
+    want = {r[0]: r[3] for r in data}
+    held = [r for r in identify(make_docs(data)).collect() if r.held_out]
+    assert len(held) > 60 and np.mean([r.lang_pred == want[r.doc_id] for r in held]) > 0.97
