@@ -2,7 +2,12 @@
 
 A page is read into a tree.  What can never be the article is left out while
 reading: scripts, styles, forms, menus, page headers and footers, sidebars and
-whatever is named or marked as an advert, a notice or reader comments.  Every
+whatever is hidden or has such a role.  What a whole class or id names as an
+advert, a notice or reader comments is marked, and judged when the page is read:
+it stays if it also carries a good name, or if no other article or main element
+has text and it holds one with more points than all that is not marked, or nearly
+all points of the page's paragraphs; inside an article, names that
+can stand for prose (tags, notice, related, ...) go only if mostly links.  Every
 paragraph then passes points (one, one per comma, up to three for length) to
 its parent, half to the grandparent and less further up; a container's points
 are discounted by its share of text in links.  The best container is kept with
@@ -21,6 +26,7 @@ columns play no part.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -32,21 +38,28 @@ from .common import python_ready
 # Element kinds of HTML, and words in names that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title select svg math object".split())
-DROP = frozenset("nav footer aside form button head dialog menu canvas audio video figcaption".split()) | RAW
-BLOCK = frozenset("""address article aside blockquote body center dd details div dl dt fieldset figure footer form h1 h2 h3 h4
+DROP = frozenset("nav footer aside form button head dialog menu canvas audio video".split()) | RAW - {"svg", "math"}
+BLOCK = frozenset("""address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4
 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("ul ol dl table tbody thead tfoot body div article main section td blockquote".split())
 BAD_NAMES = frozenset("""ad ads adv advert adverts advertisement adsense banner banners breadcrumb breadcrumbs comment comments
 commentlist consent cookie cookies disqus disclaimer footer form gdpr login masthead menu menus modal nav navbar navigation
-newsletter notice notices overlay pagination pager paywall popup promo promos promotion related replies respond search share
+buttons newsletter notice notices overlay pagination pager paywall popup promo promos promotion related replies respond search share
 sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget
 widgets""".split())
 PAGE_NAMES = frozenset("header top".split())
+OTHERS_NAMES = frozenset("""ad ads adv advert adverts advertisement adsense comment comments commentlist consent cookie cookies
+disqus gdpr replies respond sponsor sponsored sponsors""".split())  # prose, but not the article's
+SOFT_NAMES = frozenset("disclaimer form notice notices promotion related search share sharing skip social tags".split())
 BAD_ROLES = frozenset("""alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search
 status toolbar""".split())
 GOOD_NAMES = frozenset("article body content entry main post story text".split())
+# words that go with a name in a class or id and leave its meaning as it is
+WITH_NAMES = frozenset("""area bar block bottom box center col column container group holder icons inner item items left link
+links list module outer page panel primary right row secondary section site slot unit wrap wrapper""".split()) | GOOD_NAMES | PAGE_NAMES
+MOST = 0.8  # share of a page's paragraph points that no marked element but the article's has
 TAG_POINTS = {"article": 8, "main": 8, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?
@@ -57,11 +70,25 @@ SPACE = re.compile(r"\s+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+@lru_cache(4096)
+def name_mark(name: str, in_article: bool) -> int:
+    """What a whole class or id stands for: 0 nothing known, 1 a soft name, 2 not the article, 3 prose of others."""
+    parts = set(NAME_PARTS.findall(name))
+    bad = parts & BAD_NAMES
+    if parts - BAD_NAMES - WITH_NAMES:
+        return 0
+    if not bad:
+        return 2 if parts & PAGE_NAMES and not in_article else 0
+    return 3 if bad & OTHERS_NAMES else 1 if bad <= SOFT_NAMES else 2
+
+
 class Page:
     """Elements (in page order; parents come first) and blocks of text."""
 
     def __init__(self):
         self.tag, self.parent, self.points = ["#page"], [-1], [0.0]
+        self.mark: dict[int, int] = {}  # element, what its class or id stands for
+        self.good: set[int] = set()  # elements with a good name
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
 
     def read(self, html: str) -> None:
@@ -141,6 +168,8 @@ class Page:
                 skip = len(open_) - 1
             if tag == "a":
                 in_link += 1
+            elif tag == "text" and skip < 0:  # labels of a drawing
+                text.append(" ")
             owner = self._block_owner(open_)
         if skip < 0:
             flush()
@@ -169,18 +198,72 @@ class Page:
             return False
         if "hidden" in attributes or attributes.get("aria-hidden") == "true" or HIDDEN.search(attributes.get("style", "")):
             return True
-        names = self._names(attributes)
-        return bool(names & BAD_NAMES) or attributes.get("role", "").lower() in BAD_ROLES or not in_article and bool(names & PAGE_NAMES)
+        if attributes.get("role", "").lower() in BAD_ROLES:
+            return True
+        names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+        if not GOOD_NAMES.isdisjoint(names):
+            self.good.add(open_[-1])
+        elif mark := max((name_mark(x, in_article) for x in names), default=0):
+            self.mark[open_[-1]] = mark
+        return False
+
+    def _worth(self, e: int, body: str, linked: int) -> float:
+        """Points of a paragraph."""
+        if len(body) < 25 or self.tag[e] in ("li", "h1", "h2", "h3", "h4", "h5", "h6", "th"):
+            return 0.0
+        return (1 + body.count(",") + min(len(body) // 100, 3)) * (1 - linked / len(body))
+
+    def _drop_marked(self) -> None:
+        """Take out the blocks of marked elements that are not the article."""
+        n = len(self.tag)
+        main = [t in ("article", "main") for t in self.tag]
+        marked, near = [False] * n, [False] * n  # in a marked element, in an article
+        for k in range(1, n):
+            up = self.parent[k]
+            marked[k] = marked[up] or k in self.mark
+            near[k] = near[up] or main[up] or up in self.good
+        total, plain, chars, links, own = [0.0] * n, [0.0] * n, [0] * n, [0] * n, [0] * n
+        for e, body, linked in self.blocks:
+            worth = self._worth(e, body, linked)
+            total[e] += worth
+            plain[e] += 0.0 if marked[e] else worth
+            own[e] += 0 if marked[e] else len(body)
+            chars[e] += len(body)
+            links[e] += linked
+        best = [0.0] * n  # points of the best article inside
+        for k in range(n - 1, 0, -1):
+            up = self.parent[k]
+            for x in (total, plain, chars, links, own):
+                x[up] += x[k]
+            best[up] = max(best[up], best[k], total[k] if main[k] else 0.0)
+        above, n_main = [0] * n, sum(m and c > 0 for m, c in zip(main, own))  # articles with text of their own around, and in all
+        gone = [False] * n
+        for k in range(1, n):
+            up = self.parent[k]
+            gone[k] = gone[up]
+            above[k] = above[up] + (main[up] and own[up] > 0)
+            if k not in self.mark or gone[k]:
+                continue
+            mark = self.mark[k]
+            if mark == 3:
+                stays = best[k] > plain[0] == 0
+            else:
+                stays = best[k] > plain[0] or total[k] > 0 and total[k] >= MOST * total[0]
+            soft = mark == 1 and near[k] and 2 * links[k] <= chars[k]
+            gone[k] = not (stays and above[k] == n_main or soft)
+        self.blocks = [x for x in self.blocks if not gone[x[0]]]
 
     def main_text(self) -> str:
         """Blocks of the article, joined by two line ends."""
+        if self.mark:
+            self._drop_marked()
         n = len(self.tag)
         chars, links, points = [0] * n, [0] * n, [0.0] * n
         for e, body, linked in self.blocks:
             chars[e] += len(body)
             links[e] += linked
-            if len(body) >= 25 and self.tag[e] not in ("li", "h1", "h2", "h3", "h4", "h5", "h6", "th"):
-                worth = (1 + body.count(",") + min(len(body) // 100, 3)) * (1 - linked / len(body))
+            worth = self._worth(e, body, linked)
+            if worth > 0:
                 up, level = (self.parent[e] if self.tag[e] in ("p", "pre", "td", "dd") else e), 0
                 while up > 0 and level < 6:
                     points[up] += worth / (1 if level == 0 else 2 if level == 1 else 3 * level)

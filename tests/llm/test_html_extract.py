@@ -58,3 +58,35 @@ def test_main_texts(spark):
     assert sorted(((r.page_id, r.url, r.text, r.n_chars) for r in got), key=str) == sorted(
         [(1, "u", TEXT, len(TEXT)), (1, "u", TEXT, len(TEXT)), (2, None, "", 0), (None, "v", "", 0)], key=str)
     assert main_texts(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "has-sidebar", "comments-open", "post-with-widgets", "search-results",
+                                  "sidebar content", "widgets", "notice", "top-story"])
+def test_names_around_the_article(name):
+    for kind in ("article", "div"):
+        assert extract(f"<body><nav>{LINKS}</nav><div class='{name}'><{kind}>{ARTICLE}</{kind}></div></body>") == TEXT
+
+
+@pytest.mark.parametrize("name", ["tags", "notice", "related", "form", "share"])
+def test_prose_with_such_a_name_in_the_article(name):
+    html = f"<article>{ARTICLE}<div class='{name}'><p>{P[0]}</p></div><div class='{name}'>{LINKS}</div><div class='ad'><p>{P[1]}</p></div></article>"
+    assert extract(html) == f"{TEXT}\n\n{P[0]}"
+
+
+def test_marked_beside_the_article():
+    """Comments and sidebars go, also if they hold articles of their own."""
+    posts = "".join(f"<article class=comment>{c}</article>" for c in (COMMENTS, ARTICLE))
+    assert extract(f"<main><article>{ARTICLE}</article><section class='comments'>{posts}</section>"
+                   f"<div class='sidebar'><article><p>{P[1]}</p></article></div></main>") == TEXT
+
+
+def test_captions_formulas_drawings():
+    html = (f"<article><p>{P[0]}</p><figure><img src=x><figcaption>A caption.</figcaption></figure>"
+            "<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p><svg><text>axis</text><text>label</text></svg></article>")
+    assert extract(html) == f"{P[0]}\n\nA caption.\n\nSo x=1.\n\naxis label"
+
+
+def test_short_article_beside_long_others():
+    advert = f"<div class='ad'>{P[0]}</div>"
+    assert extract(f"{advert}<article><h1>Title</h1><p>{SHORT}</p>{advert}</article>") == f"Title\n\n{SHORT}"
+    assert extract(f"<div class='sidebar'><article>{ARTICLE}</article></div><article><p>{SHORT}</p></article>") == SHORT
