@@ -21,6 +21,8 @@ Defined cases: null or empty texts have fingerprint zero and are linked like
 any other; a null doc_id is never a component id unless its whole component
 has none; rows that repeat a doc_id are linked through their texts' own
 fingerprints; an empty table gives no rows; other columns play no part.
+``keep_one`` keeps one row of every component, also of those without an id and of
+those that share an id with another: the least by doc_id (nulls last), then text.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_ready, stored
+from .common import python_ready, stored, text_key
 from .components import components
 
 BITS = 64
@@ -59,17 +61,19 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+    """(doc_id, text_key, fp) with the fingerprint as a signed long."""
     python_ready(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+                [b.column(0), b.column(2), pa.array(np.array(fps, np.uint64).view(np.int64))],
+                names=["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")) \
-        .mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
+                       text_key(F.col(text)).alias("text_key")) \
+        .mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -118,28 +122,35 @@ def near_links(fps: DataFrame, radius: int = 2) -> DataFrame:
         .select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
 
 
+def _rooted(marked: DataFrame, first: Column, radius: int) -> DataFrame:
+    """(fp, first, root) per distinct fingerprint: ``first`` of its rows, and its component."""
+    distinct = stored(marked.groupBy("fp").agg(first.alias("first")), "distinct-fps")
+    roots = components(near_links(distinct.select("fp"), radius))
+    return stored(distinct.join(roots, distinct["fp"] == roots["node"], "left")
+                  .select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, doc_id: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) per row: smallest doc_id linked through fingerprints within ``radius`` bits."""
-    marked = stored(fingerprints(docs, shingle, doc_id, text), "fingerprints")
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fps")
-    roots = components(near_links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left") \
-        .select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = stored(rooted, "rooted")
+    marked = stored(fingerprints(docs, shingle, doc_id, text).drop("text_key"), "fingerprints")
+    rooted = _rooted(marked, F.min("doc_id"), radius)
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = stored(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "named")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's id, all columns; one row per doc_id."""
-    found = near_duplicates(docs, shingle, radius, doc_id, text)
-    first = stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-                   .select(F.col("doc_id").alias("__id")).distinct(), "firsts")
-    # A plain equality leaves the rows dealt by doc_id, so dropping repeats moves no text again;
-    # rows without an id, which it cannot match, are looked at apart.
-    kept = docs.join(first, docs[doc_id] == first["__id"], "left_semi").dropDuplicates([doc_id])
-    unnamed = docs.filter(docs[doc_id].isNull()).join(first, docs[doc_id].cast("long").eqNullSafe(first["__id"]), "left_semi") \
-        .dropDuplicates([doc_id])
-    return kept.unionByName(unnamed)
+    """One row of ``docs`` per component, all columns: the least by doc_id (nulls last), then text key."""
+    marked = stored(fingerprints(docs, shingle, doc_id, text), "fingerprints")
+    # a row's key without nulls, so that plain equalities match it
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key")
+    first = _rooted(marked, F.min(key), radius).groupBy("root").agg(F.min("first").alias("first"))
+    first = stored(first.select(F.col("first.none").alias("__none"), F.col("first.id").alias("__id"),
+                                F.col("first.text_key").alias("__t")), "firsts")
+    own = F.col(doc_id).cast("long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), own.isNull().alias("__none"),
+                       F.coalesce(own, F.lit(0)).alias("__id"), text_key(F.col(text)).alias("__t"))
+    # The join leaves the rows dealt by their key, so dropping repeats moves no text again.
+    kept = rows.join(first, ["__id", "__t", "__none"], "left_semi").dropDuplicates(["__id", "__t", "__none"])
+    return kept.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

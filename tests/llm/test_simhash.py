@@ -100,3 +100,16 @@ def test_near_duplicates(make_docs, hard_rows):
 
 def test_empty(make_docs):
     assert near_duplicates(make_docs([])).count() == 0 and keep_one(make_docs([])).count() == 0
+
+
+def test_keep_one_row_of_every_component(make_docs):
+    """Several groups without an id, an id with two texts, exact repeats: no text is lost, none stays twice."""
+    from samples import prose
+    t = [prose(60 + k, 200) for k in range(7)]
+    rows = [(None, t[0]), (None, t[0]), (None, t[1]), (None, t[2]), (10, t[3]), (None, t[3]), (11, t[3].upper()),
+            (20, t[4]), (20, t[5]), (5, t[5]), (30, t[6]), (30, t[6])]
+    docs = make_docs(rows, extra=("__id", "__row", "fp"))
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(None, t[0]), (None, t[1]), (None, t[2]), (10, t[3]), (20, t[4]), (5, t[5]), (30, t[6])], key=str)
