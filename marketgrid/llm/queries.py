@@ -162,3 +162,71 @@ def op9_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import find_licenses
     return find_licenses(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = manifest(_read(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"],
+                     tampered=(changed, "text"))
+    return found.select("doc_id", "leaf", "subroot", "root",
+                        F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a short ASCII text, bit by bit, as DuckDB has no function for it."""
+    step = "list_reduce(list_prepend(xor({c}, {b}), range(8)), lambda v, i: CASE WHEN v & 1 = 1 " \
+           "THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: {step.format(c='c', b='b')}), 4294967295)"
+
+
+def _merkle_levels(name: str, levels: int, part: str) -> str:
+    """CTEs name_0..name_levels: nodes (part, idx, n, h, run, place) of each level over name_src (part, idx, h)."""
+    out, src = [], f"{name}_src"
+    for k in range(levels + 1):
+        h = f"""SELECT {part}, idx, h, count(*) OVER (PARTITION BY {part}) AS n FROM {src}"""
+        out.append(f"""{name}_{k} AS (SELECT {part}, idx, n, h, idx % 16 AS place,
+          string_agg(h, '') OVER (PARTITION BY {part}, idx // 16 ORDER BY idx
+            ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS run FROM ({h}))""")
+        out.append(f"""{name}_up{k} AS (SELECT {part}, idx // 16 AS idx, CASE WHEN any_value(n) = 1 THEN any_value(h)
+          ELSE sha256(any_value(run)) END AS h FROM {name}_{k} GROUP BY {part}, idx // 16)""")
+        src = f"{name}_up{k}"
+    return ",\n".join(out)
+
+
+def _merkle_sql(low: int = 5, top: int = 3) -> str:
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE concat(strlen(CAST({0} AS VARCHAR)), ':', {0}) END"
+
+    def leaf(text: str) -> str:
+        return "sha256(concat(" + ", ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+
+    steps = [("low", k) for k in range(low)] + [("top", k) for k in range(top)]
+    joins, proof, folds, cur = [], [], [], "now"
+    for name, k in steps:
+        a, at = f"{name}{k}", "idx" if name == "low" else "sidx"
+        joins.append(f"JOIN {name}_{k} {a} ON {a}.idx = x.{at} // {16 ** k} AND "
+                     + (f"{a}.source IS NOT DISTINCT FROM x.source" if name == "low" else f"{a}.all_ = 1"))
+        others = f"concat(substr({a}.run, 1, 64 * {a}.place), substr({a}.run, 64 * {a}.place + 65))"
+        proof.append(f"CASE WHEN {a}.n > 1 THEN {others} ELSE '' END")
+        folds.append(f"{a}.n AS n_{a}, substr({a}.run, 1, 64 * {a}.place) AS l_{a}, substr({a}.run, 64 * {a}.place + 65) AS r_{a}")
+    chain, prev = [], "p"
+    for name, k in steps:
+        a = f"{name}{k}"
+        chain.append(f"f_{a} AS (SELECT * REPLACE (CASE WHEN n_{a} > 1 THEN sha256(concat(l_{a}, now, r_{a})) ELSE now END AS now) FROM {prev})")
+        prev = f"f_{a}"
+    return f"""WITH low_src AS (SELECT doc_id, source, {leaf('text')} AS h,
+   CASE WHEN {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {leaf(_LOW.format('text'))} END AS changed,
+   row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS idx FROM documents),
+{_merkle_levels('low', low, 'source')},
+top_src AS (SELECT 1 AS all_, source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx FROM low_up{low}),
+{_merkle_levels('top', top, 'all_')},
+x AS (SELECT d.doc_id, d.source, d.idx, d.h AS leaf, coalesce(d.changed, d.h) AS now, t.idx AS sidx, t.h AS subroot,
+   (SELECT h FROM top_up{top}) AS root FROM low_src d JOIN top_src t ON t.source IS NOT DISTINCT FROM d.source),
+p AS (SELECT x.*, sha256(concat({', '.join(proof)})) AS proof_sha256, {', '.join(folds)} FROM x {' '.join(joins)}),
+{', '.join(chain)}
+SELECT doc_id, leaf, subroot, root, proof_sha256, now AS folded_root, now = root AS verified FROM {prev}"""
+
+
+ORACLE["op12_merkle_manifest"] = _merkle_sql()
