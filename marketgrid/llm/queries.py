@@ -230,3 +230,34 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, now AS folded_root, now = root
 
 
 ORACLE["op12_merkle_manifest"] = _merkle_sql()
+
+
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turn_trie import rebuilt, trie_nodes
+    return trie_nodes(rebuilt(_read(spark, sf_dir, "conversations"), family=100, heads=6))
+
+
+ORACLE["op13_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i,
+        coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base,
+        {_crc32_sql("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM t),
+r AS (SELECT c.conv_id, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.h
+      UNION ALL SELECT c.conv_id, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS d FROM r),
+p AS (SELECT conv_id, d, length(text) AS n,
+        md5(string_agg(concat(strlen(role), ':', strlen(text), ':', role, text), '') OVER (PARTITION BY conv_id ORDER BY d)) AS k FROM q
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+m AS (SELECT *, max(d) OVER (PARTITION BY conv_id) AS len, min(conv_id) OVER (PARTITION BY d, k) AS node,
+        lag(k) OVER (PARTITION BY conv_id ORDER BY d) AS up FROM p),
+v AS (SELECT d, k, min(node) AS conv_id, count(*) AS n_convs, any_value(n) AS n, any_value(up) AS up,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len = d), '')) AS ends_sha256
+      FROM m GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM v WHERE d > 0 GROUP BY ALL),
+w AS (SELECT v.*, coalesce(kids.n, 0) AS n_children FROM v LEFT JOIN kids USING (d, k)),
+below AS (SELECT a.d, a.k, sum((w.n_convs - 1) * w.n) AS saved, count(*) FILTER (WHERE w.n_children = 0) AS leaves
+          FROM w JOIN m a ON a.conv_id = w.conv_id AND a.d <= w.d GROUP BY a.d, a.k)
+SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, x.conv_id AS parent_conv_id, w.n_convs, w.n_children,
+  below.leaves AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM w JOIN below USING (d, k) LEFT JOIN v x ON x.d = w.d - 1 AND x.k = w.up"""
