@@ -147,38 +147,38 @@ def _ranked(items: DataFrame, order: list[str]) -> DataFrame:
         .select(*items.columns, (F.col("place") + F.col("before")).alias("rank"), "n")
 
 
-def _appended(table: pa.Table) -> tuple[pa.Table, Appender, str]:
+def _appended(table: pa.Table, block_levels: int) -> tuple[pa.Table, Appender, str]:
     """A block's rows in order, the tree they were appended to, and its root."""
     table = table.sort_by("rank")
     tree = Appender()
     for leaf in table.column("digest").to_pylist():
         tree.append(leaf)
-    return table, tree, tree.close(min(BLOCK_LEVELS, levels_of(table.column("n")[0].as_py())))
+    return table, tree, tree.close(min(block_levels, levels_of(table.column("n")[0].as_py())))
 
 
-def _blocks(ranked: DataFrame) -> DataFrame:
-    return ranked.withColumn("block", F.floor(F.col("rank") / F.lit(FANOUT ** BLOCK_LEVELS)).cast("long"))
+def _blocks(ranked: DataFrame, block_levels: int) -> DataFrame:
+    return ranked.withColumn("block", F.expr(f"rank div {FANOUT ** block_levels}"))
 
 
-def _block_roots(ranked: DataFrame) -> DataFrame:
+def _block_roots(ranked: DataFrame, block_levels: int) -> DataFrame:
     """(known, grp, rank, n, digest): the aligned blocks' roots, n of them in the group, as the next round's items."""
     def run(table: pa.Table) -> pa.Table:
-        table, _, root = _appended(table)
+        table, _, root = _appended(table, block_levels)
         n = table.column("n")[0].as_py()
         return pa.table({"known": table.column("known").slice(0, 1), "grp": table.column("grp").slice(0, 1),
                          "rank": table.column("block").slice(0, 1),
-                         "n": pa.array([-(-n // FANOUT ** BLOCK_LEVELS)], pa.int64()), "digest": pa.array([root])})
+                         "n": pa.array([-(-n // FANOUT ** block_levels)], pa.int64()), "digest": pa.array([root])})
 
-    rows = _blocks(ranked).select(*GROUP, "block", "rank", "n", "digest")
+    rows = _blocks(ranked, block_levels).select(*GROUP, "block", "rank", "n", "digest")
     return rows.groupBy(*GROUP, "block").applyInArrow(run, "known boolean, grp string, rank long, n long, digest string")
 
 
-def _climb(items: DataFrame, order: list[str]) -> tuple[list[DataFrame], list[DataFrame]]:
+def _climb(items: DataFrame, order: list[str], block_levels: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """The items of every round, and the block roots that each round leaves."""
     rounds = [stored(_ranked(items, order), "merkle-items")]
     roots = []
     while True:
-        roots.append(stored(_block_roots(rounds[-1]), "merkle-roots"))
+        roots.append(stored(_block_roots(rounds[-1], block_levels), "merkle-roots"))
         if roots[-1].filter("n > 1").isEmpty():
             return rounds, roots
         rounds.append(roots[-1].filter("n > 1"))
@@ -187,7 +187,8 @@ def _climb(items: DataFrame, order: list[str]) -> tuple[list[DataFrame], list[Da
 HEAD = "known boolean, grp string, rank long, subroot string, root string, places array<int>, siblings array<string>"
 
 
-def _descend(rounds: list[DataFrame], roots: list[DataFrame], heads: DataFrame, carry: list[str]) -> DataFrame:
+def _descend(rounds: list[DataFrame], roots: list[DataFrame], heads: DataFrame, carry: list[str],
+             block_levels: int) -> DataFrame:
     """Witnesses of the first round's items: ``carry`` columns and those of HEAD.
 
     ``heads`` holds, per group, the roots and the witness above its own root.
@@ -198,17 +199,17 @@ def _descend(rounds: list[DataFrame], roots: list[DataFrame], heads: DataFrame,
             *GROUP, "rank", "subroot", "root", "places", "siblings")
         above = ends if above is None else ends.unionByName(above)
         keep = carry if k == 0 else []
-        above = _witnessed(rounds[k], above, keep)
+        above = _witnessed(rounds[k], above, keep, block_levels)
         if k:
             above = stored(above, "merkle-above")
     return above
 
 
-def _witnessed(items: DataFrame, above: DataFrame, carry: list[str]) -> DataFrame:
+def _witnessed(items: DataFrame, above: DataFrame, carry: list[str], block_levels: int) -> DataFrame:
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in items.select(*carry).schema.fields) + HEAD
 
     def run(table: pa.Table, up: pa.Table) -> pa.Table:
-        table, tree, _ = _appended(table)
+        table, tree, _ = _appended(table, block_levels)
         n = table.num_rows
         places, siblings = up.column("places")[0].as_py(), up.column("siblings")[0].as_py()
         same = [pa.repeat(up.column(c)[0], n) for c in ("subroot", "root")]
@@ -217,32 +218,32 @@ def _witnessed(items: DataFrame, above: DataFrame, carry: list[str]) -> DataFram
                          pa.array([[s for _, s in w] + siblings for w in tree.witness], pa.list_(pa.string()))],
                         names=[*carry, *GROUP, "rank", "subroot", "root", "places", "siblings"])
 
-    rows = _blocks(items).select(*dict.fromkeys([*carry, *GROUP, "block", "rank", "n", "digest"]))
+    rows = _blocks(items, block_levels).select(*dict.fromkeys([*carry, *GROUP, "block", "rank", "n", "digest"]))
     up = above.withColumnRenamed("rank", "block")
     return rows.groupBy(*GROUP, "block").cogroup(up.groupBy(*GROUP, "block")).applyInArrow(run, schema)
 
 
-def append_groups(items: DataFrame, order: list[str], carry: list[str]) -> DataFrame:
+def append_groups(items: DataFrame, order: list[str], carry: list[str], block_levels: int = BLOCK_LEVELS) -> DataFrame:
     """Witnesses of ``items`` (known, grp, digest, ``order`` and ``carry`` columns), each group
     appended in ``order`` and the groups' roots appended in the order of the groups."""
-    rounds, roots = _climb(items, order)
+    rounds, roots = _climb(items, order, block_levels)
     subroots = None
     for r in roots:
         one = r.filter("n = 1").select(*GROUP, "digest")
         subroots = one if subroots is None else subroots.unionByName(one)
     tops = subroots.select(F.lit(True).alias("known"), F.lit("").alias("grp"), F.col("known").alias("k"),
                            F.col("grp").alias("g"), "digest")
-    top_rounds, top_roots = _climb(tops, ["k", "g"])
+    top_rounds, top_roots = _climb(tops, ["k", "g"], block_levels)
     none = [F.array().cast("array<int>").alias("places"), F.array().cast("array<string>").alias("siblings")]
     root = top_roots[-1].select(*GROUP, F.lit("").alias("subroot"), F.col("digest").alias("root"), *none)
-    heads = _descend(top_rounds, top_roots, root, ["k", "g", "digest"])
+    heads = _descend(top_rounds, top_roots, root, ["k", "g", "digest"], block_levels)
     heads = stored(heads.select(F.col("k").alias("known"), F.col("g").alias("grp"), F.col("digest").alias("subroot"),
                                 "root", "places", "siblings"), "merkle-heads")
-    return _descend(rounds, roots, heads, carry)
+    return _descend(rounds, roots, heads, carry, block_levels)
 
 
 def manifest(docs: DataFrame, columns: list[str], group: str = "source", key: str = "doc_id",
-             tampered: tuple[Column, str] | None = None) -> DataFrame:
+             tampered: tuple[Column, str] | None = None, block_levels: int = BLOCK_LEVELS) -> DataFrame:
     """(doc_id, source, leaf, subroot, root, places, siblings, folded_root, verified) per row.
 
     ``siblings`` is the witness: per level, up to the group's root and then up to
@@ -260,7 +261,7 @@ def manifest(docs: DataFrame, columns: list[str], group: str = "source", key: st
     source = F.col(group).cast("string")
     items = docs.select(F.col(key).cast("long").alias("doc_id"), source.isNotNull().alias("known"),
                         F.coalesce(source, F.lit("")).alias("grp"), leaf.alias("digest"), now.alias("now"))
-    proved = append_groups(items, ["doc_id", "digest"], ["doc_id", "digest", "now"]).select(
+    proved = append_groups(items, ["doc_id", "digest"], ["doc_id", "digest", "now"], block_levels).select(
         "doc_id", F.when(F.col("known"), F.col("grp")).alias("source"), F.col("digest").alias("leaf"), "subroot", "root",
         "places", "siblings", "now")
     names = [*proved.columns[:-1], "folded_root", "verified"]
