@@ -206,17 +206,28 @@ def _descend(rounds: list[DataFrame], roots: list[DataFrame], heads: DataFrame,
 
 
 def _witnessed(items: DataFrame, above: DataFrame, carry: list[str], block_levels: int) -> DataFrame:
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in items.select(*carry).schema.fields) + HEAD
+    """Witnesses of the items of one round, under those of their blocks' roots.
+
+    With a carried column ``now`` (the item's present digest, null: unchanged) its fold comes along.
+    """
+    folds = "now" in carry
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in items.select(*carry).schema.fields) + HEAD \
+        + (", folded string" if folds else "")
 
     def run(table: pa.Table, up: pa.Table) -> pa.Table:
         table, tree, _ = _appended(table, block_levels)
         n = table.num_rows
-        places, siblings = up.column("places")[0].as_py(), up.column("siblings")[0].as_py()
-        same = [pa.repeat(up.column(c)[0], n) for c in ("subroot", "root")]
-        return pa.table([*(table.column(c) for c in [*carry, *GROUP, "rank"]), *same,
-                         pa.array([[p for p, _ in w] + places for w in tree.witness], pa.list_(pa.int32())),
-                         pa.array([[s for _, s in w] + siblings for w in tree.witness], pa.list_(pa.string()))],
-                        names=[*carry, *GROUP, "rank", "subroot", "root", "places", "siblings"])
+        upper = list(zip(up.column("places")[0].as_py(), up.column("siblings")[0].as_py()))
+        witness = [w + upper for w in tree.witness]
+        columns = [*(table.column(c) for c in [*carry, *GROUP, "rank"]),
+                   *(pa.repeat(up.column(c)[0], n) for c in ("subroot", "root")),
+                   pa.array([[p for p, _ in w] for w in witness], pa.list_(pa.int32())),
+                   pa.array([[s for _, s in w] for w in witness], pa.list_(pa.string()))]
+        if folds:
+            present = zip(table.column("now").to_pylist(), table.column("digest").to_pylist(), witness)
+            columns.append(pa.array([fold(now or leaf, w) for now, leaf, w in present], pa.string()))
+        return pa.table(columns, names=[*carry, *GROUP, "rank", "subroot", "root", "places", "siblings",
+                                        *(["folded"] if folds else [])])
 
     rows = _blocks(items, block_levels).select(*dict.fromkeys([*carry, *GROUP, "block", "rank", "n", "digest"]))
     up = above.withColumnRenamed("rank", "block")
@@ -261,19 +272,8 @@ def manifest(docs: DataFrame, columns: list[str], group: str = "source", key: st
     source = F.col(group).cast("string")
     items = docs.select(F.col(key).cast("long").alias("doc_id"), source.isNotNull().alias("known"),
                         F.coalesce(source, F.lit("")).alias("grp"), leaf.alias("digest"), now.alias("now"))
-    proved = append_groups(items, ["doc_id", "digest"], ["doc_id", "digest", "now"], block_levels).select(
-        "doc_id", F.when(F.col("known"), F.col("grp")).alias("source"), F.col("digest").alias("leaf"), "subroot", "root",
-        "places", "siblings", "now")
-    names = [*proved.columns[:-1], "folded_root", "verified"]
-
-    def verify(batches):
-        for b in batches:
-            leaves, nows, roots, places, siblings = (
-                b.column(c).to_pylist() for c in ("leaf", "now", "root", "places", "siblings"))
-            folded = [fold(n or x, zip(p, s)) for x, n, p, s in zip(leaves, nows, places, siblings)]
-            ok = [f == r for f, r in zip(folded, roots)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(folded, pa.string()), pa.array(ok, pa.bool_())],
-                                             names=names)
-
-    return proved.mapInArrow(verify, "doc_id long, source string, leaf string, subroot string, root string, "
-                                     "places array<int>, siblings array<string>, folded_root string, verified boolean")
+    items = stored(items, "merkle-leaves")
+    proved = append_groups(items, ["doc_id", "digest"], ["doc_id", "digest", "now"], block_levels)
+    return proved.select("doc_id", F.when(F.col("known"), F.col("grp")).alias("source"), F.col("digest").alias("leaf"),
+                         "subroot", "root", "places", "siblings", F.col("folded").alias("folded_root"),
+                         (F.col("folded") == F.col("root")).alias("verified"))
