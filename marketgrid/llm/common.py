@@ -6,6 +6,7 @@ helpers work on UTF-8 bytes and never split a code point.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import numpy as np
@@ -85,6 +86,8 @@ _LOW[65:91] += 32
 _OUTSIDE = np.ones(256, bool)
 _OUTSIDE[48:58] = _OUTSIDE[97:123] = _OUTSIDE[128:] = False
 
+LONG_WORD = 64
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -142,6 +145,9 @@ class Words:
         self.start = np.flatnonzero(after & (~before | cut))
         self.end = np.flatnonzero(before & (~after | cut))
         self.hash = span_hash(_BYTE[low], self.start, self.end)
+        # sums of powers modulo 2**64 can be made to agree for long words; these get a hash of their bytes
+        for k in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
+            self.hash[k] = int.from_bytes(hashlib.blake2b(low[self.start[k]:self.end[k]].tobytes(), digest_size=8).digest(), "little")
         self.bounds = np.searchsorted(self.start, offsets)  # text k has words bounds[k]:bounds[k+1]
 
     def doc_of(self) -> np.ndarray:

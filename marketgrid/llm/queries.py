@@ -261,3 +261,21 @@ below AS (SELECT a.d, a.k, sum((w.n_convs - 1) * w.n) AS saved, count(*) FILTER
 SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, x.conv_id AS parent_conv_id, w.n_convs, w.n_children,
   below.leaves AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, w.ends_sha256
 FROM w JOIN below USING (d, k) LEFT JOIN v x ON x.d = w.d - 1 AND x.k = w.up"""
+
+
+@_query
+def op11_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+    return near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+ORACLE["op11_circulant_minhash"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT reach.u, e.v FROM reach JOIN e ON e.u = reach.v),
+m AS (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY u)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)"""
