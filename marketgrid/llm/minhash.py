@@ -21,8 +21,8 @@ have one outside, so no link is lost, and a family of very many near copies cost
 its size, not its square, once its blocks have connected it.
 
 What moves: signatures (about 0.3 KB a row), bucket numbers, and the sets of
-those that share a bucket.  Texts are read twice, and moved only where the second
-reading meets the chosen rows in a join too large to be broadcast.
+those that share a bucket.  Texts are read twice, and moved once, to meet the
+chosen rows.
 
 Shingles are told apart by 64-bit hashes, sets by 128-bit digests of them.
 
@@ -197,7 +197,8 @@ def _members(sketched: DataFrame, block: int) -> DataFrame:
         "key", F.xxhash64("key").alias("k"), F.explode("buckets").alias("bucket"))
     shared = stored(spread.groupBy("bucket").agg(F.min("k").alias("a"), F.max("k").alias("b"))
                     .filter("a < b").select("bucket"), "minhash-buckets")
-    members = stored(spread.join(shared, "bucket", "left_semi").select("bucket", "key").distinct(), "minhash-members")
+    # merge joins at every size: neither side is bounded
+    members = stored(spread.join(shared.hint("merge"), "bucket", "left_semi").select("bucket", "key").distinct(), "minhash-members")
     alike = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"),
                                           F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
     one = alike.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
@@ -245,7 +246,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands:
                     .agg(F.min("doc_id").alias("first"), F.min("row").alias("row")), "minhash-firsts")
     members = _members(sketched, block)
     chosen = stored(firsts.join(members.select("key").distinct(), "key", "left_semi").select("row").distinct(), "minhash-chosen")
-    sets = stored(_sets(texts.join(chosen, "row", "left_semi"), shingle), "minhash-sets")
+    sets = stored(_sets(texts.join(chosen.hint("merge"), "row", "left_semi"), shingle), "minhash-sets")
     roots = components(_links(members, sets, percent, block))
     named = firsts.join(roots, firsts["key"] == roots["node"], "left") \
         .select("key", "first", F.coalesce("root", "key").alias("root"))
