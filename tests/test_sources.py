@@ -65,8 +65,8 @@ def test_staged_table_follows_its_input(spark, tmp_path):
     import shutil
 
     for t in ("nation", "supplier", "part"):
-        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
+        shutil.copyfile(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
     before = load_shop(spark, str(tmp_path)).shop_product.count()
-    shutil.copy("/root/testdata/sf0.01/part.parquet", tmp_path / "part.parquet")
+    shutil.copyfile("/root/testdata/sf0.01/part.parquet", tmp_path / "part.parquet")
     after = load_shop(spark, str(tmp_path)).shop_product.count()
     assert after == spark.read.parquet(str(tmp_path / "part.parquet")).count() > before
