@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ACTIVE, INACTIVE, OUT_OF_STOCK, ROLE_VENDOR, ci_contains, trigger_status
 from ..functions.numbering import dense_numbers
+from ..functions.scan import CHUNK_ROWS, range_chunks
 
 MAX_TAGS = 3
 
@@ -181,7 +182,7 @@ def stock_status_rule(product: DataFrame, changes: DataFrame) -> DataFrame:
                                       F.col("action")).alias("new_status")))
 
 
-def stock_ledger(product: DataFrame, changes: DataFrame, chunk: str = "day") -> DataFrame:
+def stock_ledger(product: DataFrame, changes: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     """F5 + F6 along a ledger: stock and status after every change.
 
     Changes apply per product in (ts, change_id) order; a decrease floors at
@@ -189,9 +190,10 @@ def stock_ledger(product: DataFrame, changes: DataFrame, chunk: str = "day") ->
     is x_k - min(0, min_{j<=k} x_j) (needs start >= 0 and amounts >= 0;
     negative amounts and unknown actions are rejected first).
 
-    Skew: a product may own a third of all changes, so the scan runs in two
-    levels.  Changes are cut into time chunks (``chunk``: a date_trunc unit);
-    each chunk is a map s -> max(s + A, B) with A its signed sum and B = A -
+    Skew: a product may own a third of all changes, in one day or over years,
+    so the scan runs in two levels.  ``range_chunks`` cuts the ledger, in
+    (product, ts, change) order, into runs of about ``rows`` rows; each run of
+    one product is a map s -> max(s + A, B) with A its signed sum and B = A -
     min(0, its lowest prefix).  Such maps compose, so one small window over
     the chunk summaries of a product gives every chunk's start stock, and the
     per-change windows never span more than one chunk.
@@ -204,29 +206,30 @@ def stock_ledger(product: DataFrame, changes: DataFrame, chunk: str = "day") ->
     sums.
     """
     p = product.select("product_id", F.col("stock").alias("s0"), F.col("status").alias("st0"))
-    c = (changes.filter((F.col("amount") >= 0) & F.col("action").isin("increase", "decrease"))
-         .join(p, "product_id")
+    c = changes.filter((F.col("amount") >= 0) & F.col("action").isin("increase", "decrease")) \
+        .select("change_id", "product_id", "action", "amount", "ts")
+    c = (range_chunks(c, ["product_id", "ts", "change_id"], rows)
          .withColumn("d", F.when(F.col("action") == "increase", F.col("amount")).otherwise(-F.col("amount"))
-                     .cast("bigint"))
-         .withColumn("chunk", F.date_trunc(chunk, "ts")))
+                     .cast("bigint")))
     w_in = (Window.partitionBy("product_id", "chunk").orderBy("ts", "change_id")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    c = (c.withColumn("P", F.sum("d").over(w_in))
-         .withColumn("m", F.least(F.lit(0).cast("bigint"), F.min("P").over(w_in))))
     up = (F.col("action") == "increase").cast("int")
-    summ = (c.groupBy("product_id", "chunk", "s0")
-            .agg(F.sum("d").alias("A"), F.least(F.lit(0).cast("bigint"), F.min("P")).alias("mA"),
-                 F.max(up).alias("incA")))
+    # one summary per product and chunk, from the last row of the run
+    c = (c.withColumn("P", F.sum("d").over(w_in))
+         .withColumn("m", F.least(F.lit(0).cast("bigint"), F.min("P").over(w_in)))
+         .withColumn("inc_in", F.max(up).over(w_in)))
+    summ = (c.groupBy("product_id", "chunk")
+            .agg(F.sum("d").alias("A"), F.min("m").alias("mA"), F.max("inc_in").alias("incA"))
+            .join(p, "product_id"))
     w_ch = Window.partitionBy("product_id").orderBy("chunk")
     prev = w_ch.rowsBetween(Window.unboundedPreceding, -1)
     summ = (summ.withColumn("CA", F.coalesce(F.sum("A").over(prev), F.lit(0).cast("bigint")))
             .withColumn("Q", F.col("A") - F.col("mA") - (F.col("CA") + F.col("A")))
             .withColumn("S", F.col("CA") + F.greatest(F.col("s0"), F.coalesce(F.max("Q").over(prev), F.col("s0"))))
             .withColumn("inc_before", F.coalesce(F.max("incA").over(prev), F.lit(0)))
-            .select("product_id", "chunk", "S", "inc_before"))
+            .select("product_id", "chunk", "S", "inc_before", "st0"))
     c = (c.join(summ, ["product_id", "chunk"])
-         .withColumn("stock_after", F.col("S") + F.col("P") - F.least(F.lit(0).cast("bigint"), F.col("S") + F.col("m")))
-         .withColumn("inc_in", F.max(up).over(w_in)))
+         .withColumn("stock_after", F.col("S") + F.col("P") - F.least(F.lit(0).cast("bigint"), F.col("S") + F.col("m"))))
     status = (F.when(F.col("st0") == INACTIVE, F.lit(INACTIVE))
               .when(F.col("stock_after") == 0, F.lit(OUT_OF_STOCK))
               .when((F.col("inc_in") + F.col("inc_before")) > 0, F.lit(ACTIVE))

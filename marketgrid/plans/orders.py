@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import money
+from ..operators import cart as C
 from ..operators import orders as O
 from .registry import register
 
@@ -31,6 +32,45 @@ def q_cart_merge(shop):
     return O.cart_merge(shop.shop_cart_line, shop.shop_product, shop.shop_vendor)
 
 
+# The oracle applies one event a step to every line: an independent check of the scan.
+_CART_FOLD = """recursive e AS (
+ SELECT x.*, row_number() OVER (PARTITION BY x.cart_id, x.product_id ORDER BY x.ts, x.event_id) k, p.stock s,
+  coalesce(p.status = 'Active', false) can_add, p.product_id IS NOT NULL shown
+ FROM shop_cart_event x LEFT JOIN (SELECT p.* FROM shop_product p JOIN shop_vendor v ON v.vendor_id = p.vendor_id
+  WHERE p.status <> 'Inactive' AND v.status = 'Active') p ON p.product_id = x.product_id),
+f AS (
+ SELECT d.cart_id, d.product_id, CAST(0 AS BIGINT) k, CAST(coalesce(c.quantity, 0) AS BIGINT) q, CAST(NULL AS BIGINT) event_id
+ FROM (SELECT DISTINCT cart_id, product_id FROM shop_cart_event) d
+ LEFT JOIN shop_cart_start c ON c.cart_id = d.cart_id AND c.product_id = d.product_id
+ UNION ALL
+ SELECT f.cart_id, f.product_id, e.k, CAST(CASE WHEN e.action = 'remove' THEN 0
+  WHEN e.action = 'add' AND e.can_add THEN greatest(0, least(e.s, f.q + coalesce(e.quantity, 1)))
+  WHEN e.action = 'increase' AND e.shown AND f.q > 0 AND f.q + 1 <= e.s THEN f.q + 1
+  WHEN e.action = 'decrease' AND e.shown AND f.q > 0 THEN f.q - 1 ELSE f.q END AS BIGINT), e.event_id
+ FROM f JOIN e ON e.cart_id = f.cart_id AND e.product_id = f.product_id AND e.k = f.k + 1)"""
+
+
+def _cart_history(shop):
+    return C.cart_history(shop.shop_cart_event, shop.shop_cart_start, shop.shop_product, shop.shop_vendor)
+
+
+@register("cart_history", f"WITH {_CART_FOLD} SELECT event_id, cart_id, product_id, q quantity FROM f WHERE k > 0")
+def q_cart_history(shop):
+    """Every cart line after every event."""
+    return _cart_history(shop).drop("ts")
+
+
+@register("cart_state", f"""
+WITH {_CART_FOLD},
+l AS (SELECT cart_id, product_id, arg_max(q, k) q FROM f GROUP BY 1, 2)
+SELECT cart_id, product_id, q quantity FROM l WHERE q > 0
+UNION ALL SELECT c.cart_id, c.product_id, CAST(c.quantity AS BIGINT) FROM shop_cart_start c
+WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.cart_id = c.cart_id AND l.product_id = c.product_id)""")
+def q_cart_state(shop):
+    """The carts at the end."""
+    return C.cart_state(shop.shop_cart_start, _cart_history(shop))
+
+
 @register("checkout_validation", f"""
 WITH {_VIS},
 l AS (SELECT c.cart_id, c.line_no, c.product_id, c.quantity,

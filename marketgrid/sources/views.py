@@ -107,6 +107,24 @@ FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
     "shop_cart_header": """
 SELECT o_orderkey cart_id, concat('c',CAST(o_custkey AS STRING)) customer_id, o_orderdate order_date, u.address shipping_address
 FROM {orders} LEFT JOIN {shop_customer_profile} u ON u.user_id = concat('c',CAST(o_custkey AS STRING))""",
+    # Open carts: a user's purchase events name lines put in long ago (so some exceed today's stock).
+    "shop_cart_start": """
+SELECT concat('c',CAST(user_id AS STRING)) cart_id,
+ concat('p',CAST((user_id * 3 + event_id % 3) % (SELECT count(*) FROM {part}) AS STRING)) product_id,
+ CAST(max(1 + CAST(floor(value) AS BIGINT) % 60) AS INT) quantity
+FROM {events} WHERE event_type = 'purchase' GROUP BY 1, 2""",
+    # What users then do to their carts; some adds are negative or zero.
+    "shop_cart_event": """
+SELECT event_id, ts, concat('c',CAST(user_id AS STRING)) cart_id,
+ concat('p',CAST((user_id * 3 + event_id % 3) % (SELECT count(*) FROM {part}) AS STRING)) product_id,
+ CASE WHEN event_type = 'view' THEN 'add' WHEN event_type = 'error' THEN 'decrease'
+  WHEN event_type = 'signup' AND value < 10 THEN 'remove' ELSE 'increase' END action,
+ CASE WHEN event_type = 'view' THEN CAST(CAST(floor(value) AS BIGINT) % 9 - 2 AS INT) END quantity
+FROM {events} WHERE event_type IN ('view', 'click', 'error', 'signup')""",
+    # Orders of the newest day are called back.
+    "shop_recall_request": """
+SELECT concat('o',CAST(o_orderkey AS STRING)) order_id FROM {orders}
+WHERE o_orderdate = (SELECT max(o_orderdate) FROM {orders})""",
     # Urgent orders ask to be cancelled.
     "shop_cancel_request": """
 SELECT concat('o',CAST(o_orderkey AS STRING)) order_id FROM {orders} WHERE o_orderpriority = '1-URGENT'""",
@@ -265,6 +283,8 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({plain_sql(n).strip()})" for n in order)
     body = sql.strip()
+    if re.match(r"(?is)^with\s+recursive\s", body):
+        return f"WITH RECURSIVE {ctes},\n{body[4:].lstrip()[9:].lstrip()}"
     if re.match(r"(?is)^with\s", body):
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"

@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from marketgrid.functions.scan import range_chunks
 from marketgrid.operators import changes as X
 
 
@@ -31,8 +32,8 @@ def fold(stock, status, changes):
     return out
 
 
-@pytest.mark.parametrize("chunk", ["hour", "day", "year"])
-def test_ledger_equals_fold(spark, chunk):
+@pytest.mark.parametrize("chunk_rows", [3, 50, 1_000_000])
+def test_ledger_equals_fold(spark, chunk_rows):
     rnd = random.Random(7)
     products, changes, expect = [], [], {}
     t0 = dt.datetime(2024, 1, 1)
@@ -53,9 +54,9 @@ def test_ledger_equals_fold(spark, chunk):
             expect[c] = (stock, status)
     product = spark.createDataFrame(products, "product_id string, stock int, status string")
     ch = spark.createDataFrame(changes, "change_id long, product_id string, action string, amount int, ts timestamp_ntz")
-    got = {r.change_id: (r.stock_after, r.status_after) for r in X.stock_ledger(product, ch, chunk=chunk).collect()}
+    got = {r.change_id: (r.stock_after, r.status_after) for r in X.stock_ledger(product, ch, rows=chunk_rows).collect()}
     assert got == expect
-    final = {r.product_id: (r.stock, r.status) for r in X.stock_after_ledger(product, X.stock_ledger(product, ch, chunk))
+    final = {r.product_id: (r.stock, r.status) for r in X.stock_after_ledger(product, X.stock_ledger(product, ch, chunk_rows))
              .collect()}
     for pid, s0, st0 in products:
         rows = [c for c in changes if c[1] == pid]
@@ -205,7 +206,7 @@ def test_dense_numbers_equal_global_row_number(spark):
 
 
 def test_ledger_hot_product_across_many_chunks(spark):
-    # one product holds most changes; hour chunks cut it into ~240 pieces
+    # one product holds most changes; runs of 40 rows cut it into many pieces
     rnd = random.Random(5)
     t0 = dt.datetime(2024, 1, 1)
     rows, cid = [], 0
@@ -217,9 +218,30 @@ def test_ledger_hot_product_across_many_chunks(spark):
     starts = {"hot": (7, "OutOfStock"), "a": (0, "Active"), "b": (3, "Inactive")}
     product = spark.createDataFrame([(k, s, st) for k, (s, st) in starts.items()], "product_id string, stock int, status string")
     ch = spark.createDataFrame(rows, "change_id long, product_id string, action string, amount int, ts timestamp_ntz")
-    got = {r.change_id: (r.stock_after, r.status_after) for r in X.stock_ledger(product, ch, chunk="hour").collect()}
+    got = {r.change_id: (r.stock_after, r.status_after) for r in X.stock_ledger(product, ch, rows=40).collect()}
     want = {}
     for pid, (s0, st0) in starts.items():
         seq = sorted((r for r in rows if r[1] == pid), key=lambda r: (r[4], r[0]))
         want.update({c: (s, st) for c, s, st in fold(s0, st0, [(r[0], r[2], r[3]) for r in seq])})
     assert got == want
+
+
+def test_one_day_of_a_hot_product_is_spread(spark):
+    """A third of all changes are one product's, all of one day: no run holds more than a few times its bound."""
+    rnd = random.Random(8)
+    day = dt.datetime(2024, 5, 1)
+    rows = [(k, "hot" if k % 3 == 0 else f"p{k % 50}", rnd.choice(["increase", "decrease"]), rnd.randint(0, 9),
+             day + dt.timedelta(seconds=rnd.randint(0, 80_000))) for k in range(6000)]
+    ch = spark.createDataFrame(rows, "change_id long, product_id string, action string, amount int, ts timestamp_ntz")
+    runs = range_chunks(ch, ["product_id", "ts", "change_id"], rows=300)
+    sizes = [r["count"] for r in runs.groupBy("chunk").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 900
+    assert runs.filter("product_id = 'hot'").select("chunk").distinct().count() >= 5
+    ids = sorted({r[1] for r in rows})
+    product = spark.createDataFrame([(p, 4, "Active") for p in ids], "product_id string, stock int, status string")
+    got = {r.change_id: (r.stock_after, r.status_after) for r in X.stock_ledger(product, ch, rows=300).collect()}
+    want = {}
+    for p in ids:
+        seq = sorted((r for r in rows if r[1] == p), key=lambda r: (r[4], r[0]))
+        want.update({c: (s, st) for c, s, st in fold(4, "Active", [(r[0], r[2], r[3]) for r in seq])})
+    assert got == want
