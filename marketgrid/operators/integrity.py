@@ -4,24 +4,36 @@ The schema's keys, uniques, NOT NULLs, foreign keys, ENUM domains and the
 tag-position rules become one row each: (rule, table_name, violations).
 The rule list is data; the same list renders the DuckDB oracle text.
 
-Violation counts: key rules count key values that occur more than once;
-NOT NULL / ENUM / CHECK count offending rows; FK rules count child rows
-whose key is missing in the parent; 'max_tags' counts products with more
-than three tags.
+Violation counts: primary keys count key values that occur more than once plus
+rows with a NULL in the key; unique rules count values that occur more than
+once; NOT NULL / ENUM / CHECK count offending rows; FK rules count child rows
+whose key is missing in the parent; 'max_tags' counts products with more than
+three tags.
+
+One grouped pass: every table is scanned once and hands out (domain, key,
+part) entries, a domain being a key that several rules ask about: product_id is
+the primary key of product and a child of it in tagging and order_items.  One
+aggregate counts each part of a (domain, key), with map-side sums, so a hot key
+is a few counters a task; parents and children then stand in one row, which
+answers the key, the foreign keys and the tag limit at once, without a join.
+Row rules hand out an entry under a domain of their own for offending rows only.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The schema's rules (table, columns, parent or domain).
 RULES: list[tuple] = [
-    ("pk", "product", ["product_id"]),
-    ("pk", "vendor", ["vendor_id"]),
     ("pk", "user_account", ["user_id"]),
+    ("pk", "admins", ["admin_id"]),
+    ("pk", "vendor", ["vendor_id"]),
+    ("pk", "customer", ["user_id"]),
+    ("pk", "rating", ["id"]),
+    ("pk", "product", ["product_id"]),
     ("pk", "tag", ["tag_id"]),
     ("pk", "tagging", ["product_id", "tag_id"]),
     ("pk", "orders", ["order_id"]),
@@ -35,11 +47,17 @@ RULES: list[tuple] = [
     ("not_null", "vendor", ["store_name"]),
     ("not_null", "user_account", ["username"]),
     ("not_null", "tag", ["name"]),
-    ("fk", "product", ["vendor_id"], "vendor", ["vendor_id"]),
+    ("not_null", "category", ["name"]),
+    ("not_null", "orders", ["customer_id", "order_date", "total_amount", "status", "payment_status"]),
+    ("not_null", "sub_orders", ["order_id", "merchant_id", "sub_total_amount", "status", "shipping_status"]),
+    ("not_null", "order_items", ["sub_order_id", "product_id", "quantity", "price_per_unit", "total_price", "item_status"]),
+    ("fk", "admins", ["admin_id"], "user_account", ["user_id"]),
     ("fk", "vendor", ["vendor_id"], "user_account", ["user_id"]),
+    ("fk", "customer", ["user_id"], "user_account", ["user_id"]),
+    ("fk", "product", ["vendor_id"], "vendor", ["vendor_id"]),
     ("fk", "tagging", ["product_id"], "product", ["product_id"]),
     ("fk", "tagging", ["tag_id"], "tag", ["tag_id"]),
-    ("fk", "orders", ["customer_id"], "user_account", ["user_id"]),
+    ("fk", "orders", ["customer_id"], "customer", ["user_id"]),
     ("fk", "sub_orders", ["order_id"], "orders", ["order_id"]),
     ("fk", "sub_orders", ["merchant_id"], "vendor", ["vendor_id"]),
     ("fk", "order_items", ["sub_order_id"], "sub_orders", ["sub_order_id"]),
@@ -56,7 +74,8 @@ RULES: list[tuple] = [
 
 # Shop table name -> view name in the registry.
 VIEW_OF = {"product": "shop_product", "vendor": "shop_vendor", "user_account": "shop_user", "tag": "shop_tag",
-           "tagging": "shop_tagging", "category": "shop_category", "orders": "shop_orders",
+           "tagging": "shop_tagging", "category": "shop_category", "customer": "shop_customer_profile",
+           "admins": "shop_admin", "rating": "shop_rating", "orders": "shop_order_state",
            "sub_orders": "shop_sub_orders", "order_items": "shop_order_items"}
 
 
@@ -64,40 +83,10 @@ def rule_name(r: tuple) -> str:
     return f"{r[0]}:{','.join(r[2])}" + (f"->{r[3]}" if r[0] == "fk" else "")
 
 
-def _dups(df: DataFrame, cols) -> DataFrame:
-    return df.groupBy(*cols).count().filter(F.col("count") > 1)
-
-
-def _violations(tables: dict[str, DataFrame], r: tuple) -> DataFrame:
-    kind, t, cols = r[0], r[1], r[2]
-    df = tables[t]
-    if kind == "pk" or kind == "unique":
-        bad = _dups(df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])), cols)
-    elif kind == "unique_ci":
-        bad = _dups(df.select(*[F.lower(c).alias(c) for c in cols]).filter(
-            reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])), cols)
-    elif kind == "not_null":
-        bad = df.filter(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols]))
-    elif kind == "fk":
-        parent = tables[r[3]].select(*[F.col(p).alias(c) for p, c in zip(r[4], cols)]).distinct()
-        bad = (df.select(*cols).filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
-               .join(parent, cols, "left_anti"))
-    elif kind == "enum":
-        bad = df.filter(F.col(cols[0]).isNotNull() & ~F.col(cols[0]).isin(*r[3]))
-    elif kind == "check_position":
-        bad = df.filter(~F.col(cols[0]).between(1, 3))
-    elif kind == "max_tags":
-        bad = df.groupBy(*cols).count().filter(F.col("count") > 3)
-    else:
-        raise ValueError(kind)
-    return bad.agg(F.count("*").alias("violations")).select(
-        F.lit(rule_name(r)).alias("rule"), F.lit(t).alias("table_name"), "violations")
-
-
 ROW_RULES = ("not_null", "enum", "check_position")
 
 
-def _row_predicate(r: tuple):
+def _row_predicate(r: tuple) -> Column:
     """Offending-row predicate of a row-level rule."""
     kind, cols = r[0], r[2]
     if kind == "not_null":
@@ -107,71 +96,63 @@ def _row_predicate(r: tuple):
     return ~F.col(cols[0]).between(1, 3)
 
 
-def _row_rules(tables: dict[str, DataFrame], t: str, rules: list[tuple]) -> DataFrame:
-    """All row-level rules of one table in ONE pass (conditional counts)."""
-    counts = tables[t].agg(*[F.count(F.when(_row_predicate(r), 1)).alias(f"r{i}") for i, r in enumerate(rules)])
-    rows = F.array(*[F.struct(F.lit(rule_name(r)).alias("rule"), F.col(f"r{i}").alias("violations"))
-                     for i, r in enumerate(rules)])
-    return counts.select(F.inline(rows)).select("rule", F.lit(t).alias("table_name"), "violations")
+def _key(r: tuple) -> Column:
+    """The key columns as one text that tells them apart; NULL if one of them is."""
+    cols = [F.lower(c) if r[0] == "unique_ci" else F.col(c).cast("string") for c in r[2]]
+    if len(cols) == 1:
+        return cols[0]
+    sized = [x for c in cols for x in (F.length(c).cast("string"), F.lit(":"), c)]
+    return F.concat(*sized)
 
 
-KEY_RULES = ("pk", "unique", "unique_ci", "max_tags")
-
-
-def _key_rules(tables: dict[str, DataFrame], t: str, rules: list[tuple]) -> DataFrame:
-    """All key-count rules of one table in ONE aggregation (GROUPING SETS).
-
-    Each rule is a grouping set over its (possibly lower-cased) columns; a
-    group breaks the rule when its count passes the rule's limit (1 for keys,
-    3 for tags per product).  Rows with a NULL key column are skipped for key
-    rules, as a UNIQUE index does.
-    """
-    exprs, sets = {}, []
-    for i, r in enumerate(rules):
-        names = []
-        for c in r[2]:
-            name = f"lower_{c}" if r[0] == "unique_ci" else c
-            exprs[name] = F.lower(c) if r[0] == "unique_ci" else F.col(c)
-            names.append(name)
-        sets.append(names)
-    cols = list(exprs)
-    df = tables[t].select(*[e.alias(n) for n, e in exprs.items()])
-    groups = df.groupingSets(sets, *cols).agg(F.count("*").alias("_n"), F.grouping_id().alias("_g"))
-    gid = {}
-    for i, names in enumerate(sets):  # grouping_id bit = 1 for every column NOT in the set
-        gid[i] = sum(1 << (len(cols) - 1 - j) for j, c in enumerate(cols) if c not in names)
+def _domains(rules: list[tuple]) -> list[tuple[int, int]]:
+    """(domain, part) each rule reads: a key's own rules share one domain, its children are further parts."""
+    numbers: dict[tuple, int] = {}
+    parts: dict[tuple, dict] = {}
     out = []
     for i, r in enumerate(rules):
-        limit = 3 if r[0] == "max_tags" else 1
-        keyed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in sets[i]])
-        if r[0] == "max_tags":
-            keyed = F.lit(True)
-        hit = (F.col("_g") == gid[i]) & keyed & (F.col("_n") > limit)
-        out.append(F.count(F.when(hit, 1)).alias(f"r{i}"))
-    counts = groups.agg(*out)
-    rows = F.array(*[F.struct(F.lit(rule_name(r)).alias("rule"), F.col(f"r{i}").alias("violations"))
-                     for i, r in enumerate(rules)])
-    return counts.select(F.inline(rows)).select("rule", F.lit(t).alias("table_name"), "violations")
+        if r[0] in ROW_RULES:
+            name, part = ("row", i), "self"
+        elif r[0] == "fk":
+            name, part = ("key", r[3], tuple(r[4])), (r[1], tuple(r[2]))
+        elif r[0] == "max_tags":
+            name, part = ("key", "product", ("product_id",)), (r[1], tuple(r[2]))
+        else:
+            name, part = ("key" if r[0] == "pk" else r[0], r[1], tuple(r[2])), "self"
+        number = numbers.setdefault(name, len(numbers))
+        seen = parts.setdefault(name, {"self": 0})
+        out.append((number, seen.setdefault(part, len(seen))))
+    return out
 
 
 def integrity_audit(tables: dict[str, DataFrame], rules: list[tuple] = RULES) -> DataFrame:
-    """One row per rule, all in a single Spark job (a union).
-
-    Per table, row-level rules (NOT NULL, ENUM, CHECK) share one scan and
-    key-count rules share one GROUPING SETS aggregation; each foreign key is
-    an anti join.
-    """
-    parts, rows_by_table, keys_by_table = [], {}, {}
-    for r in rules:
+    """One row per rule (rule, table_name, violations), from one grouped pass over all tables."""
+    places = _domains(rules)
+    width = 1 + max(part for _, part in places)
+    by_table: dict[str, dict] = {}
+    for r, (domain, part) in zip(rules, places):
         if r[0] in ROW_RULES:
-            rows_by_table.setdefault(r[1], []).append(r)
-        elif r[0] in KEY_RULES:
-            keys_by_table.setdefault(r[1], []).append(r)
+            entry = F.when(_row_predicate(r), F.struct(F.lit(domain).alias("domain"), F.lit("").alias("key"), F.lit(part).alias("part")))
         else:
-            parts.append(_violations(tables, r))
-    parts += [_key_rules(tables, t, rs) for t, rs in keys_by_table.items()]
-    parts += [_row_rules(tables, t, rs) for t, rs in rows_by_table.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+            entry = F.struct(F.lit(domain).alias("domain"), _key(r).alias("key"), F.lit(part).alias("part"))
+        by_table.setdefault(r[1], {}).setdefault((domain, part), entry)  # max_tags counts the entries of its foreign key
+    entries = [tables[t].select(F.explode(F.array_compact(F.array(*found.values()))).alias("x")).select("x.*")
+               for t, found in by_table.items()]
+    counts = [F.count(F.when(F.col("part") == k, 1)).alias(f"n{k}") for k in range(width)]
+    keys = reduce(lambda a, b: a.unionByName(b), entries).groupBy("domain", "key").agg(*counts)
+
+    known, one = F.col("key").isNotNull(), F.lit(1)
+    sums = []
+    for i, (r, (domain, part)) in enumerate(zip(rules, places)):
+        n = F.col(f"n{part}")
+        found = {"pk": F.when(known, (n > 1).cast("bigint")).otherwise(n),
+                 "unique": F.when(known & (n > 1), one), "unique_ci": F.when(known & (n > 1), one),
+                 "fk": F.when(known & (F.col("n0") == 0), n),
+                 "max_tags": F.when(known & (n > 3), one)}.get(r[0], n)
+        sums.append(F.coalesce(F.sum(F.when(F.col("domain") == domain, found)), F.lit(0)).cast("bigint").alias(f"r{i}"))
+    rows = [F.struct(F.lit(rule_name(r)).alias("rule"), F.lit(r[1]).alias("table_name"), F.col(f"r{i}").alias("violations"))
+            for i, r in enumerate(rules)]
+    return keys.agg(*sums).select(F.inline(F.array(*rows)))
 
 
 def _sql_not_null(cols) -> str:
@@ -185,7 +166,10 @@ def integrity_sql(rules: list[tuple] = RULES) -> str:
         kind, t, cols = r[0], r[1], r[2]
         v = VIEW_OF[t]
         cl = ", ".join(cols)
-        if kind in ("pk", "unique"):
+        if kind == "pk":
+            body = (f"SELECT 1 FROM {v} WHERE {_sql_not_null(cols)} GROUP BY {cl} HAVING count(*) > 1 UNION ALL "
+                    f"SELECT 1 FROM {v} WHERE NOT ({_sql_not_null(cols)})")
+        elif kind == "unique":
             body = f"SELECT {cl} FROM {v} WHERE {_sql_not_null(cols)} GROUP BY {cl} HAVING count(*) > 1"
         elif kind == "unique_ci":
             low = ", ".join(f"lower({c})" for c in cols)
@@ -203,7 +187,7 @@ def integrity_sql(rules: list[tuple] = RULES) -> str:
         elif kind == "check_position":
             body = f"SELECT 1 FROM {v} WHERE NOT ({cols[0]} BETWEEN 1 AND 3)"
         elif kind == "max_tags":
-            body = f"SELECT {cl} FROM {v} GROUP BY {cl} HAVING count(*) > 3"
+            body = f"SELECT {cl} FROM {v} GROUP BY {cl} HAVING count(*) > 3 AND {_sql_not_null(cols)}"
         else:
             raise ValueError(kind)
         out.append(f"SELECT '{rule_name(r)}' rule, '{t}' table_name, count(*) violations FROM ({body}) x")

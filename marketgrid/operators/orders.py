@@ -452,3 +452,27 @@ def cancel_in_history(history: DataFrame, requests: DataFrame) -> tuple[DataFram
         F.col("order_id").alias("Order_ID"), F.col("status").alias("Status"), F.col("order_date").alias("Order_Date")))
     text = marked.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("order_history"))
     return marked, text
+
+
+def cancel_in_stored_history(history: DataFrame, requests: DataFrame) -> DataFrame:
+    """D14 on the stored text: (user_id, order_history, cancelled) with requested entries 'Cancelled'.
+
+    A customer's JSON is edited in its own row: the batch's requests are folded
+    to one set of order ids per customer, the text is parsed, its entries are
+    mapped and written back, and no history is exploded or collected.  Entries
+    keep their other fields and their types (VARIANT).  ``cancelled`` counts the
+    entries that matched; texts without a match (also bad JSON, and orders of
+    someone else) stay byte for byte.
+    """
+    ids = (requests.filter(F.col("order_id").isNotNull())
+           .groupBy(F.col("customer_id").alias("user_id")).agg(F.collect_set("order_id").alias("_ids")))
+    entries = F.from_json("order_history", "array<map<string,variant>>")
+    hit = lambda e: F.coalesce(
+        F.array_contains("_ids", F.try_element_at(e, F.lit("Order_ID")).cast("string")), F.lit(False))
+    marked = F.transform("_entries", lambda e: F.when(hit(e), F.transform_values(
+        e, lambda k, v: F.when(k == "Status", F.parse_json(F.lit('"Cancelled"'))).otherwise(v))).otherwise(e))
+    rows = (history.select("user_id", "order_history").join(ids, "user_id", "left")
+            .withColumn("_entries", F.when(F.col("_ids").isNotNull(), entries))
+            .withColumn("cancelled", F.coalesce(F.size(F.filter("_entries", hit)), F.lit(0)).cast("bigint")))
+    return rows.select("user_id", F.when(F.col("cancelled") > 0, F.to_json(marked)).otherwise(F.col("order_history"))
+                       .alias("order_history"), "cancelled")

@@ -405,3 +405,17 @@ def q_order_history_json(shop):
     history = O.order_history_fragments(shop.shop_customer_profile, shop.shop_orders)
     req = shop.shop_cancel_request.join(shop.shop_orders.select("order_id", "customer_id"), "order_id")
     return O.cancel_in_history(history, req)[0]
+
+
+@register("order_history_written", """
+WITH c AS (SELECT DISTINCT customer_id, order_id FROM shop_history_cancel),
+m AS (SELECT o.customer_id, o.order_id, o.order_date, o.status, c.order_id IS NOT NULL hit FROM shop_orders o
+ LEFT JOIN c ON c.customer_id = o.customer_id AND c.order_id = o.order_id),
+h AS (SELECT customer_id, sum(hit::INT) cancelled, concat('[', string_agg(concat('{"Order_ID":"', order_id, '","Status":"',
+  CASE WHEN hit THEN 'Cancelled' ELSE status END, '","Order_Date":"', strftime(order_date, '%Y-%m-%d'), '"}'), ','
+  ORDER BY order_id), ']') t FROM m GROUP BY customer_id)
+SELECT u.user_id, coalesce(h.t, 'history') order_history, CAST(coalesce(h.cancelled, 0) AS BIGINT) cancelled
+FROM shop_customer_profile u LEFT JOIN h ON h.customer_id = u.user_id""")
+def q_order_history_written(shop):
+    """The rewritten JSON text of every customer."""
+    return O.cancel_in_stored_history(shop.shop_customer_history, shop.shop_history_cancel)

@@ -25,6 +25,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.orders import order_history_text
 from ..session import state_root
 from .views import ALL_VIEWS, RAW_TABLES, deps
 
@@ -51,8 +52,13 @@ def _sub_orders_form(shop: "Shop") -> DataFrame:
         "created_at")
 
 
+def _history_form(shop: "Shop") -> DataFrame:
+    """Spark form of ``shop_customer_history``: the table's JSON texts, built from the orders."""
+    return order_history_text(shop["shop_customer_profile"], shop["shop_orders"])
+
+
 # Views whose Spark plan is written with the DataFrame API (same rows as the text).
-SPARK_FORMS = {"shop_sub_orders": _sub_orders_form}
+SPARK_FORMS = {"shop_sub_orders": _sub_orders_form, "shop_customer_history": _history_form}
 
 
 class Shop:

@@ -103,6 +103,22 @@ FROM {shop_orders} o LEFT JOIN (SELECT order_id, SUM(sub_total_amount) total_amo
 SELECT concat('c',CAST(c_custkey AS STRING)) user_id, c_name nick_name, n_name address,
  concat('+', CAST(c_nationkey AS STRING), '-', CAST(c_custkey AS STRING)) phone_number, c_mktsegment segment
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
+    # Admin accounts.
+    "shop_admin": """
+SELECT user_id admin_id, username display_name FROM {shop_user} WHERE role_bits >= 4""",
+    # Customer.Order_History: one JSON text per customer, 'history' (no JSON) where nothing was ordered.
+    "shop_customer_history": """
+SELECT u.user_id, coalesce(h.order_history, 'history') order_history
+FROM {shop_customer_profile} u LEFT JOIN (
+ SELECT customer_id, concat('[', string_agg(concat('{{"Order_ID":"', order_id, '","Status":"', status, '","Order_Date":"',
+  strftime(order_date, '%Y-%m-%d'), '"}}'), ',' ORDER BY order_id), ']') order_history
+ FROM {shop_orders} GROUP BY customer_id) h ON h.customer_id = u.user_id""",
+    # Customers cancel urgent orders of theirs in that text; others ask for orders that are not theirs.
+    "shop_history_cancel": """
+SELECT concat('c',CAST(o_custkey AS STRING)) customer_id, concat('o',CAST(o_orderkey AS STRING)) order_id
+FROM {orders} WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT concat('c',CAST(o_custkey + 1 AS STRING)), concat('o',CAST(o_orderkey AS STRING))
+FROM {orders} WHERE o_orderpriority = '4-NOT SPECIFIED'""",
     # Who checks a cart out, when, and where it ships to.
     "shop_cart_header": """
 SELECT o_orderkey cart_id, concat('c',CAST(o_custkey AS STRING)) customer_id, o_orderdate order_date, u.address shipping_address
@@ -252,7 +268,7 @@ FROM {part} WHERE p_type = 'MEDIUM' AND p_size > 40""",
 
 ALL_VIEWS: dict[str, str] = {**FIXTURE_VIEWS, **DERIVED_VIEWS}
 
-_REF = re.compile(r"\{(\w+)\}")
+_REF = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
 
 
 def deps(name: str) -> list[str]:
@@ -261,7 +277,7 @@ def deps(name: str) -> list[str]:
 
 def plain_sql(name: str) -> str:
     """View text with its relations as plain names (oracle form)."""
-    return _REF.sub(lambda m: m.group(1), ALL_VIEWS[name])
+    return _REF.sub(lambda m: m.group(1), ALL_VIEWS[name]).replace("{{", "{").replace("}}", "}")
 
 
 def with_views(sql: str) -> str:

@@ -202,3 +202,18 @@ def test_history_fragments_parse_like_one_text(spark):
     a = O.parse_history(O.order_history_text(users, orders))
     b = O.parse_history(O.order_history_fragments(users, orders))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() == 3
+
+
+def test_stored_history_is_edited_in_place(spark):
+    odd = '[{"Order_ID":"o1","Status":"pending","Total":5.50,"Items":[1,{"a":null}]},{"Order_ID":7,"Note":"\u00e9\\"q","Status":"paid"}]'
+    hist = spark.createDataFrame([("u1", odd), ("u2", "history"), ("u3", None), ("u4", "[]"), ("u5", '[ {"Order_ID" : "o9"} ]'),
+                                  ("u6", '{"Order_ID":"o1"}')], "user_id string, order_history string")
+    req = spark.createDataFrame([("u1", "7"), ("u1", "7"), ("u1", None), ("u2", "o1"), ("u5", "o1"), ("u6", "o1"), ("zz", "o1")],
+                                "customer_id string, order_id string")
+    got = {r.user_id: (r.order_history, r.cancelled) for r in O.cancel_in_stored_history(hist, req).collect()}
+    import json
+    edited, n = got.pop("u1")
+    want = json.loads(odd)
+    want[1]["Status"] = "Cancelled"
+    assert json.loads(edited) == want and n == 1
+    assert got == {r.user_id: (r.order_history, 0) for r in hist.collect() if r.user_id != "u1"}
