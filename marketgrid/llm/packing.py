@@ -30,55 +30,49 @@ from __future__ import annotations
 import gc
 import zlib
 from bisect import bisect_right
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_ready, stored
+from .common import _LOW, pieces, python_ready, stored, text_bytes
 from .prefix import running_sum
 
 END_ID = 1
 CACHE_WORDS = 1_250_000
+PIECE_BYTES = 6_000_000
 # the tokenizer's own pattern for the parts of a word, which are encoded apart
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-class _Known(dict):
-    """Ids of words.  A word with a stop or comma behind a letter or digit is its own ids and the mark's."""
+# 1: ASCII letters and digits, 2: ASCII marks but the apostrophe (which may begin a part of its own kind)
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 2
+_KIND[48:58] = _KIND[65:91] = _KIND[97:123] = 1
+_KIND[39] = 0
 
-    def __init__(self):
-        self.new: list[bytes] = []
 
-    def __missing__(self, word: bytes):
-        mark = word[-1:]
-        if mark == b"." or mark == b",":
-            body = word[:-1]
-            # ASCII letter or digit, or a letter of U+00C0-U+00FF
-            if body[-1:].isalnum() or body[-2:-1] == b"\xc3" and body[-1] not in (0x97, 0xB7):
-                ids, end = self.get(body), self.get(mark)
-                if ids is not None and end is not None:
-                    if len(word) < 9:
-                        self[word] = ids + end
-                    return ids + end
-                self.new += (body, mark)
-                return None
-        self.new.append(word)
-        return None
+# byte-level vocabularies write a byte as the character of its number if that is printable, else as one from 256 on
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 class WordEncoder:
-    """Ids of texts, a white-space word at a time, with the words' ids remembered.
+    """Ids of texts: distinct words are encoded once and their ids remembered in one ragged array.
 
     The tokenizer drops white space, lower-cases and never joins across white
-    space, so a text's ids are its words' ids in a row.  New words of letters
-    are encoded together and told apart by the vocabulary's word-end mark;
-    others are put together from their parts, or encoded one by one where the
-    tokenizer might change them first.  The memory is emptied when it is full.
+    space, so a text's ids are its words' ids in a row.  A batch's words are
+    split and numbered by Arrow, its distinct words are looked up, and the ids
+    of all words are taken from the ragged array at once.  New words of letters
+    go to the tokenizer's model; others are put together from their parts, or
+    encoded whole where the tokenizer might change them first.  The memory is
+    emptied when it is full.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -87,11 +81,14 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
-        self.end = np.array([end_id], self.dtype).tobytes()
-        self.ends_word = np.zeros(size, bool)
-        for token, k in self.tokenizer.get_vocab().items():
-            self.ends_word[k] = token.endswith("</w>")
-        self.known = _Known()
+        self.end_id = end_id
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, bytes] = {}  # ids of words learned, also of parts
+        self.slot: dict[bytes, int] = {}  # place of the words met in the ragged array
+        self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.starts, self.sizes, self.slots = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def _single(self, words: list[bytes]) -> None:
         for k in range(0, len(words), 20_000):
@@ -99,28 +96,27 @@ class WordEncoder:
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, self.dtype).tobytes()
 
-    def _together(self, words: list[bytes]) -> None:
-        """Words of letters only: each gives one end-of-word token, its last."""
-        for k in range(0, len(words), 20_000):
-            part = words[k:k + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.int64)
-            last = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(last) != len(part) or last[-1] != len(ids):
-                self._single(part)
-                continue
-            raw, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
-            a = 0
-            for w, z in zip(part, (last * width).tolist()):
-                self.known[w] = raw[a:z]
-                a = z
-
-    def _learn(self, words: set[bytes]) -> None:
+    def _letters_only(self, words: list[bytes]) -> None:
+        """Words of letters that the tokenizer does not change before its model sees them."""
+        model, kind = self.tokenizer.model.tokenize, self.dtype
+        ids = [[t.id for t in model(w.decode() if w.isascii() else w.decode("latin-1").translate(_BYTE_CHARS))] for w in words]
+        raw, width = np.fromiter(chain.from_iterable(ids), kind).tobytes(), np.dtype(kind).itemsize
+        a = 0
+        for w, x in zip(words, ids):
+            z = a + width * len(x)
+            self.known[w] = raw[a:z]
+            a = z
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of words; those of an empty one are none."""
         known, letters, other, joined = self.known, [], [], []
+        known[b""] = b""
         for w in words:
             if w in known:
                 continue
             text = w.decode()
-            if w.isalpha() or _letters(text):  # isalpha of bytes: ASCII letters
+            # isalpha of bytes: ASCII letters
+            if w.isalpha() and w.islower() or _letters(text):
                 letters.append(w)
             elif b"<|" not in w and is_normalized("NFC", text) and text.lower() == text:
                 joined.append((w, [p.encode() for p in PARTS.findall(text)]))
@@ -128,30 +124,73 @@ class WordEncoder:
                 other.append(w)
         for _, parts in joined:
             for p in parts:
-                (letters if p.isalpha() else other).append(p)
-        for kind, encode in ((letters, self._together), (other, self._single)):
+                (letters if p.isalpha() and p.islower() else other).append(p)
+        for kind, encode in ((letters, self._letters_only), (other, self._single)):
             encode([w for w in dict.fromkeys(kind) if w not in known])
         for w, parts in joined:
             known[w] = b"".join([known[p] for p in parts])
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        # lower case first, for fewer words; a special token's text is left as it is written
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        look = known.__getitem__
-        found = [list(map(look, ws)) for ws in words]
-        if known.new:
-            self._learn(set(known.new))
-            known.new = []
-            found = [list(map(look, ws)) if None in ids else ids for ws, ids in zip(words, found)]
-        return [b"".join(ids) + self.end for ids in found]
+    def _add(self, words: list[bytes]) -> None:
+        """Give new words a place in the ragged array."""
+        self._learn(words)
+        found = [self.known[w] for w in words]
+        new = np.frombuffer(b"".join(found), self.dtype)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.dtype).itemsize
+        for name, used, more in (("ids", self.used, len(new)), ("starts", self.slots, len(words)), ("sizes", self.slots, len(words))):
+            held = getattr(self, name)
+            if len(held) < used + more:
+                setattr(self, name, np.concatenate((held, np.zeros(max(len(held), more), held.dtype))))
+        self.ids[self.used:self.used + len(new)] = new
+        here = slice(self.slots, self.slots + len(words))
+        self.starts[here], self.sizes[here] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.slot.update(zip(words, range(self.slots, self.slots + len(words))))
+        self.used, self.slots = self.used + len(new), self.slots + len(words)
+
+    def encode(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each with the end token, and where each text's begin.
+
+        The texts are given by their UTF-8 bytes and where each begins.
+        """
+        if self.slots > CACHE_WORDS:
+            self._forget()
+        # Fewer distinct words: lower case first, and marks apart from letters and digits, as the tokenizer
+        # parts them itself; a special token's text is left as it is written.
+        lower, kind = _LOW[body], _KIND[body]
+        cut = np.flatnonzero(kind[1:] + kind[:-1] == 3) + 1
+        special = np.flatnonzero((body[:-1] == 60) & (body[1:] == 124))  # <|
+        for k in np.unique(np.searchsorted(offsets, special, "right") - 1).tolist():
+            first, last = int(offsets[k]), int(offsets[k + 1])
+            lower[first:last] = body[first:last]
+            cut = cut[(cut < first) | (cut >= last)]
+        lower, offsets = np.insert(lower, cut, 32), offsets + np.searchsorted(cut, offsets)
+        # built anew: Arrow's string kernels misread an array that is a slice of another
+        texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(lower))
+        split = pc.ascii_split_whitespace(texts)
+        numbered = split.flatten().dictionary_encode()
+        raw, ends = text_bytes(numbered.dictionary)
+        raw, ends = raw.tobytes(), ends.tolist()
+        words = [raw[a:z] for a, z in zip(ends[:-1], ends[1:])]
+        slots = list(map(self.slot.get, words))
+        new = [w for w, s in zip(words, slots) if s is None]
+        if new:
+            self._add(new)
+            slots = list(map(self.slot.__getitem__, words))
+        at = np.array(slots, np.int64)[numbered.indices.to_numpy()] if words else np.zeros(0, np.int64)
+        sizes, starts = self.sizes[at], self.starts[at]
+        before = np.concatenate(([0], np.cumsum(sizes)))  # ids before each word
+        bounds = split.offsets.to_numpy()
+        first = before[bounds - bounds[0]] + np.arange(len(bounds))  # and one end token a text
+        out = np.full(first[-1], self.end_id, self.dtype)
+        taken = self.ids[np.arange(before[-1]) + np.repeat(starts - before[:-1], sizes)]
+        inside = np.ones(len(out), bool)
+        inside[first[1:] - 1] = False
+        out[inside] = taken
+        return out, first
 
 
 def _letters(word: str) -> bool:
-    """Letters only, also after the tokenizer's normalisation."""
-    return word.isalpha() and is_normalized("NFC", word) and word.lower().isalpha()
+    """Letters only, which the tokenizer's normalisation leaves as they are."""
+    return word.isalpha() and word.lower() == word and is_normalized("NFC", word)
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -179,14 +218,17 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, doc_id: str = "do
         enc, row = encoder(path, end_id), TaskContext.get().partitionId() << 40
         width = np.dtype(enc.dtype).itemsize
         for b in batches:
-            for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
-                ids = enc.encode([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(2)])
+            body, places = text_bytes(b.column(2))
+            for a, z in pieces(places, PIECE_BYTES):
+                part = b.slice(a, z - a)
+                ids, at = enc.encode(body[places[a]:places[z]], places[a:z + 1] - places[a])
+                n = len(at) - 1
+                packed = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), n, [None, pa.py_buffer(at * width), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + len(ids))), part.column(0), part.column(1),
-                     pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    [pa.array(np.arange(row, row + n)), part.column(0), part.column(1), pa.array(np.diff(at)), packed],
                     names=["row", "doc_id", "source", "n", "ids"])
-                row += len(ids)
+                row += n
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
                        F.col(text).cast("string").alias("text")) \
