@@ -33,9 +33,12 @@ def range_chunks(df: DataFrame, keys: list[str], rows: int = CHUNK_ROWS, name: s
     ``keys`` must be unique, so that a hot leading key is spread over runs, and
     numbers ascend with the keys.  Range bounds come from a sample, so the split
     is fixed by writing it to the shared folder; the stored rows are read back.
+    Rows that fill one run only are neither split nor written.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     n = df.count()
     parts = max(-(-n // rows), min(cores, -(-n // max(rows // 50, 1))), 1)
+    if parts == 1:
+        return df.withColumn(name, F.lit(0))
     return kept_rows(df.repartitionByRange(parts, *keys).withColumn(name, F.spark_partition_id()))

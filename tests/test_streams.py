@@ -47,48 +47,65 @@ def test_stock_stream_in_order_equals_ledger_and_late_rows(spark):
     spark.createDataFrame(late, H2.CHANGE_SCHEMA).write.mode("append").parquet(inp)
     H2.run_stock_stream(spark, inp, out, ck)
     got = {r.product_id: (r.stock, r.changes_seen, r.late_rows) for r in H2.current_stock(spark, out, product).collect()}
-    assert got["p1"] == (11, 4, 1)  # applied on arrival, counted late
+    assert got["p1"] == (11, 4, 1)  # takes its place in time and is counted late
 
 
-class _State:
-    """Stand-in for GroupState: exists / get / update."""
-
-    def __init__(self):
-        self.value = None
-
-    @property
-    def exists(self):
-        return self.value is not None
-
-    @property
-    def get(self):
-        return self.value
-
-    def update(self, v):
-        self.value = v
+def _stream(spark, arrivals, product, **kw):
+    inp, out, ck = _dirs()
+    for part in arrivals:
+        spark.createDataFrame(part, H2.CHANGE_SCHEMA).write.mode("append").parquet(inp)
+        H2.run_stock_stream(spark, inp, out, ck, **kw)
+    return {r.product_id: (r.stock, r.status, r.changes_seen, r.late_rows)
+            for r in H2.current_stock(spark, out, product).collect()}, out
 
 
-def test_fold_summaries_compose_to_the_step_by_step_fold():
+def test_out_of_order_files_and_a_hot_product(spark):
+    """Shuffled arrivals over several buckets; chunks far smaller than the hot product's share of a bucket."""
     import random
+    rnd = random.Random(4)
+    t = dt.datetime(2024, 1, 1)
+    rows = [(k, "hot" if rnd.random() < .6 else f"p{k % 7}", rnd.choice(["increase", "decrease", "decrease"]), rnd.randint(0, 9),
+             t + dt.timedelta(minutes=rnd.randint(0, 3 * 24 * 60))) for k in range(700)]
+    ids = sorted({r[1] for r in rows})
+    product = spark.createDataFrame([(p, 6, "Inactive" if p == "p3" else "Active") for p in ids],
+                                    "product_id string, stock int, status string")
+    got, _ = _stream(spark, [rows[:300], rows[300:650], rows[650:]], product, chunk_rows=40)
+    ledger = X.stock_ledger(product, spark.createDataFrame(rows, H2.CHANGE_SCHEMA))
+    final = {r.product_id: (r.stock, r.status) for r in X.stock_after_ledger(product, ledger).collect()}
+    assert {k: v[:2] for k, v in got.items()} == final
+    first, late = {}, dict.fromkeys(ids, 0)
+    for part in (rows[:300], rows[300:650], rows[650:]):
+        for r in part:
+            late[r[1]] += r[1] in first and (r[4], r[0]) <= first[r[1]]
+        for r in part:
+            first[r[1]] = max(first.get(r[1], (t, -1)), (r[4], r[0]))
+    assert {k: v[3] for k, v in got.items()} == late
+
 
-    import pandas as pd
-    from test_changes import fold
-    rnd = random.Random(11)
-    for trial in range(300):
-        s0 = rnd.choice([0, 0, 1, 5, 30])
-        st0 = rnd.choice(["Active", "OutOfStock", "Inactive"])
-        rows = [(i, rnd.choice(["increase", "decrease", "decrease"]), rnd.randint(0, 9)) for i in range(rnd.randint(1, 25))]
-        want = fold(s0, st0, rows)[-1][1:]
-        state, cut = _State(), sorted(rnd.sample(range(1, len(rows)), k=min(len(rows) - 1, rnd.randint(0, 3))))
-        for lo, hi in zip([0] + cut, cut + [len(rows)]):
-            part = rows[lo:hi]
-            pdf = pd.DataFrame({"change_id": [r[0] for r in part], "action": [r[1] for r in part],
-                                "amount": [r[2] for r in part], "ts_us": [r[0] for r in part]})
-            out = next(H2._fold(("p",), iter([pdf]), state)).iloc[0]
-        stock = max(s0 + int(out.a), int(out.b))
-        status = ("Inactive" if st0 == "Inactive" else "OutOfStock" if stock == 0
-                  else "Active" if out.any_increase else st0)
-        assert (stock, status) == want, (trial, s0, st0, rows)
+def test_closed_buckets_keep_their_summary(spark):
+    """Rows far behind the newest change are dropped; a change for their bucket comes at the bucket's end."""
+    t = dt.datetime(2024, 1, 1)
+    day = dt.timedelta(days=1)
+    product = spark.createDataFrame([("p", 5, "Active")], "product_id string, stock int, status string")
+    lots = [[(1, "p", "decrease", 9, t + day / 2), (2, "p", "increase", 3, t + day / 2 + day / 8)],
+            [(3, "p", "increase", 4, t + 20 * day)], [(4, "p", "decrease", 1, t)], [(5, "p", "decrease", 2, t + 19.5 * day)]]
+    got, out = _stream(spark, lots, product, keep="2 days")
+    # 5 -> 0 -> 3, then the late 4 at the end of its closed day -> 2, then 5 in its place -> 0, then 3 -> 4
+    assert got == {"p": (4, "Active", 5, 2)}
+    kept = {d.split("bucket=")[1][:10] for d, _, fs in os.walk(out + "/rows") if "bucket=" in d and fs}
+    assert kept == {"2024-01-20", "2024-01-21"}
+
+
+def test_a_batch_run_again_changes_nothing(spark):
+    inp, out, ck = _dirs()
+    t = dt.datetime(2024, 1, 1)
+    product = spark.createDataFrame([("p", 5, "Active")], "product_id string, stock int, status string")
+    lots = [[(1, "p", "decrease", 2, t)], [(2, "p", "increase", 7, t), (3, "p", "decrease", 1, t - dt.timedelta(days=1))]]
+    for again in range(2):
+        for epoch, lot in enumerate(lots):
+            H2.apply_batch(spark.createDataFrame(lot, H2.CHANGE_SCHEMA), epoch, out)
+        r = H2.current_stock(spark, out, product).first()
+        assert (r.stock, r.changes_seen, r.late_rows) == (9, 3, 1)
 
 
 def test_compaction_keeps_the_current_view(spark):
