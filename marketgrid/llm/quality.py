@@ -3,10 +3,11 @@
 The lines of a text are normalised (trimmed, A-Z in lower case) and hashed
 with their host.  A line is boilerplate of a host when at least ``line_docs``
 distinct documents of that host hold it.  Documents are told apart by their
-longest line, so a family of copies or near copies, which share it, counts
-about once and does not turn its own text into boilerplate.  Boilerplate lines
-are removed; a document is depleted, and rejected, when fewer than
-``keep_share`` of its words remain.  All on DataFrame functions.
+whole text, so exact copies, whatever their doc_ids, count once; texts that
+differ anywhere are different documents, so the shared lines of ``line_docs``
+or more near copies of one host are boilerplate.  Boilerplate lines are
+removed; a document is depleted, and rejected, when fewer than ``keep_share``
+of its words remain.  All on DataFrame functions.
 
 Scale: no word is exploded or shuffled.  Repeated 3-word windows are found
 inside each row: the window hashes, with the window's place in the low bits,
@@ -67,19 +68,16 @@ def _base_failed(min_words: int, max_repeat: float):
 def removed_lines(docs: DataFrame, line_docs: int = 10, doc_id: str = "doc_id", text: str = "text",
                   host: str = "source") -> DataFrame:
     """Per row with boilerplate: __id, __t, its words in __total, and the (place, words) of each boilerplate line in __gone."""
-    lines = lines_of(F.col(text))
-    longest = F.array_max(F.transform("__lines", lambda l: F.struct(F.length(l).alias("n"), l.alias("line"))))
     rows = docs.select(F.col(doc_id).alias("__id"), text_key(F.col(text)).alias("__t"), F.col(host).alias("__host"),
                        lines_of(F.col(text)).alias("__lines"))
-    # hashed before the lines are exploded, so once per text
-    rows = rows.withColumns({"__longest": F.xxhash64(line_key(longest.getField("line"))),
-                             "__total": F.aggregate("__lines", F.lit(0), lambda a, l: a + F.size(words_of(l)))}) \
-        .select("__id", "__t", "__host", "__longest", "__total", F.posexplode("__lines").alias("__pos", "__line"))
+    # counted before the lines are exploded, so once per text
+    rows = rows.withColumn("__total", F.aggregate("__lines", F.lit(0), lambda a, l: a + F.size(words_of(l)))) \
+        .select("__id", "__t", "__host", "__total", F.posexplode("__lines").alias("__pos", "__line"))
     rows = rows.withColumn("__key", line_key(F.col("__line"))).filter(F.length("__key") > 0)
-    rows = rows.select("__id", "__t", "__pos", "__longest", "__total", F.size(words_of(F.col("__line"))).alias("__n"),
+    rows = rows.select("__id", "__t", "__pos", "__total", F.size(words_of(F.col("__line"))).alias("__n"),
                        F.xxhash64(F.col("__host").isNull(), "__host", "__key").alias("__h1"),
                        F.hash("__key", "__host").alias("__h2"))
-    frequent = rows.select("__h1", "__h2", "__longest").distinct() \
+    frequent = rows.select("__h1", "__h2", "__t").distinct() \
         .groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__docs")).filter(F.col("__docs") >= line_docs)
     frequent = stored(frequent.select("__h1", "__h2"), "host-lines")
     return rows.join(frequent, ["__h1", "__h2"]).groupBy("__id", "__t", "__total") \

@@ -86,11 +86,8 @@ l AS (SELECT doc_id, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS p
 k AS (SELECT doc_id, source, line, pos, {_KEY.format('line')} AS key,
         len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS nw FROM l),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM k WHERE nw > 0 GROUP BY doc_id),
-longest AS (SELECT doc_id, max(struct_pack(m := length(line), v := line)) AS x FROM k GROUP BY doc_id),
-ln AS (SELECT DISTINCT k.doc_id, k.source, k.key FROM k),
-sig AS (SELECT doc_id, {_KEY.format('x.v')} AS s FROM longest),
-hot AS (SELECT ln.source, ln.key FROM ln JOIN sig USING (doc_id) WHERE length(ln.key) > 0
-        GROUP BY ln.source, ln.key HAVING count(DISTINCT s) >= 10),
+hot AS (SELECT k.source, k.key FROM k JOIN d USING (doc_id) WHERE length(k.key) > 0
+        GROUP BY k.source, k.key HAVING count(DISTINCT d.t) >= 10),
 gone AS (SELECT k.doc_id, count(*) AS nl, sum(nw) AS nw FROM k JOIN hot ON k.key = hot.key AND k.source IS NOT DISTINCT FROM hot.source
         GROUP BY k.doc_id),
 m AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,

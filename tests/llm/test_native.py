@@ -27,11 +27,9 @@ def brute_lines(rows, least):
 def brute_quality(rows, least):
     holders = defaultdict(set)
     for r in rows:
-        lines = (r[1] or "").split("\n")
-        longest = key(max((len(x), x) for x in lines)[1])
-        for x in lines:
+        for x in (r[1] or "").split("\n"):
             if key(x):
-                holders[r[2], key(x)].add(longest)
+                holders[r[2], key(x)].add(r[1])
     out = []
     for r in rows:
         text = r[1] or ""
@@ -85,16 +83,29 @@ def test_quality(make_docs, hard_rows):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(w[0]) for w in want if w[-1])
 
 
-def test_depleted_rejected_copies_kept(make_docs):
-    """Template pages with little of their own are rejected; a family of long copies is not."""
+def test_depleted_rejected_exact_copies_kept(make_docs):
+    """Template pages with little of their own are rejected; exact copies of a long text are one document."""
     from samples import prose
     template = [prose(900 + k, 25) for k in range(4)]
     body = [prose(800 + k, 40 + k) for k in range(3)]
     rows = [(k, "\n".join([*template, prose(k, 27)]), "host") for k in range(20)]
-    rows += [(100 + k, "\n".join([*body, f"copy {k}"]), "host") for k in range(40)]
+    rows += [(100 + k, "\n".join(body), "host") for k in range(40)]
     got = {r.doc_id: r.kept for r in score_documents(make_docs(rows)).collect()}
     assert not any(got[k] for k in range(20)) and all(got[100 + k] for k in range(40))
 
 
+def test_boilerplate_is_the_longest_line(make_docs):
+    """A notice longer than any own line counts by its documents, here of two hosts: ten and nine."""
+    from samples import prose
+    notice = prose(900, 60)
+    rows = [(k, f"{notice}\n{prose(k, 5)}", "ten" if k < 10 else "nine") for k in range(19)]
+    rows += [(20, f"{notice}\n{prose(20, 70)}", "ten"), (21, prose(21, 80), "ten")]
+    rows += [(9, rows[9][1], "ten")] * 3 + [(18, rows[18][1], "nine")] * 3  # a repeated row is no other document
+    got = {r.doc_id: (r.n_removed_words, r.kept) for r in score_documents(make_docs(rows)).collect()}
+    assert all(got[k] == (60, False) for k in range(10)) and all(got[k] == (0, True) for k in range(10, 19))
+    assert got[20] == (60, True) and got[21] == (0, True)
+    assert {r.doc_id for r in keep_good(make_docs(rows)).collect()} == {*range(10, 19), 20, 21}
+
+
 def test_quality_empty(make_docs):
     assert score_documents(make_docs([])).count() == 0 and keep_good(make_docs([])).count() == 0
