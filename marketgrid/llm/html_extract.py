@@ -11,8 +11,13 @@ can stand for prose (tags, notice, related, ...) go only if mostly links.  Every
 paragraph then passes points (one, one per comma, up to three for length) to
 its parent, half to the grandparent and less further up; a container's points
 are discounted by its share of text in links.  The best container is kept with
-those siblings that look like it; if it stands in an article or main element,
-that whole element is the article.
+those siblings that look like it.  An article in sections has containers of
+comparable points in several branches of one ancestor: the choice is lifted to
+the highest ancestor that has such branches, and keeps them whole, with what
+stands between them and is not mostly links.  If the best container stands in an
+article or main element, that whole element is the article.  A header element is
+left out unless an article, a main element or a container named as one post
+holds it.
 
 One page is one row of work; pages are read with loops, so deep trees need no
 stack, and nothing is shuffled.
@@ -56,9 +61,12 @@ SOFT_NAMES = frozenset("disclaimer form notice notices promotion related search
 BAD_ROLES = frozenset("""alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search
 status toolbar""".split())
 GOOD_NAMES = frozenset("article body content entry main post story text".split())
+POST_NAMES = frozenset("article entry post story".split())  # one piece of writing, with its own header
 # words that go with a name in a class or id and leave its meaning as it is
 WITH_NAMES = frozenset("""area bar block bottom box center col column container group holder icons inner item items left link
 links list module outer page panel primary right row secondary section site slot unit wrap wrapper""".split()) | GOOD_NAMES | PAGE_NAMES
+WITH_POSTS = WITH_NAMES | frozenset("blog full news single".split())
+BETWEEN = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol dl table figure div section".split())
 MOST = 0.8  # share of a page's paragraph points that no marked element but the article's has
 TAG_POINTS = {"article": 8, "main": 8, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3}
 
@@ -89,6 +97,8 @@ class Page:
         self.tag, self.parent, self.points = ["#page"], [-1], [0.0]
         self.mark: dict[int, int] = {}  # element, what its class or id stands for
         self.good: set[int] = set()  # elements with a good name
+        self.post: set[int] = set()  # elements named as one post
+        self.kind = [""]  # tag and class of each element, nothing for a plain one
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
 
     def read(self, html: str) -> None:
@@ -162,6 +172,7 @@ class Page:
             self.tag.append(tag)
             self.parent.append(open_[-1])
             self.points.append(TAG_POINTS.get(tag, 0) + self._name_points(attributes))
+            self.kind.append(f"{tag} {attributes['class']}" if attributes.get("class") else tag if tag == "section" else "")
             open_.append(len(self.tag) - 1)
             if skip < 0 and self._left_out(tag, attributes, open_):
                 flush()
@@ -191,7 +202,7 @@ class Page:
         if tag in DROP:
             return True
         around = {self.tag[e] for e in open_[:-1]}
-        in_article = "article" in around or "main" in around
+        in_article = "article" in around or "main" in around or not self.post.isdisjoint(open_[:-1])
         if tag == "header" and not in_article:
             return True
         if not attributes or tag in ("html", "body", "article", "main"):
@@ -201,6 +212,8 @@ class Page:
         if attributes.get("role", "").lower() in BAD_ROLES:
             return True
         names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+        if any(not POST_NAMES.isdisjoint(p) and p <= WITH_POSTS for p in (set(NAME_PARTS.findall(x)) for x in names)):
+            self.post.add(open_[-1])
         if not GOOD_NAMES.isdisjoint(names):
             self.good.add(open_[-1])
         elif mark := max((name_mark(x, in_article) for x in names), default=0):
@@ -277,7 +290,8 @@ class Page:
         if value:
             best = max(value, key=lambda k: (value[k], -k))
             keep = self._article(best)
-            if keep == {best} and best > 0:
+            if keep == {best} and best > 0 and not (keep := self._sections(best, value, points, chars, density)):
+                keep = {best}
                 least = max(10.0, 0.2 * value[best])
                 keep |= {k for k in range(1, n) if self.parent[k] == self.parent[best] and k != best and chars[k] and
                          (value.get(k, 0.0) >= least or self.tag[k] in ("p", "h1", "h2", "pre", "blockquote") and density[k] < 0.25)}
@@ -288,6 +302,37 @@ class Page:
             inside[k] = k in keep or self.parent[k] >= 0 and inside[self.parent[k]]
         return "\n\n".join(body for e, body, _ in self.blocks if inside[e])
 
+    def _sections(self, best: int, value: dict, points: list, chars: list, density: list) -> set[int]:
+        """The branches of the highest ancestor of ``best`` with containers like it in several branches; none if no ancestor has.
+
+        A branch counts if its best container has a fifth of the points of ``best``,
+        or if the branch or that container has the class of the one of ``best``.
+        """
+        n = len(self.tag)
+        peak, top = [0.0] * n, [0] * n  # value and place of the best container inside
+        for k, v in value.items():
+            if points[k] * (1 - density[k]) > 0:
+                peak[k], top[k] = v, k
+        beside: dict[int, list[int]] = {}
+        for k in range(n - 1, 0, -1):
+            up = self.parent[k]
+            if top[k] and (not top[up] or peak[k] > peak[up]):
+                peak[up], top[up] = peak[k], top[k]
+            beside.setdefault(up, []).append(k)
+        least = max(10.0, 0.2 * value[best])
+        c, up, keep = best, self.parent[best], set()
+        while up >= 0:
+            if c != best:
+                like = [k for k in beside[up] if k != c and density[k] < 0.25 and self.tag[k] in HOLDS and
+                        top[k] and (peak[k] >= least or self.kind[c] and self.kind[k] == self.kind[c] or
+                                    self.kind[best] and self.kind[top[k]] == self.kind[best])]
+                if like:
+                    first, last = min(*like, c), max(*like, c)
+                    keep = {c, *like} | {k for k in beside[up] if chars[k] and density[k] < 0.25 and
+                                         (first < k < last and self.tag[k] in BETWEEN or self.tag[k] in ("p", "h1", "h2", "pre", "blockquote"))}
+            c, up = up, self.parent[up]
+        return keep
+
     def _article(self, k: int) -> set[int]:
         found = {k}
         while k > 0:

@@ -90,3 +90,35 @@ def test_short_article_beside_long_others():
     advert = f"<div class='ad'>{P[0]}</div>"
     assert extract(f"{advert}<article><h1>Title</h1><p>{SHORT}</p>{advert}</article>") == f"Title\n\n{SHORT}"
     assert extract(f"<div class='sidebar'><article>{ARTICLE}</article></div><article><p>{SHORT}</p></article>") == SHORT
+
+
+@pytest.mark.parametrize("kind", ["div class=sec", "section", "div"])
+@pytest.mark.parametrize("around", ["<div class=wrap>{}</div>", "<div><div>{}</div></div>", "{}"])
+def test_sections_without_an_article_element(kind, around):
+    """Every section of a page without article or main comes out, with its heading and what stands between."""
+    body = "".join(f"<{kind}><h2>Part {k}</h2><div class=txt><p>{p}</p></div></{kind.split()[0]}>" + "<ul><li>An item</ul>" * (k == 1)
+                   for k, p in enumerate(P))
+    want = f"Part 0\n\n{P[0]}\n\nPart 1\n\n{P[1]}\n\nAn item\n\nPart 2\n\n{P[2]}"
+    page = f"<body><div>{LINKS}</div>{around.format(body)}<div>{LINKS}</div><div class='comments'>{COMMENTS}</div></body>"
+    assert extract(page) == want
+
+
+def test_sections_of_uneven_length():
+    long = "".join(f"<p>{p}</p>" for p in P * 4)
+    short = f"<p>{P[1]}</p>"
+    sections = [short, long, short]
+    page = "<div id=wrap>" + "".join(f"<div class=sec><h3>H{k}</h3><div>{s}</div></div>" for k, s in enumerate(sections)) + "</div>"
+    got = extract(f"<body>{page}<div><div><p>A short line, of legal text.</p></div></div></body>")
+    assert got == "\n\n".join(["H0", P[1], "H1", *P * 4, "H2", P[1]])
+
+
+@pytest.mark.parametrize("name", ["post", "blog-post", "entry", "post-12", "story full"])
+@pytest.mark.parametrize("header", ["<header>", "<header class=entry-header>", "<header class='post-header'>"])
+def test_header_of_a_post(name, header):
+    """The title in a post's own header stays, the page's header goes."""
+    page = f"<header><h1>Site</h1></header><div class='{name}'>{header}<h1>Title</h1></header>{ARTICLE}</div><div class=menu>{LINKS}</div>"
+    assert extract(f"<body>{page}</body>") == f"Title\n\n{TEXT}"
+
+
+def test_header_of_a_page_goes():
+    assert extract(f"<body class=single-post><div id=page><header><h1>Site</h1></header><div>{ARTICLE}</div></div></body>") == TEXT
