@@ -2,8 +2,9 @@
 
 Filters are Column predicates, so they reach the parquet scans; paging is a
 top-k (TakeOrderedAndProject) on a unique sort key, and the tag list of a page
-is aggregated only for the page's products (a broadcast of at most
-``offset + limit`` rows).
+is aggregated only for the page's products (a broadcast of the page, if it
+has at most ``BROADCAST_ROWS`` rows).  ``listing`` has the form of pages that
+does not read what lies before them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from ..functions.columns import (ACTIVE, INACTIVE, OUT_OF_STOCK, any_of, ci_cont
 from ..functions.tags import tag_list, tag_rows
 
 
+BROADCAST_ROWS = 10_000  # a caller's page up to this size is broadcast
+
+
 def newest_first():
     """Sort key of every product list: newest first, ties by id."""
     return [F.col("created_seq").desc(), F.col("product_id").asc()]
@@ -47,7 +51,13 @@ def search_products(product: DataFrame, vendor: DataFrame, tagging: DataFrame, t
     of Active vendors.  Price bounds become decimal literals, so they
     are pushed to the scan.
     """
-    p = _active_listing(product, vendor)
+    return filter_listing(_active_listing(product, vendor), tagging, tag, keyword, category, min_price, max_price, tags)
+
+
+def filter_listing(p: DataFrame, tagging: DataFrame, tag: DataFrame, keyword: str | None = None,
+                   category: str | None = None, min_price: float | None = None, max_price: float | None = None,
+                   tags: list[str] | None = None) -> DataFrame:
+    """The rows of a listing of public products that pass the B4 filter."""
     if category:
         p = p.filter(F.lower("category") == category.strip().lower())
     if min_price is not None:
@@ -91,15 +101,18 @@ def _page(listing: DataFrame, limit: int, offset: int) -> DataFrame:
     ordered = listing.orderBy(*newest_first())
     if offset:
         ordered = ordered.offset(offset)
-    return ordered.limit(limit)
+    return page_rows(ordered.limit(limit), limit)
+
+
+def page_rows(page: DataFrame, limit: int) -> DataFrame:
+    return F.broadcast(page) if limit <= BROADCAST_ROWS else page
 
 
 def public_products(product, vendor, tagging, tag, keyword=None, category=None, min_price=None,
                     max_price=None, tags=None, limit: int = 20, offset: int = 0) -> DataFrame:
     """B2: one page of public cards, newest first (tie-break product_id)."""
     listing = search_products(product, vendor, tagging, tag, keyword, category, min_price, max_price, tags)
-    page = F.broadcast(_page(listing, limit, offset))  # at most `limit` rows
-    return product_cards(page, tagging, tag, page_only=True)
+    return product_cards(_page(listing, limit, offset), tagging, tag, page_only=True)
 
 
 def public_products_count(product, vendor, tagging, tag, keyword=None, category=None,
@@ -152,8 +165,12 @@ def vendor_names(vendor: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _tags_any_listing(product, vendor, tagging, tag, tags):
+    return any_tag(_active_listing(product, vendor), tagging, tag, tags)
+
+
+def any_tag(p: DataFrame, tagging: DataFrame, tag: DataFrame, tags: list[str]) -> DataFrame:
+    """The rows of a listing whose tags equal, or whose name contains, one of ``tags``."""
     terms = clean_terms(tags, lower=True)
-    p = _active_listing(product, vendor)
     if not terms:
         return p.limit(0)
     hits = _tag_hit_ids(tagging, tag, F.lower("name").isin(terms))
@@ -168,8 +185,7 @@ def tags_any(product, vendor, tagging, tag, tags: list[str], limit: int = 20, of
     Unlike B4 there is no substring match on tag names.
     """
     listing = _tags_any_listing(product, vendor, tagging, tag, tags)
-    page = F.broadcast(_page(listing, limit, offset))
-    return product_cards(page, tagging, tag, page_only=True)
+    return product_cards(_page(listing, limit, offset), tagging, tag, page_only=True)
 
 
 def tags_any_count(product, vendor, tagging, tag, tags: list[str]) -> DataFrame:
@@ -179,12 +195,17 @@ def tags_any_count(product, vendor, tagging, tag, tags: list[str]) -> DataFrame:
 
 
 def _tags_all_ids(product, vendor, tagging, tag, tags):
+    return all_tags_of(_active_listing(product, vendor), tagging, tag, tags)
+
+
+def all_tags_of(p: DataFrame, tagging: DataFrame, tag: DataFrame, tags: list[str]) -> DataFrame:
+    """The rows of a listing that carry every one of ``tags``."""
     terms = clean_terms(tags, lower=True)  # Q9: a repeated request tag counts once
     wanted = tag.filter(F.lower("name").isin(terms)) if terms else tag.limit(0)
     have = (tagging.join(wanted, "tag_id").groupBy("product_id")
             .agg(F.countDistinct(F.lower("name")).alias("n"))
             .filter(F.col("n") == len(terms)).select("product_id"))
-    return _active_listing(product, vendor).join(have, "product_id", "left_semi")
+    return p.join(have, "product_id", "left_semi")
 
 
 def tags_all(product, vendor, tagging, tag, tags: list[str], limit: int | None = None,
@@ -192,7 +213,7 @@ def tags_all(product, vendor, tagging, tag, tags: list[str], limit: int | None =
     """Products carrying every requested tag (relational division)."""
     listing = _tags_all_ids(product, vendor, tagging, tag, tags)
     if limit is not None:
-        return product_cards(F.broadcast(_page(listing, limit, offset)), tagging, tag, page_only=True)
+        return product_cards(_page(listing, limit, offset), tagging, tag, page_only=True)
     return product_cards(listing, tagging, tag)
 
 

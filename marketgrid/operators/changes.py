@@ -295,25 +295,45 @@ def vendor_update(vendor: DataFrame, updates: DataFrame, order_cols: list[str])
     Per request: 'not_found', 'no_change' (nothing given) or 'updated', with
     the vendor's name and location after all of the batch's updates.
     """
-    u = updates.select("vendor_id",
-                       F.when(F.trim("store_name") != "", F.col("store_name")).alias("store_name"),
-                       F.when(F.trim("location") != "", F.col("location")).alias("location"),
-                       *order_cols)
-    last = (u.groupBy("vendor_id")
-            .agg(F.max(F.when(F.col("store_name").isNotNull(), F.struct(*order_cols, F.col("store_name").alias("_v"))))
-                 .alias("n"),
-                 F.max(F.when(F.col("location").isNotNull(), F.struct(*order_cols, F.col("location").alias("_v"))))
-                 .alias("l"))
-            .select("vendor_id", F.col("n._v").alias("_name"), F.col("l._v").alias("_loc")))
-    nxt = (vendor.join(last, "vendor_id", "left")
-           .select("vendor_id", F.coalesce("_name", "store_name").alias("store_name"),
-                   F.coalesce("_loc", "location").alias("location"), F.lit(True).alias("_found")))
-    return (u.join(nxt, "vendor_id", "left")
+    u = _given_fields(updates, order_cols)
+    fields = [c for c in VENDOR_FIELDS if c in u.columns]
+    nxt = next_vendors(vendor, updates, order_cols).select("vendor_id", "store_name", "location", F.lit(True).alias("_found"))
+    given = u.select("vendor_id", F.coalesce(*[F.col(c).cast("string") for c in fields]).isNotNull().alias("_given"))
+    return (given.join(nxt, "vendor_id", "left")
             .select("vendor_id",
                     F.when(F.col("_found").isNull(), "not_found")
-                    .when(u["store_name"].isNull() & u["location"].isNull(), "no_change")
+                    .when(~F.col("_given"), "no_change")
                     .otherwise("updated").alias("outcome"),
-                    nxt["store_name"], nxt["location"]))
+                    "store_name", "location"))
+
+
+# The fields a vendor update may set; blank names and locations, unknown states and ratings outside 0..5 set nothing.
+VENDOR_FIELDS = {
+    "store_name": lambda c: F.trim(c) != "",
+    "location": lambda c: F.trim(c) != "",
+    "status": lambda c: c.isin(ACTIVE, INACTIVE),
+    "rating": lambda c: c.between(0, 5),
+}
+
+
+def _given_fields(updates: DataFrame, order_cols: list[str]) -> DataFrame:
+    return updates.select("vendor_id", *order_cols, *[F.when(ok(F.col(c)), F.col(c)).alias(c)
+                                                      for c, ok in VENDOR_FIELDS.items() if c in updates.columns])
+
+
+def next_vendors(vendor: DataFrame, updates: DataFrame, order_cols: list[str]) -> DataFrame:
+    """the vendor table after a batch of partial updates (store_name, location, status, rating; those the batch has).
+
+    Per field the last given value by ``order_cols`` wins; other columns and vendors stay.
+    """
+    u = _given_fields(updates, order_cols)
+    fields = [c for c in VENDOR_FIELDS if c in u.columns]
+    last = u.groupBy("vendor_id").agg(*[
+        F.max(F.when(F.col(c).isNotNull(), F.struct(*order_cols, F.col(c).alias("_v")))).getField("_v").alias(f"_{c}")
+        for c in fields])
+    joined = vendor.join(last, "vendor_id", "left")
+    return joined.select(*[F.coalesce(F.col(f"_{c}").cast(vendor.schema[c].dataType), c).alias(c) if c in fields else F.col(c)
+                           for c in vendor.columns])
 
 
 def vendor_status_change(vendor: DataFrame, by_id: DataFrame | None = None,

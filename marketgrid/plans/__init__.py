@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["catalog", "vendors", "orders", "ratings", "changes", "integrity", "streams"]
+_MODULES = ["catalog", "vendors", "orders", "ratings", "changes", "integrity", "streams", "listing"]
 
 
 def _load():

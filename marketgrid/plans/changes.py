@@ -234,6 +234,20 @@ def q_vendor_update(shop):
     return X.vendor_update(shop.shop_vendor, shop.shop_vendor_update, ["seq"])
 
 
+@register("vendor_update_next", """
+WITH u AS (SELECT vendor_id, seq, CASE WHEN trim(store_name) <> '' THEN store_name END store_name,
+  CASE WHEN trim(location) <> '' THEN location END location, CASE WHEN status IN ('Active', 'Inactive') THEN status END status,
+  CASE WHEN rating BETWEEN 0 AND 5 THEN rating END rating FROM shop_vendor_patch),
+l AS (SELECT vendor_id, arg_max(store_name, seq) FILTER (WHERE store_name IS NOT NULL) n,
+  arg_max(location, seq) FILTER (WHERE location IS NOT NULL) l, arg_max(status, seq) FILTER (WHERE status IS NOT NULL) s,
+  arg_max(rating, seq) FILTER (WHERE rating IS NOT NULL) r FROM u GROUP BY 1)
+SELECT v.vendor_id, coalesce(l.n, v.store_name) store_name, coalesce(l.l, v.location) location,
+ coalesce(l.s, v.status) status, CAST(coalesce(l.r, v.rating) AS DOUBLE) rating, v.created_seq
+FROM shop_vendor v LEFT JOIN l ON l.vendor_id = v.vendor_id""")
+def q_vendor_update_next(shop):
+    return X.next_vendors(shop.shop_vendor, shop.shop_vendor_patch, ["seq"]).withColumn("rating", F.col("rating").cast("double"))
+
+
 @register("vendor_status_change", """
 WITH r AS (SELECT * FROM shop_vendor_status_request WHERE action IN ('activate', 'deactivate', 'toggle')),
 s AS (SELECT vendor_id, action, seq FROM (SELECT *, row_number() OVER (PARTITION BY vendor_id ORDER BY seq DESC) rn

@@ -217,6 +217,12 @@ SELECT concat('s',CAST(s_suppkey AS STRING)), concat('A ',s_name), NULL, 2 FROM
 UNION ALL
 SELECT concat('c',CAST(c_custkey AS STRING)), c_name, NULL, 1 FROM {customer} WHERE c_mktsegment = 'MACHINERY'""",
     # Admin status actions by id: action from the balance band.
+    # The same with states and ratings, some of them not allowed.
+    "shop_vendor_patch": """
+SELECT vendor_id, store_name, location, CAST(NULL AS STRING) status, CAST(NULL AS DECIMAL(3,2)) rating, seq FROM {shop_vendor_update}
+UNION ALL SELECT vendor_id, CAST(NULL AS STRING), CAST(NULL AS STRING),
+ CASE WHEN rating < 1 THEN 'Inactive' WHEN rating < 2 THEN 'Closed' END, CAST(7 - rating AS DECIMAL(3,2)), 3
+FROM {shop_vendor} WHERE rating < 3""",
     "shop_vendor_status_request": """
 SELECT concat('s',CAST(s_suppkey AS STRING)) vendor_id,
  CASE WHEN s_acctbal < -500 THEN 'activate' WHEN s_acctbal < 3000 THEN 'deactivate' ELSE 'toggle' END action,
