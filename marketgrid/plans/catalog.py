@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
+from ..sources.contract import schema_report, schema_sql
 from .registry import cards_sql, register
 
 _TAG_JOIN = "shop_tagging tg JOIN shop_tag t ON t.tag_id = tg.tag_id"
@@ -41,6 +42,13 @@ def q_shop_tables(shop):
     return out
 
 
+# The phone number lies in the profile here, and the order header has no address.
+@register("schema_report", schema_sql({("shop_user", "phone_number"), ("shop_order_state", "shipping_address")}))
+def q_schema_report(shop):
+    """A1: every declared column of the shop tables against its declaration."""
+    return schema_report(shop.__getitem__)
+
+
 @register("product_detail_view", f"""
 SELECT p.product_id, p.name, p.description, CAST(p.price AS DOUBLE) price, p.stock, p.category, p.image_url,
  p.vendor_id, p.status, CAST(p.rating AS DOUBLE) rating, p.created_seq, v.store_name,

@@ -6,9 +6,9 @@ predicate on its key (``CRC32(key) % n = i``): the split is even whatever the
 id format, and no row is read twice or missed.  Columns are renamed to the
 snake_case schema the operators use, and types are cast as in the DDL.
 
-Not exercised here: it needs a database server and the MySQL JDBC driver on
-the classpath, and this build starts neither.  ``partition_predicates`` and
-``SHOP_TABLES`` are tested offline.
+Reading is not exercised here: it needs a database server and the MySQL JDBC
+driver on the classpath, and this build starts neither.  Everything behind the
+read (``typed``, ``shop_views``) is tested on frames with MySQL's columns.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ SHOP_TABLES: dict[str, tuple[str, str, dict[str, tuple[str, str]]]] = {
     "Customer": ("shop_customer_profile", "User_ID", {
         "User_ID": ("user_id", "string"), "Nick_name": ("nick_name", "string"),
         "Address": ("address", "string"), "Order_History": ("order_history", "string")}),
+    "Admins": ("shop_admin", "Admin_ID", {
+        "Admin_ID": ("admin_id", "string"), "Display_Name": ("display_name", "string")}),
     "Rating": ("shop_rating", "ID", {
         "ID": ("id", "bigint"), "Customer_ID": ("customer_id", "string"), "Vendor_ID": ("vendor_id", "string"),
         "Score": ("score", "int"), "Created_At": ("created_at", "timestamp")}),
@@ -67,24 +69,44 @@ def partition_predicates(key: str, n: int) -> list[str]:
 
 
 def read_table(spark: SparkSession, url: str, table: str, properties: dict, num_partitions: int) -> DataFrame:
-    view, key, cols = SHOP_TABLES[table]
-    raw = spark.read.jdbc(url, f"`{table}`", predicates=partition_predicates(key, num_partitions),
+    raw = spark.read.jdbc(url, f"`{table}`", predicates=partition_predicates(SHOP_TABLES[table][1], num_partitions),
                           properties=properties)
-    return raw.select(*[F.col(src).cast(t).alias(dst) for src, (dst, t) in cols.items()])
+    return typed(raw, table)
+
+
+def typed(raw: DataFrame, table: str) -> DataFrame:
+    """The columns of a MySQL table under the operators' names and types."""
+    return raw.select(*[F.col(src).cast(t).alias(dst) for src, (dst, t) in SHOP_TABLES[table][2].items()])
+
+
+def shop_views(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The shop views from the typed MySQL tables, keyed by MySQL table name.
+
+    ``created_seq``, which orders lists, is the creation time in microseconds;
+    the profile gains the account's phone number; the order header also serves
+    as ``shop_orders``, the stored histories as ``shop_customer_history``;
+    items gain their order and merchant through their sub-order.
+    """
+    out = {SHOP_TABLES[t][0]: df for t, df in tables.items()}
+    for view in ("shop_vendor", "shop_product"):
+        out[view] = out[view].withColumn("created_seq", F.unix_micros("created_at"))
+    phones = out["shop_user"].select("user_id", "phone_number")
+    out["shop_customer_history"] = out["shop_customer_profile"].select("user_id", "order_history")
+    out["shop_customer_profile"] = out["shop_customer_profile"].drop("order_history").join(phones, "user_id", "left")
+    out["shop_orders"] = out["shop_order_state"].select("order_id", "customer_id", "order_date", "status")
+    subs = out["shop_sub_orders"].select("sub_order_id", "order_id", "merchant_id")
+    out["shop_order_items"] = out["shop_order_items"].join(subs, "sub_order_id")
+    return out
 
 
 def load_shop_jdbc(spark: SparkSession, url: str, user: str, password: str,
                    num_partitions: int | None = None, fetch_size: int = 10_000) -> dict[str, DataFrame]:
     """All shop tables from a live MySQL database, keyed by shop view name.
 
-    Order items gain ``order_id`` through their sub-order (the operators key
-    items by order as well).  Read the result once and write it to parquet
-    (``write_shop``) before running many queries: every action re-reads JDBC.
+    Read the result once and write it to parquet (``write_shop``) before
+    running many queries: every action re-reads JDBC.
     """
     props = {"user": user, "password": password, "driver": "com.mysql.cj.jdbc.Driver",
              "fetchsize": str(fetch_size)}
     n = num_partitions or spark.sparkContext.defaultParallelism
-    out = {SHOP_TABLES[t][0]: read_table(spark, url, t, props, n) for t in SHOP_TABLES}
-    subs = out["shop_sub_orders"].select("sub_order_id", "order_id", "merchant_id")
-    out["shop_order_items"] = out["shop_order_items"].join(subs, "sub_order_id")
-    return out
+    return shop_views({t: read_table(spark, url, t, props, n) for t in SHOP_TABLES})
