@@ -81,20 +81,34 @@ def product_cards(listing: DataFrame, tagging: DataFrame, tag: DataFrame,
     'Out of Stock'; anything else, Inactive included, is labelled 'Active'.
     """
     tags = tag_list(tagging, tag, "||", products=listing if page_only else None)
+    return listing.join(tags.select("product_id", "tags"), "product_id", "left").select(*_card_columns())
+
+
+def page_cards(page: DataFrame, tagging: DataFrame, tag: DataFrame, *keep: str) -> DataFrame:
+    """B5 for the rows of one page, planned once: tags are joined to the page's rows
+    and gathered there, so no other product's tags are.  ``keep`` names further columns to carry."""
+    names = tagging.join(tag, "tag_id").select("product_id", F.struct("position", "name").alias("_tag"))
+    rest = F.struct(*[c for c in page.columns if c != "product_id"])
+    ordered = F.transform(F.array_sort(F.collect_list("_tag")), lambda t: t["name"])
+    rows = page.join(names, "product_id", "left").groupBy("product_id").agg(
+        F.first(rest).alias("_row"), F.array_join(ordered, "||").alias("tags"))
+    return rows.select("product_id", "_row.*", "tags").select(*_card_columns(), *keep)
+
+
+def _card_columns():
     out_of_stock = (F.col("stock") == 0) | (F.col("status") == OUT_OF_STOCK)
-    return (listing.join(tags.select("product_id", "tags"), "product_id", "left")
-            .select(
-                "product_id", "name",
-                F.coalesce("description", F.lit("")).alias("description"),
-                money("price").alias("price"), "stock", "category", "image_url", "vendor_id", "status",
-                money(F.coalesce("rating", F.lit(0))).alias("rating"),
-                "store_name",
-                F.coalesce("tags", F.lit("")).alias("tag_names"),
-                F.when(out_of_stock, "Out of Stock").otherwise("Active").alias("status_label"),
-                F.when(out_of_stock, "Out of Stock").otherwise("In Stock").alias("stock_status"),
-                price_text("price").alias("price_formatted"),
-                "created_seq",
-            ))
+    return [
+        "product_id", "name",
+        F.coalesce("description", F.lit("")).alias("description"),
+        money("price").alias("price"), "stock", "category", "image_url", "vendor_id", "status",
+        money(F.coalesce("rating", F.lit(0))).alias("rating"),
+        "store_name",
+        F.coalesce("tags", F.lit("")).alias("tag_names"),
+        F.when(out_of_stock, "Out of Stock").otherwise("Active").alias("status_label"),
+        F.when(out_of_stock, "Out of Stock").otherwise("In Stock").alias("stock_status"),
+        price_text("price").alias("price_formatted"),
+        "created_seq",
+    ]
 
 
 def _page(listing: DataFrame, limit: int, offset: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import date_time, ACTIVE, INACTIVE, ROLE_ADMIN, ROLE_VENDOR, ci_contains, has_role, money, round2
-from .catalog import product_cards
+from .catalog import page_cards
 
 TABS = ("all", "active", "inactive", "inventory")
 
@@ -40,8 +40,7 @@ def vendor_products(product: DataFrame, vendor: DataFrame, tagging: DataFrame, t
     w = Window.partitionBy("vendor_id").orderBy(F.col("created_seq").desc(), F.col("product_id"))
     paged = (p.withColumn("rn", F.row_number().over(w))
              .filter((F.col("rn") <= lo + page_size) & (F.col("rn") > lo)))
-    cards = product_cards(paged.drop("rn"), tagging, tag)
-    return cards.join(paged.select("product_id", F.col("rn").cast("bigint").alias("rn")), "product_id")
+    return page_cards(paged.withColumn("rn", F.col("rn").cast("bigint")), tagging, tag, "rn")
 
 
 def vendor_products_count(product: DataFrame, vendor: DataFrame) -> DataFrame:

@@ -352,6 +352,16 @@ def q_cascade_tagging(shop):
     return _cascade(shop)["tagging"].select("product_id", "tag_id", "position")
 
 
+@register("cascade_tag", f"WITH {_CASCADE} SELECT tag_id, name FROM shop_tag WHERE tag_id NOT IN (SELECT tag_id FROM dt)")
+def q_cascade_tag(shop):
+    return _cascade(shop)["tag"].select("tag_id", "name")
+
+
+@register("cascade_product_blocked", f"WITH {_CASCADE} SELECT product_id FROM dp WHERE product_id IN (SELECT product_id FROM it)")
+def q_cascade_product_blocked(shop):
+    return _cascade(shop)["product_blocked"].select("product_id")
+
+
 @register("customer_profile", """
 SELECT c.user_id, coalesce(u.nick_name, c.nick_name) nick_name, coalesce(u.address, c.address) address,
  coalesce(u.phone_number, c.phone_number) phone_number

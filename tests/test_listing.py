@@ -10,6 +10,7 @@ from marketgrid.operators import changes as X
 from marketgrid.operators import listing as L
 from marketgrid.operators import order_sketches as S
 from marketgrid.operators import text_index as T
+from marketgrid.operators import vendors as V
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +109,17 @@ def test_next_vendors(spark):
     assert sorted(map(tuple, got.collect())) == [("a", "A3", "Z", "Inactive", Decimal("5.00"), 1), ("b", "B", "Y", "Inactive", Decimal("0.00"), 2)]
     outcomes = sorted((r.vendor_id, r.outcome) for r in X.vendor_update(vendor, patch, ["seq"]).collect())
     assert outcomes == [("a", "updated")] * 3 + [("b", "no_change")] * 2 + [("c", "not_found")]
+
+
+def test_vendor_page_is_planned_once(shop):
+    """The cards of a vendor page equal the cards of its products; the window is there once."""
+    product, vendor, tagging, tag = shop
+    page = V.vendor_products(product, vendor, tagging, tag, page=2, page_size=5)
+    rows = page.collect()
+    listing = product.join(vendor.select("vendor_id", "store_name"), "vendor_id")
+    cards = {r.product_id: r for r in C.product_cards(listing, tagging, tag).collect()}
+    assert len(rows) == 15 and all(tuple(r)[:-1] == tuple(cards[r.product_id]) for r in rows)
+    assert any(r.tag_names == "" for r in rows) and any("||" in r.tag_names for r in rows)
+    assert sorted((r.vendor_id, r.rn) for r in rows) == [(f"v{v}", n) for v in range(3) for n in range(6, 11)]
+    plan = page._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [row_number()") == 1
