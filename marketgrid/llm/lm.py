@@ -3,8 +3,8 @@
 The model is a bigram model smoothed towards add-one unigrams by a Dirichlet
 prior: p(w | u) = (c(uw) + mu p(w)) / (c(u) + mu), p(w) = (c(w) + 1) / (N + V + 1).
 As an automaton: the root has an arc for every word (unseen words share one);
-every word seen at least ``min_context`` times, and the start of a text, is a
-state; a seen bigram is an arc from u's state with the log of its probability;
+every word seen at least ``min_context`` times (1: every training word), and
+the start of a text, is a state; a seen bigram is an arc from u's state with the log of its probability;
 all others follow u's failure arc, which costs log(mu / (c(u) + mu)) and leads
 to the root.  A text is scored in one traversal from left to right that
 carries the state and adds up.
@@ -116,7 +116,7 @@ def _sums(_, table):
         .append_column("v", pa.array([s if k == 0 else 0 for k, s in enumerate([sums[1]] * rows)], pa.int64()))
 
 
-def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, min_context: int = 50, mu: float = 500.0,
+def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, min_context: int = 1, mu: float = 500.0,
                 doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 

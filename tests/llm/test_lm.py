@@ -76,3 +76,13 @@ def test_bigrams_help(make_docs):
     rows = [(k, " ".join(f"a{(k + i) % 17}" for i in range(60))) for k in range(120)]
     for r in score_texts(make_docs(rows), min_context=20, mu=50.0).collect():
         assert r.score > r.base_score / 2
+
+
+def test_rare_words_are_states(make_docs):
+    """By default every training bigram is an arc, also out of words that occur only twice."""
+    train = [d for d in range(100) if not held(d)][:4]
+    rows = [(d, f"{k // 2}x {k // 2}y {k // 2}z") for k, d in enumerate(train)]
+    model = Plain(rows, 1, 500.0)
+    for r, (d, t) in zip(sorted(score_texts(make_docs(rows)).collect(), key=lambda r: r.doc_id), rows, strict=True):
+        w = tokens(t)
+        assert r.doc_id == d and isclose(r.score, sum(log10(model.prob(u, x)) for u, x in zip([None, *w], w)), rel_tol=1e-9)
