@@ -273,7 +273,7 @@ SELECT r.vendor_id, CASE WHEN v.vendor_id IS NULL THEN 'not_found'
 FROM (SELECT DISTINCT user_id vendor_id FROM shop_user) r LEFT JOIN shop_vendor v ON v.vendor_id = r.vendor_id""")
 def q_vendor_delete(shop):
     req = shop.shop_user.select(F.col("user_id").alias("vendor_id"))
-    return X.vendor_delete(shop.shop_vendor, shop.shop_product, shop.shop_sub_orders, req)
+    return X.vendor_delete(shop.shop_vendor, shop.shop_product, shop.lazy.shop_sub_orders, req)
 
 
 @register("vendor_delete_vendors", """

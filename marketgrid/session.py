@@ -47,6 +47,23 @@ def scale_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 <
     }
 
 
+SHUFFLE_INPUT_BYTES = 8 << 20  # raw parquet, packed about tenfold, a shuffle partition
+TASK_SHUFFLE_BYTES = 16 << 20
+
+
+def size_session(spark: SparkSession, input_bytes: int) -> None:
+    """Raise the shuffle partitions with the input, so that a task's sort fits its memory at any size.
+
+    A count that is already higher stays; adaptive execution joins small
+    partitions, up to ``TASK_SHUFFLE_BYTES`` of compressed rows.
+    """
+    parts = -(-int(input_bytes) // SHUFFLE_INPUT_BYTES)
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    if parts > 1:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(TASK_SHUFFLE_BYTES))
+
+
 def build_session(master: str | None = None, app: str = "marketgrid",
                   shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)

@@ -13,7 +13,9 @@ with Spark's committer (a table without ``_SUCCESS`` is rebuilt).  Only when
 EVERY raw input is read by fewer tasks than there are cores (so all of it is
 small) is it hash-partitioned on its whole row first; a small dimension never
 makes a wide fact table shuffle.
-``staged=False`` keeps every view lazy.
+``staged=False`` keeps every view lazy; ``Shop.lazy`` is the same folder that
+way, for plans that read a view once: a table written to be read once costs more
+than its derivation, and Catalyst prunes what the plan leaves out.
 """
 
 from __future__ import annotations
@@ -22,31 +24,68 @@ import hashlib
 import inspect
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.orders import order_history_text
-from ..session import state_root
+from ..session import size_session, state_root
 from .views import ALL_VIEWS, RAW_TABLES, deps
 
 
+def _priced_lines(shop: "Shop") -> DataFrame:
+    """Order lines with their product's vendor and price, joined on the tables' own numbers.
+
+    Rows with numbers are half as wide as rows with the ids made of them, so the
+    ids are put together after the joins.
+    """
+    part = shop.spark.sql("SELECT p_partkey, p_partkey % (SELECT count(*) FROM {supplier}) vendor,"
+                          " CAST(p_retailprice AS DECIMAL(10,2)) price FROM {part}",
+                          supplier=shop["supplier"], part=shop["part"])
+    quantity = F.col("l_quantity").cast("int")
+    return (shop["lineitem"].join(part, F.col("l_partkey") == F.col("p_partkey"))
+            .select("l_orderkey", "l_linenumber", "p_partkey", quantity.alias("quantity"), "vendor", "price",
+                    (quantity * F.col("price")).cast("decimal(10,2)").alias("total_price"),
+                    (F.col("l_returnflag") == "R").alias("removed"), "l_linestatus"))
+
+
+def _id(letter: str, number: str) -> Column:
+    return F.concat(F.lit(letter), F.col(number).cast("string"))
+
+
+def _sub_order_id() -> Column:
+    return F.concat(_id("o", "l_orderkey"), F.lit("-"), _id("s", "vendor"))
+
+
+def _order_items_form(shop: "Shop") -> DataFrame:
+    """Spark form of ``shop_order_items`` (same rows as the fixture text)."""
+    dash = F.lit("-")
+    return _priced_lines(shop).select(
+        F.concat(_id("i", "l_orderkey"), dash, F.col("l_linenumber").cast("string"), dash, _id("p", "p_partkey"), dash,
+                 F.col("quantity").cast("string")).alias("order_item_id"),
+        _id("o", "l_orderkey").alias("order_id"), _sub_order_id().alias("sub_order_id"), _id("s", "vendor").alias("merchant_id"),
+        _id("p", "p_partkey").alias("product_id"), "quantity", F.col("price").alias("price_per_unit"), "total_price",
+        F.when(F.col("removed"), "removed").otherwise("active").alias("item_status"), "l_linestatus")
+
+
 def _sub_orders_form(shop: "Shop") -> DataFrame:
     """Spark form of ``shop_sub_orders`` (same rows as the fixture text).
 
     order_id is part of the group key, so the fixture's MAX over the order's
-    status and date is just that order's value: aggregate the items per
+    status and date is just that order's value: aggregate the lines per
     sub-order first, then attach the order.  This keeps a hash aggregate (a
     string MAX forces a sort aggregate) and joins one row per sub-order
-    instead of one per item.
+    instead of one per line.  Lines are dealt by order once, for both.
     """
-    active = F.col("item_status") == "active"
-    agg = shop["shop_order_items"].groupBy("sub_order_id", "order_id", "merchant_id").agg(
+    active = ~F.coalesce("removed", F.lit(False))
+    agg = _priced_lines(shop).repartition("l_orderkey").groupBy("l_orderkey", "vendor").agg(
         F.sum(F.when(active, F.col("total_price")).otherwise(F.lit(0))).cast("decimal(22,2)").alias("sub_total_amount"),
         F.count(F.when(active, 1)).alias("_active"),
         F.max(F.when(F.col("l_linestatus") == "F", 1).otherwise(0)).alias("_shipped"))
-    o = shop["shop_orders"].select("order_id", F.col("status").alias("_status"), F.col("order_date").alias("created_at"))
-    return agg.join(o, "order_id").select(
-        "sub_order_id", "order_id", "merchant_id", "sub_total_amount",
+    status = F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "O", "shipped").otherwise("cancelled")
+    o = shop["orders"].select("o_orderkey", status.alias("_status"), F.col("o_orderdate").alias("created_at"))
+    return agg.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        _sub_order_id().alias("sub_order_id"), _id("o", "l_orderkey").alias("order_id"), _id("s", "vendor").alias("merchant_id"),
+        "sub_total_amount",
         F.when(F.col("_active") == 0, F.lit("cancelled")).otherwise(F.col("_status")).alias("status"),
         F.when(F.col("_shipped") == 1, F.lit("shipped")).otherwise(F.lit("pending")).alias("shipping_status"),
         "created_at")
@@ -58,7 +97,11 @@ def _history_form(shop: "Shop") -> DataFrame:
 
 
 # Views whose Spark plan is written with the DataFrame API (same rows as the text).
-SPARK_FORMS = {"shop_sub_orders": _sub_orders_form, "shop_customer_history": _history_form}
+SPARK_FORMS = {"shop_order_items": _order_items_form, "shop_sub_orders": _sub_orders_form,
+               "shop_customer_history": _history_form}
+
+# Projections of one stored table, and tables a plan reads once: never written themselves.
+DIRECT = {"shop_cart_line", "shop_orders", "shop_order_state", "shop_sub_order_change", "shop_view_request"}
 
 
 class Shop:
@@ -69,6 +112,16 @@ class Shop:
         self.sf_dir = sf_dir.rstrip("/")
         self.staged = staged
         self._frames: dict[str, DataFrame] = {}
+        self._lazy: Shop | None = None
+
+    @property
+    def lazy(self) -> "Shop":
+        """The same folder with every view lazy."""
+        if not self.staged:
+            return self
+        if self._lazy is None:
+            self._lazy = Shop(self.spark, self.sf_dir, staged=False)
+        return self._lazy
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
@@ -85,7 +138,7 @@ class Shop:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         if name not in ALL_VIEWS:
             raise KeyError(name)
-        if self.staged:
+        if self.staged and name not in DIRECT:
             return self._staged(name)
         return self._derive(name)
 
@@ -113,6 +166,11 @@ class Shop:
             _publish(self.spark, tmp, path)
         return self.spark.read.parquet(path)
 
+    def raw_bytes(self) -> int:
+        """Bytes of the raw tables (file listing only)."""
+        found = [_fs(self.spark, f"{self.sf_dir}/{t}.parquet") for t in RAW_TABLES]
+        return sum(fs.getContentSummary(path).getLength() for path, fs in found if fs.exists(path))
+
     def _raw_inputs(self, name: str) -> set[str]:
         if name in RAW_TABLES:
             return {name}
@@ -130,7 +188,7 @@ class Shop:
             c = fs.getContentSummary(path)
             return [f"{name} {c.getLength()} {c.getFileCount()} {fs.getFileStatus(path).getModificationTime()}"]
         form = SPARK_FORMS.get(name)
-        own = [ALL_VIEWS[name], inspect.getsource(form) if form else ""]
+        own = [ALL_VIEWS[name], *[inspect.getsource(f) for f in ([form, _priced_lines] if form else [])]]
         return own + [v for d in deps(name) for v in self._version(d)]
 
 
@@ -166,4 +224,6 @@ def _committed(spark: SparkSession, path: str) -> bool:
 
 
 def load_shop(spark: SparkSession, sf_dir: str, staged: bool = True) -> Shop:
-    return Shop(spark, sf_dir, staged)
+    shop = Shop(spark, sf_dir, staged)
+    size_session(spark, shop.raw_bytes())
+    return shop
