@@ -252,7 +252,7 @@ FROM shop_sub_orders s
 LEFT JOIN l st ON st.sub_order_id = s.sub_order_id AND st.field = 'status' AND st.rn = 1
 LEFT JOIN l sh ON sh.sub_order_id = s.sub_order_id AND sh.field = 'shipping_status' AND sh.rn = 1""")
 def q_apply_sub_order_changes(shop):
-    return O.apply_sub_order_changes(shop.shop_sub_orders, shop.shop_sub_order_change, _SEQ)
+    return O.apply_sub_order_changes(shop.lazy.shop_sub_orders, shop.shop_sub_order_change, _SEQ)
 
 
 # Status after stock p.stock + a.q (a.q NULL: not restored).
