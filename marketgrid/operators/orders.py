@@ -9,11 +9,13 @@ place.  Money stays DECIMAL until the output edge.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ACTIVE, INACTIVE, ROLE_ADMIN, ROLE_VENDOR, date_time, has_role, money, trigger_status
+from ..functions.scan import kept_rows
 
 LINE_ORDER = ["line_no", "product_id", "quantity"]  # unique within a cart
 
@@ -344,8 +346,81 @@ def cancel_orders(orders: DataFrame, sub_orders: DataFrame, items: DataFrame, pr
     return OrderState(outcomes, next_orders, next_subs, next_items, _restore_stock(product, restore))
 
 
+class RemovedItems:
+    """Next states of ``remove_order_items``; what an item removal does to sub-orders and orders is stored when first asked for."""
+
+    def __init__(self, orders: DataFrame, sub_orders: DataFrame, items: DataFrame, product: DataFrame, requests: DataFrame):
+        self._orders, self._sub_orders, self._items, self._product = orders, sub_orders, items, product
+        self._req = requests.select("order_item_id").distinct()
+        self._pending = sub_orders.filter(F.col("shipping_status") == "pending").select("sub_order_id")
+        self._removed = (items.join(self._req, "order_item_id", "left_semi").filter(F.col("item_status") == "active")
+                         .join(self._pending, "sub_order_id", "left_semi")
+                         .select("order_item_id", "product_id", "quantity"))
+        self._flag = self._removed.select("order_item_id", F.lit(True).alias("_rm"))
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        return (self._req.join(self._flag, "order_item_id", "left")
+                .select("order_item_id", F.col("_rm").isNotNull().alias("removed")))
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return (self._items.join(self._flag, "order_item_id", "left")
+                .withColumn("item_status", F.when(F.col("_rm").isNotNull(), "removed").otherwise(F.col("item_status")))
+                .drop("_rm"))
+
+    @cached_property
+    def product(self) -> DataFrame:
+        return _restore_stock(self._product, self._removed)
+
+    @cached_property
+    def _touched(self) -> DataFrame:
+        """Touched sub-orders (by the order their items name): amount and items gone, active items left.
+
+        One pass over the active items: in a pending sub-order the requested
+        ones go and the others are left.  Several branches read the rows, each
+        with filters of its own, so they are stored instead of derived anew.
+        """
+        asked = F.col("_asked").isNotNull()
+        per = (self._items.filter((F.col("item_status") == "active") & F.col("sub_order_id").isNotNull())
+               .select("order_item_id", "sub_order_id", "order_id", "total_price")
+               .join(self._req.withColumn("_asked", F.lit(True)), "order_item_id", "left")
+               .select("sub_order_id", "order_id", F.when(asked, F.col("total_price")).alias("_price"), asked.alias("_asked"))
+               .repartition("sub_order_id").groupBy("sub_order_id", "order_id")
+               .agg(F.sum("_price").alias("_amt"), F.count(F.when(F.col("_asked"), 1)).alias("_gone"),
+                    F.count(F.when(~F.col("_asked"), 1)).alias("_left")))
+        # of a sub-order that loses items, also what is left under other orders
+        gone = per.groupBy("sub_order_id").agg(
+            F.collect_list(F.struct("order_id", "_amt", "_gone")).alias("_orders"),
+            F.sum("_amt").alias("_amt"), F.sum("_gone").alias("_gone"), F.sum("_left").alias("_left")).filter("_gone > 0")
+        return kept_rows(gone.join(self._pending, "sub_order_id", "left_semi").drop("_gone"))
+
+    @cached_property
+    def sub_orders(self) -> DataFrame:
+        return (self._sub_orders.join(self._touched.drop("_orders"), "sub_order_id", "left")
+                .withColumn("sub_total_amount",
+                            (F.col("sub_total_amount") - F.coalesce("_amt", F.lit(0))).cast("decimal(22,2)"))
+                .withColumn("status", F.when(F.col("_amt").isNotNull() & (F.coalesce("_left", F.lit(0)) == 0),
+                                             "cancelled").otherwise(F.col("status")))
+                .drop("_amt", "_left"))
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        per_order = (self._touched.select(F.inline("_orders")).filter("_gone > 0")
+                     .groupBy("order_id").agg(F.sum("_amt").alias("_amt")))
+        live_left = (self.sub_orders.join(per_order.select("order_id"), "order_id", "left_semi")
+                     .groupBy("order_id").agg(F.count(F.when(F.col("status") != "cancelled", 1)).alias("_live")))
+        touched_order = per_order.join(live_left, "order_id", "left")
+        return (self._orders.join(touched_order, "order_id", "left")
+                .withColumn("total_amount",
+                            (F.col("total_amount") - F.coalesce("_amt", F.lit(0))).cast("decimal(12,2)"))
+                .withColumn("status", F.when(F.col("_amt").isNotNull() & (F.coalesce("_live", F.lit(0)) == 0),
+                                             "cancelled").otherwise(F.col("status")))
+                .drop("_amt", "_live"))
+
+
 def remove_order_items(orders: DataFrame, sub_orders: DataFrame, items: DataFrame, product: DataFrame,
-                       requests: DataFrame) -> OrderState:
+                       requests: DataFrame) -> RemovedItems:
     """Remove items; adjust totals; restore stock; cascade cancels.
 
     An item is removable when active and its sub-order's shipping is pending.
@@ -353,39 +428,7 @@ def remove_order_items(orders: DataFrame, sub_orders: DataFrame, items: DataFram
     with no non-cancelled sub-order left is cancelled.  All removals of one
     batch are applied before the cascades are evaluated.
     """
-    req = requests.select("order_item_id").distinct()
-    pending = sub_orders.filter(F.col("shipping_status") == "pending").select("sub_order_id")
-    removed = (items.join(req, "order_item_id", "left_semi").filter(F.col("item_status") == "active")
-               .join(pending, "sub_order_id", "left_semi")
-               .select("order_item_id", "sub_order_id", "order_id", "product_id", "quantity", "total_price"))
-    rm_flag = removed.select("order_item_id", F.lit(True).alias("_rm"))
-    next_items = (items.join(rm_flag, "order_item_id", "left")
-                  .withColumn("item_status", F.when(F.col("_rm").isNotNull(), "removed").otherwise(F.col("item_status")))
-                  .drop("_rm"))
-    per_sub = removed.groupBy("sub_order_id").agg(F.sum("total_price").alias("_amt"))
-    # active items left in the touched sub-orders only
-    left_active = (next_items.join(per_sub.select("sub_order_id"), "sub_order_id", "left_semi")
-                   .groupBy("sub_order_id").agg(F.count(F.when(F.col("item_status") == "active", 1)).alias("_left")))
-    touched_sub = per_sub.join(left_active, "sub_order_id", "left")
-    next_subs = (sub_orders.join(touched_sub, "sub_order_id", "left")
-                 .withColumn("sub_total_amount",
-                             (F.col("sub_total_amount") - F.coalesce("_amt", F.lit(0))).cast("decimal(22,2)"))
-                 .withColumn("status", F.when(F.col("_amt").isNotNull() & (F.coalesce("_left", F.lit(0)) == 0),
-                                              "cancelled").otherwise(F.col("status")))
-                 .drop("_amt", "_left"))
-    per_order = removed.groupBy("order_id").agg(F.sum("total_price").alias("_amt"))
-    live_left = (next_subs.join(per_order.select("order_id"), "order_id", "left_semi")
-                 .groupBy("order_id").agg(F.count(F.when(F.col("status") != "cancelled", 1)).alias("_live")))
-    touched_order = per_order.join(live_left, "order_id", "left")
-    next_orders = (orders.join(touched_order, "order_id", "left")
-                   .withColumn("total_amount",
-                               (F.col("total_amount") - F.coalesce("_amt", F.lit(0))).cast("decimal(12,2)"))
-                   .withColumn("status", F.when(F.col("_amt").isNotNull() & (F.coalesce("_live", F.lit(0)) == 0),
-                                                "cancelled").otherwise(F.col("status")))
-                   .drop("_amt", "_live"))
-    outcomes = (req.join(rm_flag, "order_item_id", "left")
-                .select("order_item_id", F.col("_rm").isNotNull().alias("removed")))
-    return OrderState(outcomes, next_orders, next_subs, next_items, _restore_stock(product, removed))
+    return RemovedItems(orders, sub_orders, items, product, requests)
 
 
 def remove_sub_order_products(items: DataFrame, requests: DataFrame) -> DataFrame:

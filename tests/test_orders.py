@@ -217,3 +217,32 @@ def test_stored_history_is_edited_in_place(spark):
     want[1]["Status"] = "Cancelled"
     assert json.loads(edited) == want and n == 1
     assert got == {r.user_id: (r.order_history, 0) for r in hist.collect() if r.user_id != "u1"}
+
+
+def test_removal_counts_a_sub_order_over_all_its_rows(spark, seed):
+    """Items of one sub-order may name several orders; a closed sub-order keeps its items."""
+    items = spark.createDataFrame(
+        [("i1", "s1", "o1", "p1", 2, "active"), ("i2", "s1", "o2", "p1", 1, "active"), ("i3", "s2", "o2", "p1", 4, "active"),
+         ("i4", "s3", "o3", "p1", 1, "active"), ("i5", "s3", "o3", "p1", 1, "removed"), (None, "s2", None, "p1", 1, "active")],
+        "order_item_id string, sub_order_id string, order_id string, product_id string, quantity int, item_status string") \
+        .withColumn("total_price", F.col("quantity").cast("decimal(10,2)"))
+    subs = spark.createDataFrame(
+        [("s1", "o1", "pending", "pending"), ("s2", "o2", "pending", "pending"), ("s3", "o3", "pending", "shipped")],
+        "sub_order_id string, order_id string, status string, shipping_status string") \
+        .withColumn("sub_total_amount", F.lit(9).cast("decimal(22,2)"))
+    orders = spark.createDataFrame([("o1", "pending"), ("o2", "pending"), ("o3", "pending")], "order_id string, status string") \
+        .withColumn("total_amount", F.lit(9).cast("decimal(12,2)"))
+    req = spark.createDataFrame([("i1",), ("i2",), ("i3",), ("i4",), ("i4",)], "order_item_id string")
+    st = O.remove_order_items(orders, subs, items, seed["product"], req)
+    assert {r.sub_order_id: (float(r.sub_total_amount), r.status) for r in st.sub_orders.collect()} == {
+        "s1": (6.0, "cancelled"), "s2": (5.0, "pending"), "s3": (9.0, "pending")}
+    assert {r.order_id: (float(r.total_amount), r.status) for r in st.orders.collect()} == {
+        "o1": (7.0, "cancelled"), "o2": (4.0, "pending"), "o3": (9.0, "pending")}
+
+
+def test_next_orders_do_not_derive_the_removals_again(spark, seed):
+    s = _split(spark, seed)
+    st = O.remove_order_items(s.orders, s.sub_orders, s.items.localCheckpoint(), seed["product"], s.items.select("order_item_id"))
+    for frame in (st.orders, st.sub_orders):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "_asked" not in plan and "_left_semi" not in plan
