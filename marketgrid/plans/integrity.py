@@ -41,12 +41,13 @@ def q_write_shop_delta(shop):
     """A3: order items in buckets by order; calling back the newest orders rewrites
     their buckets only.  The batch is run twice, which changes nothing."""
     spark = shop.spark
-    items = shop.shop_order_items.select("order_item_id", "order_id", "sub_order_id", "product_id", "quantity", "item_status")
+    t = shop.lazy  # each read once a run
+    items = t.shop_order_items.select("order_item_id", "order_id", "sub_order_id", "product_id", "quantity", "item_status")
     path = write_buckets(items, f"{state_root(spark)}/order_items-{uuid.uuid4().hex}", "order_id")
-    requests = shop.shop_recall_request
+    requests = t.shop_recall_request
 
     def cancelled(rows):
-        return O.cancel_orders(shop.shop_order_state, shop.shop_sub_orders, rows, shop.shop_product, requests).items
+        return O.cancel_orders(t.shop_orders, t.shop_sub_orders, rows, t.shop_product, requests).items
 
     for _ in range(2):
         write_delta(spark, path, "order_id", requests, cancelled, "recall")

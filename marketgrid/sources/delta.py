@@ -30,14 +30,18 @@ def bucket_of(key: str, buckets: int) -> Column:
 
 def _write(df: DataFrame, path: str, mode: str) -> None:
     """Write buckets: ``static`` replaces the whole folder, ``dynamic`` only the buckets that occur."""
-    # rebalance: files of a good size, and a bucket with a hot key is split over tasks
-    df.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", mode) \
+    df.write.mode("overwrite").option("partitionOverwriteMode", mode).option("compression", "zstd") \
         .partitionBy("bucket").parquet(path)
 
 
+def _by_bucket(df: DataFrame) -> DataFrame:
+    """Rows brought together by bucket: files of a good size, and a bucket with a hot key is split over tasks."""
+    return df.hint("rebalance", "bucket")
+
+
 def write_buckets(df: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> str:
     """Store ``df`` in ``buckets`` folders by ``key`` under the new folder ``path``."""
-    _write(df.withColumn("bucket", bucket_of(key, buckets)), path, "static")
+    _write(_by_bucket(df.withColumn("bucket", bucket_of(key, buckets))), path, "static")
     return path
 
 
@@ -64,9 +68,10 @@ def write_delta(spark: SparkSession, path: str, key: str, touched: DataFrame,
     if ids and not _committed(spark, staged):
         before = stored.filter(F.col("bucket").isin(ids))
         after = change(before.drop("bucket")).withColumn("bucket", bucket_of(key, buckets))
-        _write(after.select(*stored.columns), staged, "static")
+        _write(_by_bucket(after.select(*stored.columns)), staged, "static")
     if ids:
         rows = spark.read.schema(stored.schema).parquet(staged)
+        # staged files hold a bucket each, so they are copied without a shuffle
         _write(rows, path, "dynamic")
         left = {r[0] for r in rows.select("bucket").distinct().collect()}
         for b in set(ids) - left:  # nothing of the bucket is left: no rows overwrite its folder

@@ -98,3 +98,12 @@ def test_emptied_bucket_and_no_keys(spark, table):
     every = keys(spark, *{o for o, _, _ in was})
     gone = D.write_delta(spark, table, "order_id", every, lambda rows: rows.filter("order_id = 'o1'"), "all", BUCKETS)
     assert len(gone) >= 2 and {o for o, _, _ in state(spark, table)} == {"o1"}
+
+
+def test_staged_buckets_are_published_without_a_shuffle(spark, table, monkeypatch):
+    dealt = []
+    by_bucket = D._by_bucket
+    monkeypatch.setattr(D, "_by_bucket", lambda df: dealt.append(1) or by_bucket(df))
+    req = keys(spark, "o1")
+    D.write_delta(spark, table, "order_id", req, flip(req), "once", BUCKETS)
+    assert len(dealt) == 1
