@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import state_root
 
-CHUNK_ROWS = 1_000_000
+CHUNK_ROWS = 250_000  # rows a Python worker holds at once
 
 
 def kept_rows(df: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def range_chunks(df: DataFrame, keys: list[str], rows: int = CHUNK_ROWS, name: s
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     n = df.count()
-    parts = max(-(-n // rows), min(cores, -(-n // max(rows // 50, 1))), 1)
+    parts = max(-(-n // rows), min(cores, -(-n // max(rows // 12, 1))), 1)
     if parts == 1:
         return df.withColumn(name, F.lit(0))
     return kept_rows(df.repartitionByRange(parts, *keys).withColumn(name, F.spark_partition_id()))
