@@ -45,8 +45,8 @@ from .common import _LOW, pieces, python_ready, stored, text_bytes
 from .prefix import running_sum
 
 END_ID = 1
-CACHE_WORDS = 400_000  # about 350 bytes each, in every Python worker
-PIECE_BYTES = 6_000_000
+CACHE_WORDS = 400_000  # in every Python worker
+PIECE_BYTES = 2_000_000
 # the tokenizer's own pattern for the parts of a word, which are encoded apart
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 

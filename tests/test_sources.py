@@ -138,7 +138,8 @@ def test_session_is_sized_with_the_input(spark):
             spark.conf.set(n, v)
 
 
-def test_python_workers_hold_a_bounded_chunk():
+def test_python_workers_hold_bounded_rows():
     from marketgrid.functions.scan import CHUNK_ROWS
+    from marketgrid.llm.packing import CACHE_WORDS, PIECE_BYTES
 
-    assert CHUNK_ROWS <= 250_000  # a million rows of cart events took 1.5 GB a worker
+    assert CHUNK_ROWS <= 250_000 and CACHE_WORDS <= 400_000 and PIECE_BYTES <= 2_000_000
