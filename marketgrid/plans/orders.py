@@ -338,8 +338,10 @@ ns AS (SELECT s.sub_order_id, s.order_id, s.merchant_id, s.sub_total_amount - co
  FROM shop_sub_orders s LEFT JOIN ps ON ps.sub_order_id = s.sub_order_id)"""
 
 
-def _remove(shop):
-    return O.remove_order_items(shop.shop_order_state, shop.shop_sub_orders, shop.shop_order_items,
+def _remove(shop, orders=None):
+    """D12; the order totals are stored only where the next orders are asked for."""
+    orders = shop.lazy.shop_order_state if orders is None else orders
+    return O.remove_order_items(orders, shop.shop_sub_orders, shop.shop_order_items,
                                 shop.shop_product, shop.shop_item_removal)
 
 
@@ -359,7 +361,7 @@ SELECT o.order_id, CAST(o.total_amount - coalesce(po.amt, 0) AS DOUBLE) total_am
   AND ns.status <> 'cancelled') THEN 'cancelled' ELSE o.status END status
 FROM shop_order_state o LEFT JOIN po ON po.order_id = o.order_id""")
 def q_remove_order_items_orders(shop):
-    return _remove(shop).orders.select("order_id", money("total_amount").alias("total_amount"), "status")
+    return _remove(shop, shop.shop_order_state).orders.select("order_id", money("total_amount").alias("total_amount"), "status")
 
 
 @register("remove_order_items_items", f"""

@@ -101,7 +101,7 @@ SPARK_FORMS = {"shop_order_items": _order_items_form, "shop_sub_orders": _sub_or
                "shop_customer_history": _history_form}
 
 # Projections of one stored table, and tables a plan reads once: never written themselves.
-DIRECT = {"shop_cart_line", "shop_orders", "shop_order_state", "shop_sub_order_change", "shop_view_request"}
+DIRECT = {"shop_cart_line", "shop_orders", "shop_sub_order_change", "shop_view_request"}
 
 
 class Shop:
