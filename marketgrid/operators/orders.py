@@ -211,37 +211,55 @@ def customer_orders(orders: DataFrame, customer_id: str | None = None) -> DataFr
                     money("total_amount").alias("total_amount"), "payment_status"))
 
 
+def _role_holders(users: DataFrame) -> DataFrame:
+    """(viewer_id, _role) of the users whose rows change a request: admins, vendors and repeated ids.
+
+    Anyone else is as good as unknown, so this is far smaller than the users.
+    It is stored: its true size then tells Spark whether it can be broadcast,
+    and while it can, no request is shuffled by its viewer.
+    """
+    bits = F.coalesce("role_bits", F.lit(0))
+    role = F.when(has_role(bits, ROLE_ADMIN), ROLE_ADMIN).when(has_role(bits, ROLE_VENDOR), ROLE_VENDOR).otherwise(0)
+    roles = (ROLE_ADMIN, ROLE_VENDOR, 0)
+    n = {r: F.col(f"_n{r}").cast("int") for r in roles}
+    found = (users.filter(F.col("user_id").isNotNull()).select(F.col("user_id").alias("viewer_id"), role.alias("_role"))
+             .groupBy("viewer_id").agg(*[F.count(F.when(F.col("_role") == r, 1)).alias(f"_n{r}") for r in roles])
+             .filter((n[ROLE_ADMIN] + n[ROLE_VENDOR] > 0) | (n[0] > 1)))
+    return kept_rows(found.select(
+        "viewer_id", F.explode(F.concat(*[F.array_repeat(F.lit(r), n[r]) for r in roles])).alias("_role")))
+
+
 def order_visibility(requests: DataFrame, users: DataFrame, orders: DataFrame, sub_orders: DataFrame) -> DataFrame:
     """(viewer, login_type, order) -> visible sub-orders.
 
     Admin sees all; a backend vendor sees only its own sub-orders (none while
-    the order has some = denied); anyone else must own the order.  Vendor
-    requests join on (order, merchant), so no request meets sub-orders it
-    cannot see.
+    the order has some = denied); anyone else must own the order.  Requests
+    get their viewer's role first and are then dealt by order once: orders
+    and sub-orders are merged with them on that one key, and which of the
+    order's sub-orders a request sees is a condition of the last merge.  The
+    orders are merged, not broadcast, as the requests lie by order anyway.
     """
+    role = (F.when(F.col("_role") == ROLE_ADMIN, ROLE_ADMIN)
+            .when((F.col("login_type") == "backend") & (F.col("_role") == ROLE_VENDOR), ROLE_VENDOR))
     r = (requests.select("viewer_id", "login_type", "order_id")
-         .join(users.select(F.col("user_id").alias("viewer_id"), "role_bits"), "viewer_id", "left")
-         .join(orders.select("order_id", "customer_id", F.lit(True).alias("_found")), "order_id", "left"))
-    bits = F.coalesce("role_bits", F.lit(0))
+         .join(_role_holders(users), "viewer_id", "left")
+         .select("viewer_id", "order_id", role.alias("_role")))
+    has_subs = sub_orders.select("order_id").distinct().withColumn("_has", F.lit(True))
     access = (F.when(F.col("_found").isNull(), "not_found")
-              .when(has_role(bits, ROLE_ADMIN), "admin")
-              .when((F.col("login_type") == "backend") & has_role(bits, ROLE_VENDOR), "vendor")
+              .when(F.col("_role") == ROLE_ADMIN, "admin")
+              .when(F.col("_role") == ROLE_VENDOR, "vendor")
               .when(F.col("customer_id") == F.col("viewer_id"), "customer")
               .otherwise("denied"))
-    r = r.withColumn("access", access).select("viewer_id", "order_id", "access")
-    so = sub_orders.select("order_id", "sub_order_id", "merchant_id")
-    whole = (r.filter(F.col("access").isin("admin", "customer"))
-             .join(so.drop("merchant_id"), "order_id", "left"))
-    own = (r.filter(F.col("access") == "vendor")
-           .join(so.withColumnRenamed("merchant_id", "viewer_id"), ["order_id", "viewer_id"], "left"))
-    has_subs = sub_orders.select("order_id").distinct().withColumn("_has", F.lit(True))
-    own = (own.join(has_subs, "order_id", "left")
-           .select("viewer_id", "order_id",
-                   F.when(F.col("sub_order_id").isNull() & F.col("_has").isNotNull(), "denied")
-                   .otherwise("vendor").alias("access"), "sub_order_id"))
-    rest = (r.filter(F.col("access").isin("denied", "not_found"))
-            .withColumn("sub_order_id", F.lit(None).cast("string")))
-    return whole.select("viewer_id", "order_id", "access", "sub_order_id").unionByName(own).unionByName(rest)
+    r = (r.join(orders.select("order_id", "customer_id", F.lit(True).alias("_found")).hint("merge"), "order_id", "left")
+         .select("viewer_id", "order_id", access.alias("access"))
+         .join(has_subs, "order_id", "left"))
+    so = sub_orders.select(F.col("order_id").alias("_order"), "sub_order_id", "merchant_id")
+    seen = (F.col("access").isin("admin", "customer")
+            | ((F.col("access") == "vendor") & (F.col("merchant_id") == F.col("viewer_id"))))
+    hidden = (F.col("access") == "vendor") & F.col("sub_order_id").isNull() & F.col("_has").isNotNull()
+    return (r.join(so, (F.col("order_id") == F.col("_order")) & seen, "left")
+            .select("viewer_id", "order_id", F.when(hidden, "denied").otherwise(F.col("access")).alias("access"),
+                    "sub_order_id"))
 
 
 def latest_values(changes: DataFrame, key: str, fields: list[str], order_cols: list[str]) -> DataFrame:

@@ -1,5 +1,8 @@
 """Cart and order flow (D) on the seed: the reference's end-to-end scenario."""
 
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 from seed import with_stock
 
@@ -141,6 +144,66 @@ def test_order_visibility(spark, seed):
     assert by[("u2", "o9")] == {("not_found", None)}
 
 
+def _visibility_rows(spark):
+    """Repeated and null keys on every side; o3 has no sub-orders."""
+    req = spark.createDataFrame(
+        [("a", "backend", "o1"), ("v1", "backend", "o1"), ("v1", "customer", "o1"), ("v2", "backend", "o2"),
+         ("v1", "backend", "o3"), ("c1", "customer", "o1"), ("c1", "customer", "o1"), ("c2", "customer", "o1"),
+         ("c2", "customer", "o2"), ("nobody", "backend", "o1"), (None, "customer", "o1"), ("c1", None, "o2"),
+         ("c1", "customer", None), ("v1", "backend", "o9")], "viewer_id string, login_type string, order_id string")
+    users = spark.createDataFrame(
+        [("a", 4), ("a", 2), ("v1", 2), ("v1", 2), ("v2", 3), ("c1", 1), ("c2", 1), ("c2", None), (None, 4), (None, 4)],
+        "user_id string, role_bits int")
+    orders = spark.createDataFrame([("o1", "c1"), ("o2", "c2"), ("o2", "c2"), ("o3", None), (None, "c1")],
+                                   "order_id string, customer_id string")
+    subs = spark.createDataFrame(
+        [("o1", "o1-v1", "v1"), ("o1", "o1-v1", "v1"), ("o1", "o1-x", None), ("o1", None, "v3"), ("o2", "o2-v1", "v1"),
+         (None, "none", "v1")], "order_id string, sub_order_id string, merchant_id string")
+    return req, users, orders, subs
+
+
+def test_order_visibility_keeps_repeats_and_nulls(spark):
+    req, users, orders, subs = _visibility_rows(spark)
+    got = Counter(tuple(r) for r in O.order_visibility(req, users, orders, subs).collect())
+    whole = {"o1": ["o1-v1", "o1-v1", "o1-x", None], "o2": ["o2-v1"], "o3": []}
+    own = {("v1", "o1"): ["o1-v1", "o1-v1"], ("v2", "o2"): [], ("v1", "o3"): [], ("a", "o1"): []}
+    want = Counter()
+    for q in req.collect():
+        for bits in [u.role_bits or 0 for u in users.collect() if q.viewer_id and u.user_id == q.viewer_id] or [0]:
+            found = [o for o in orders.collect() if q.order_id and o.order_id == q.order_id]
+            for o in found or [None]:
+                if o is None:
+                    access, subs_of = "not_found", []
+                elif bits & 4:
+                    access, subs_of = "admin", whole[q.order_id]
+                elif q.login_type == "backend" and bits & 2:
+                    subs_of = own[(q.viewer_id, q.order_id)]
+                    access = "denied" if not subs_of and whole[q.order_id] else "vendor"
+                elif q.viewer_id is not None and o.customer_id == q.viewer_id:
+                    access, subs_of = "customer", whole[q.order_id]
+                else:
+                    access, subs_of = "denied", []
+                want.update((q.viewer_id, q.order_id, access, s) for s in subs_of or [None])
+    assert got == want
+
+
+def test_order_visibility_deals_requests_by_order_once(spark):
+    """However large the tables, requests are planned once and each table is shuffled by order once."""
+    req, users, orders, subs = _visibility_rows(spark)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = O.order_visibility(req, users, orders, subs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    keys = re.findall(r"Exchange hashpartitioning\((\w+?)#", plan)
+    assert sorted(keys) == ["_order", "order_id", "order_id", "order_id", "viewer_id", "viewer_id"], plan
+    # the requests lie by order anyway: a broadcast of the orders would save nothing and grow with them
+    few = spark.sql("SELECT concat('o', id) order_id, concat('c', id) customer_id FROM range(9)")
+    plan = O.order_visibility(req, users, few, subs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [order_id" in plan and "BroadcastHashJoin [order_id" not in plan
+
+
 def test_history_json_bad_text_and_cancel(spark):
     hist = spark.createDataFrame(
         [("u2", "history"), ("u3", '[{"Order_ID": "o1", "Status": "pending", "Order_Date": "2024-01-01"},'
